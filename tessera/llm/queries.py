@@ -21,6 +21,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack_documents
 
