@@ -62,10 +62,13 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str, count: int | Non
 
 
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column as one uint8 array, and the n + 1 offsets of its rows."""
+    """All bytes of a string or binary column as one uint8 array, and the n + 1 offsets of its rows."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string()).fill_null("")
+    if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_binary()).fill_null(b"")
+    else:
+        col = col.cast(pa.large_string()).fill_null("")
     _, offsets, data = col.buffers()
     off = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
