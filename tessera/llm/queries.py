@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.session import ship_package
@@ -22,12 +23,26 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quotes import chat
+
+    return chat(table(spark, sf_dir, "conversations"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import license_scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id"])
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import quality, trusted_ids
 
@@ -46,6 +61,12 @@ def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.main_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import remove_repeats
 
@@ -72,4 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm.quotes import CHAT_SQL
+
+    return {"op2_quotes": CHAT_SQL}
