@@ -2,19 +2,21 @@
 
 1. Every document's set of word shingles gives its size, a 128-bit signature of the set and the k
    smallest hashes (the sketch).  Documents with the same set form a class; only its smallest id goes on.
-2. Inverted lists: a sketch value seen in two or more classes lists them.  Values are ordered by how many
-   documents hold them; with a similarity of at least 0.8 two sketches share at least half of their values
-   (64 values: it fails with a probability under 1e-9; sets below 64 are whole, and it cannot fail), so a
-   document need enter only the lists of the rarer half of its sketch, and common passages cause no lists.
-3. In each list the first document is compared with all others, then documents 1 to 7, 8 to 63 and so on
-   with all after them, but never two that verified links have joined already.  So a large group of copies
-   costs a few comparisons for each document, and no pair that could add a link is left out.
-4. Compared pairs must reach half in the union sketch (the k smallest of both), then the exact Jaccard
-   similarity of the whole sets is taken.  Components of the verified links follow by star rounds.
+2. Inverted lists: a sketch value seen in two or more classes lists them.  Of the k smallest hashes of two
+   sets' union, a share that is binomial around their similarity is in both sketches, so with a similarity of
+   at least 0.8 at least the share t (five deviations below, less for sets that the sketch covers) is; the
+   chance to lose a pair is under 1e-6, and 0 for sets that fit in a sketch.  With values ordered by how many
+   classes hold them, a class need enter only the lists of the rarest part 1 - t of its sketch.  Common passages
+   so cause no lists.
+3. Classes that lists connect form candidate groups, split into blocks of bounded size.  Each task takes one pair
+   of blocks (or many small groups): it counts the overlaps of retained values, keeps pairs whose overlap reaches
+   t, estimates their similarity from the union sketch, and verifies with the exact Jaccard similarity of the whole
+   sets.  Pairs that earlier links of the task join are skipped, so a task returns a forest, never all pairs.
+4. Components of the forests of large groups follow by star rounds.
 
 Defined results: documents without words have an empty set and are linked with nothing; fewer words than
-a shingle make one shingle; repeated rows have the same id and so the same verdict; rows without an id are kept with a null
-component; an empty table gives no rows; other columns are ignored.
+a shingle make one shingle; repeated rows have the same id and so the same verdict; rows without an id are
+kept with a null component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import column_bytes, lower_ascii, mix, ngram_hashes, stash, steps, with_ids, word_hashes
-from tessera.llm.components import connected_components
+from tessera.llm.components import Union, connected_components
 
 SKETCH = 64
-#: Positions in a list that are leaders in a round: 0, then 1 to 7, 8 to 63, ...
-WIDEN = 8
+#: Deviations between the similarity and the least share of common sketch values.
+DEVIATIONS = 5.0
+#: Classes in a block of a large group, and bytes of sets for a task of small groups.
+BLOCK = 512
+TASK_BYTES = 24 << 20
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -89,56 +94,119 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hashes array<long>")
 
 
-def inverted_lists(reps: DataFrame, k: int = SKETCH) -> DataFrame:
-    """(v, doc, n, pos): the lists that a class enters, with its place in each."""
+def least_share(n, k: int, percent: int, least, sqrt):
+    """The least share of common values in the union sketch of sets of about n hashes."""
+    j = percent / 100
+    return j - DEVIATIONS * sqrt(j * (1 - j) / least(k, n) * (1 - least(1.0, k * j / n)))
+
+
+def list_edges(reps: DataFrame, percent: int, k: int = SKETCH) -> DataFrame:
+    """(a, b): every class of an inverted list, with the first of the list."""
     held = reps.select("doc_id", "n", F.size("sketch").alias("len"), F.explode("sketch").alias("v"))
     by_value = Window.partitionBy("v")
     shared = held.withColumn("df", F.count(F.lit(1)).over(by_value)).where("df > 1")
     of_doc = Window.partitionBy("doc_id")
+    share = least_share(F.col("n"), k, percent, lambda x, y: F.least(F.lit(x), y), F.sqrt)
+    need = F.greatest(F.ceil(share * F.col("len") - 1e-9), F.lit(1))
     ranked = shared.withColumn("alone", F.col("len") - F.count(F.lit(1)).over(of_doc)).withColumn("rank", F.row_number().over(of_doc.orderBy("df", "v")))
-    kept = ranked.where(F.col("alone") + F.col("rank") <= F.floor(F.col("len") / 2) + 1)
-    placed = kept.withColumn("pos", F.row_number().over(by_value.orderBy("doc_id")) - 1).withColumn("m", F.count(F.lit(1)).over(by_value))
-    return placed.where("m > 1").select("v", F.col("doc_id").alias("doc"), "n", "pos", "m")
-
-
-def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, k: int = SKETCH) -> DataFrame | None:
-    """Verified links (a, b) between classes that join all classes of a component; None if there are none."""
-    lists = stash(inverted_lists(reps, k), "lists")
-    longest = lists.agg(F.max("m")).first()[0] or 0
-    links = tested = labels = None
-    low, high = 0, 1
-    while low < longest - 1:
-        now = lists.where(F.col("m") > low + 1)
-        if labels is not None:
-            now = now.join(labels, "doc", "left")
-            now = now.withColumn("label", F.coalesce("label", "doc"))
-        else:
-            now = now.withColumn("label", F.col("doc"))
-        lead = now.where((F.col("pos") >= low) & (F.col("pos") < high)).select("v", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-        rest = now.where(F.col("pos") > low).select("v", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-        fits = (F.col("pb") > F.col("pa")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = rest.join(lead, "v").where(fits).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        left, right = (reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b")
-        union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-        near = near.withColumn("u", union).where(2 * F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) >= F.size("u")).select("a", "b")
-        pairs = stash(near, "pairs")
-        if (found := pairs.count()) > 0:
-            ids = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-            sets = stash(full_sets(with_ids(docs, ids, "doc_id", "left_semi"), size), "sets")
-            one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-            two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
-            common = F.size(F.array_intersect("ha", "hb"))
-            same = two.withColumn("c", common).where(100 * F.col("c") >= percent * (F.size("ha") + F.size("hb") - F.col("c")))
-            fresh = stash(same.select("a", "b"), "links")
-            links = fresh if links is None else links.union(fresh)
-            tested = pairs if tested is None else tested.union(pairs)
-            if high < longest - 1 and found:
-                labels = stash(connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("label")), "labels")
-        low, high = high, high * WIDEN
-    return links
+    kept = ranked.where(F.col("alone") + F.col("rank") <= F.col("len") - need + 1)
+    return kept.select(F.min("doc_id").over(by_value).alias("a"), F.col("doc_id").alias("b")).where("a < b")
+
+
+def _links_of(docs: list[int], sets: list[np.ndarray], side: np.ndarray | None, percent: int, k: int) -> tuple[Union, list[tuple[int, int]]]:
+    """A forest of verified links.  side: with two blocks, only pairs across them count."""
+    low = [s[:k] for s in sets]
+    n = np.array([len(s) for s in sets])
+    share = least_share(n.astype(float), k, percent, np.minimum, np.sqrt)
+    _, index, count = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(low)), [len(x) for x in low])
+    column = (np.cumsum(count > 1) - 1)[index]
+    both = (count > 1)[index]
+    row, column = row[both], column[both]
+    overlap = np.zeros((len(low), len(low)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):  # the retained values, some thousand at a time
+        part = slice(*np.searchsorted(column, [a, a + 4096]))
+        held = np.zeros((len(low), 4096), np.float32)
+        held[row[part], column[part] - a] = 1
+        overlap += held @ held.T
+    need = np.ceil(np.minimum(share[:, None], share[None, :]) * np.minimum(k, np.maximum(n[:, None], n[None, :])) - 1e-6)
+    fits = (overlap >= np.maximum(need, 1)) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    fits = np.triu(fits, 1)
+    if side is not None:
+        fits &= side[:, None] != side[None, :]
+    one, two = np.nonzero(fits)
+    seen, links = Union(), []
+    order = np.argsort(-overlap[one, two], kind="stable")
+    for i, j in zip(one[order].tolist(), two[order].tolist()):
+        if seen.find(docs[i]) == seen.find(docs[j]):
+            continue
+        union = np.union1d(low[i], low[j])[:k]
+        common = np.intersect1d(np.intersect1d(low[i], low[j], assume_unique=True), union, assume_unique=True)
+        if len(common) < np.floor(min(share[i], share[j]) * len(union)):
+            continue
+        c = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * c >= percent * (len(sets[i]) + len(sets[j]) - c) and seen.join(docs[i], docs[j]):
+            links.append((docs[i], docs[j]))
+    return seen, links
+
+
+def group_links(percent: int, k: int):
+    """For one task's rows: (a, b, whole) links; whole ones give a class and its component at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        docs, group = table["doc_id"].to_numpy(), table["grp"].to_numpy()
+        block = table["block"].to_numpy()
+        lists = table["hashes"].combine_chunks()
+        values, edges = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        edges = edges - edges[0]
+        pair = table["lo"][0].as_py() >= 0
+        order = np.argsort(group, kind="stable")
+        bounds = np.r_[0, np.flatnonzero(np.diff(group[order])) + 1, len(order)]
+        a, b = [], []
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            mine = order[s:e]
+            ids, sets = docs[mine].tolist(), [values[edges[x] : edges[x + 1]] for x in mine.tolist()]
+            side = block[mine] if pair and table["lo"][0].as_py() != table["hi"][0].as_py() else None
+            seen, links = _links_of(ids, sets, side, percent, k)
+            if pair:
+                a += [x for x, _ in links]
+                b += [y for _, y in links]
+            else:
+                a += [seen.find(x) for x in ids]
+                b += ids
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "whole": pa.array([not pair] * len(a), pa.bool_())})
+
+    return run
+
+
+def class_components(docs: DataFrame, reps: DataFrame, size: int, percent: int, k: int = SKETCH) -> DataFrame | None:
+    """(node, component) for the classes that may have links; None if there are none."""
+    groups = connected_components(list_edges(reps, percent, k))
+    sizes = reps.select(F.col("doc_id").alias("node"), "n")
+    members = groups.join(sizes, "node").groupBy("node").agg(F.min("component").alias("grp"), F.max("n").alias("n"))
+    in_group = Window.partitionBy("grp")
+    members = members.withColumn("block", F.floor((F.row_number().over(in_group.orderBy("n", "node")) - 1) / BLOCK).cast("int"))
+    members = stash(members.withColumn("blocks", F.max("block").over(in_group) + 1), "members")
+    total, many = members.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not many:
+        return None
+    tasks = max(1, -(-8 * int(total) // TASK_BYTES))
+    sets = full_sets(with_ids(docs, members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi", many), size).dropDuplicates(["doc_id"])
+    held = sets.join(members.withColumnRenamed("node", "doc_id"), "doc_id")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = held.withColumn("other", other).select(
+        "doc_id", "grp", "block", "hashes",
+        F.when(F.col("other") < 0, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.col("grp")).alias("task"),
+        F.when(F.col("other") < 0, -1).otherwise(F.least("block", "other")).alias("lo"),
+        F.when(F.col("other") < 0, -1).otherwise(F.greatest("block", "other")).alias("hi"),
+    )
+    links = stash(dealt.groupBy("task", "lo", "hi").applyInArrow(group_links(percent, k), "a long, b long, whole boolean"), "links")
+    whole = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))
+    rest = links.where("not whole").select("a", "b")
+    return whole.union(connected_components(rest)) if not rest.isEmpty() else whole
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -148,10 +216,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sets.where("n > 0 and doc_id is not null")
     classes = stash(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    links = near_links(docs, reps, size, percent, k)
-    if links is not None:
-        parts = stash(connected_components(links), "components")
-        classes = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
+    parts = class_components(docs, reps, size, percent, k)
+    if parts is not None:
+        classes = classes.join(stash(parts, "components").withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
     else:
         classes = classes.withColumnRenamed("rep", "c")
     out = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
