@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.windows import crowding
+from tessera.session import stash
 
 #: Hash parts that are thinned on their own before the whole: the skyline of a union is that of the parts' skylines.
 PARTS = 64
@@ -53,15 +54,16 @@ def skyline(df: DataFrame, objectives: list[str], key: str) -> DataFrame:
 
 
 def front_ranks(df: DataFrame, objectives: list[str], key: str, depth: int) -> DataFrame:
-    """The first `depth` fronts, numbered from 0, by peeling."""
-    rest, out = _known(df, objectives), None
+    """The first `depth` fronts, numbered from 0, by peeling; each front is written down, so the plan doesn't grow."""
+    rest, out = stash(_known(df, objectives), "front"), []
     for k in range(depth):
-        front = skyline(rest, objectives, key)
-        ranked = front.withColumn("front", F.lit(k))
-        out = ranked if out is None else out.unionByName(ranked)
+        front = stash(skyline(rest, objectives, key).withColumn("front", F.lit(k)), "front")
+        if front.isEmpty():
+            break
+        out.append(front)
         if k < depth - 1:
-            rest = rest.join(front.select(key), key, "left_anti")
-    return out
+            rest = stash(rest.join(front.select(key), key, "left_anti"), "front")
+    return reduce(DataFrame.unionByName, out) if out else rest.withColumn("front", F.lit(0))
 
 
 def survivors(df: DataFrame, objectives: list[str], key: str, n: int, depth: int) -> DataFrame:
