@@ -33,7 +33,7 @@ from tessera.llm.common import BROADCAST_IDS, column_bytes, mix, prefix_sums, ra
 from tessera.llm.suffix import _spread, suffix_arrays
 
 SPAN = 50
-GRAM = 16
+GRAM = 20
 #: Bytes of input for each bucket of anchors, and of text for each pass of the suffix sorter.
 BUCKET_BYTES = 8 << 20
 SORT_BYTES = 1 << 21
@@ -212,6 +212,37 @@ def _segment_rows(span: int, buckets: int):
     return run
 
 
+def may_share(text: np.ndarray, ends: np.ndarray, problem: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """Flags the strings that may hold a window which another string of their problem holds.
+
+    A window has half of what isn't its anchor on the left or on the right of it, so two equal windows have anchors
+    that agree with the half before or the half after.  The anchor is the gram of the string with the smallest hash.
+    """
+    half = -(-(span - gram) // 2)
+    sides: tuple[list, list] = ([], [])
+    for lo, hi in steps(ends):
+        part, o = text[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+        sums = prefix_sums(part)
+        h = mix((sums[gram:] - sums[:-gram]) * _pow(len(sums))[1][: len(part) - gram + 1])
+        packed = np.full(len(part), np.iinfo(np.uint64).max)
+        packed[: len(h)] = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        packed[_spread(o[1:] - gram + 1, np.full(hi - lo, gram - 1))] = np.iinfo(np.uint64).max  # grams that cross into the next string
+        at = (np.minimum.reduceat(packed, o[:-1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        for side, a, b in ((0, at - half, at + gram), (1, at, at + gram + half)):
+            some = np.flatnonzero((a >= o[:-1]) & (b <= o[1:]))
+            sides[side].append((some + lo, range_hash(sums, a[some], b[some])))
+    use = np.zeros(len(problem), bool)
+    for side in sides:
+        if side:
+            string, h = (np.concatenate(x) for x in zip(*side))
+            order = np.lexsort((h, problem[string]))
+            p, h = problem[string][order], h[order]
+            twin = (p[1:] == p[:-1]) & (h[1:] == h[:-1])
+            use[string[order[np.flatnonzero(twin)]]] = True
+            use[string[order[np.flatnonzero(twin) + 1]]] = True
+    return use
+
+
 def equal_windows(text: np.ndarray, ends: np.ndarray, problem: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
     """Flags each position of text at which a window starts that a string of the same problem with a smaller id also holds.
 
@@ -261,7 +292,7 @@ def equal_windows(text: np.ndarray, ends: np.ndarray, problem: np.ndarray, least
     return flags
 
 
-def _ranges(span: int):
+def _ranges(span: int, gram: int):
     """The ranges that the documents of one bucket lose."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -287,7 +318,11 @@ def _ranges(span: int):
         least = doc[kept]
         text = raw[_spread(ends[kept], size[kept])]
         to = np.r_[0, np.cumsum(size[kept])]
-        flags = equal_windows(text, to, key[kept], least, span)
+        flags = np.zeros(len(text), bool)
+        use = np.flatnonzero(may_share(text, to, key[kept], span, gram))
+        if len(use):
+            own = _spread(to[use], size[kept][use])
+            flags[own] = equal_windows(text[own], np.r_[0, np.cumsum(size[kept][use])], key[kept][use], least[use], span)
         # rows of a document that isn't the smallest lose the segment, the others their flagged windows
         each = np.repeat(np.arange(len(doc)), np.diff(edges))
         whole = doc[each] > least[group[each]]
@@ -321,7 +356,7 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tupl
     wanted = packed.groupBy("bucket").applyInArrow(_shared, "doc_id long, start long, count long, key long")
     wanted = stash(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "key")).alias("wants")), "wanted")
     rows = rest.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wants").mapInArrow(_segment_rows(span, buckets), "bucket int, key long, doc_id long, places array<long>, text binary, b long")
-    lost = rows.groupBy("bucket").applyInArrow(_ranges(span), "doc_id long, a long, b long")
+    lost = rows.groupBy("bucket").applyInArrow(_ranges(span, gram), "doc_id long, a long, b long")
     return copies, stash(lost.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")
 
 
