@@ -119,3 +119,96 @@ def boosted(df: DataFrame, features: list[str], target: str, fold: Column, folds
         m = regression_metrics(model.transform(data.where(F.col("_fold") == k)), [], "_y", "_p").withColumn("fold", F.lit(k))
         out = m if out is None else out.unionByName(m)
     return out
+
+
+# ---------------------------------------------------------------- selection and search
+
+
+def _assembled(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.dropna(subset=[*features, target])).select("_x", F.col(target).cast("double").alias("_y"), *features)
+
+
+def _gbt(trees: int = 10, depth: int = 4, rate: float = 0.1, seed: int = 1):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+
+
+def select_features(df: DataFrame, features: list[str], target: str, limit: float = 0.95, elbow: float = 0.005, most: int = 50) -> list[str]:
+    """Varying columns, then one of each strongly correlated pair (the one closer to the target stays), then the most important ones
+    as long as each adds at least `elbow` of the importance."""
+    from tessera.operators.gates import prune_columns
+
+    kept = prune_columns(df, features)
+    row = df.agg(*[F.corr(c, target).alias(f"t{i}") for i, c in enumerate(kept)], *[F.corr(kept[i], kept[j]).alias(f"c{i}_{j}") for i in range(len(kept)) for j in range(i)]).first()
+    strength = [abs(row[f"t{i}"] or 0.0) for i in range(len(kept))]
+    corr = np.eye(len(kept))
+    for i in range(len(kept)):
+        for j in range(i):
+            corr[i, j] = corr[j, i] = row[f"c{i}_{j}"] or 0.0
+    order = sorted(range(len(kept)), key=lambda i: (-strength[i], kept[i]))
+    kept = decorrelated([kept[i] for i in order], corr[np.ix_(order, order)], limit)
+    model = _gbt().fit(_assembled(df, kept, target))
+    ranked = sorted(zip(model.featureImportances.toArray(), kept), key=lambda p: (-p[0], p[1]))
+    return [name for k, (share, name) in enumerate(ranked) if k == 0 or share >= elbow][:most]
+
+
+def eliminate(df: DataFrame, features: list[str], target: str, fold: Column, step: int = 1, least: int = 1) -> list[tuple[int, float, list[str]]]:
+    """Recursive elimination: (features, held-out RMSE, names) as the least important are dropped step by step."""
+    data, out, kept = df.withColumn("_fold", fold), [], list(features)
+    while len(kept) >= least:
+        train, test = (_assembled(data.where(p), kept, target) for p in (F.col("_fold") != 0, F.col("_fold") == 0))
+        model = _gbt().fit(train)
+        out.append((len(kept), regression_metrics(model.transform(test), [], "_y", "_p").first()["rmse"], kept))
+        if len(kept) == least:
+            break
+        ranked = sorted(zip(model.featureImportances.toArray(), kept), key=lambda p: (-p[0], p[1]))
+        kept = [n for _, n in ranked][: max(least, len(kept) - step)]
+    return out
+
+
+def random_search(df: DataFrame, features: list[str], target: str, fold: Column, trials: int, seed: int = 0) -> list[tuple[float, dict]]:
+    """Held-out RMSE of randomly drawn tree settings, best first."""
+    r, data = np.random.default_rng(seed), df.withColumn("_fold", fold)
+    train, test = (_assembled(data.where(p), features, target).cache() for p in (F.col("_fold") != 0, F.col("_fold") == 0))
+    out = []
+    for _ in range(trials):
+        s = {"trees": int(r.integers(3, 15)), "depth": int(r.integers(2, 6)), "rate": float(r.uniform(0.05, 0.3))}
+        out.append((regression_metrics(_gbt(**s).fit(train).transform(test), [], "_y", "_p").first()["rmse"], s))
+    train.unpersist()
+    test.unpersist()
+    return sorted(out, key=lambda p: p[0])
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], target: str, key: str, seed: int = 0) -> list[tuple[str, float]]:
+    """How much the RMSE rises when a column's values change rows; rows swap within hash parts, so nothing meets in one task."""
+    from pyspark.sql.window import Window
+
+    base = regression_metrics(model.transform(_assembled(df, features, target)), [], "_y", "_p").first()["rmse"]
+    out = []
+    for c in features:
+        part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(64))
+        mixed = Window.partitionBy(part).orderBy(F.xxhash64(key, F.lit(seed + 1)))
+        n = F.count(F.lit(1)).over(Window.partitionBy(part))
+        first = F.first(c).over(mixed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        moved = df.withColumn("_m", F.when(n > 1, F.coalesce(F.lead(c).over(mixed), first)).otherwise(F.col(c))).drop(c).withColumnRenamed("_m", c)
+        out.append((c, regression_metrics(model.transform(_assembled(moved, features, target)), [], "_y", "_p").first()["rmse"] - base))
+    return sorted(out, key=lambda p: (-p[1], p[0]))
+
+
+def embed(df: DataFrame, vector: str, dims: int = 2) -> DataFrame:
+    """A linear embedding of vectors: the first principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    return PCA(k=dims, inputCol="_v", outputCol="_e").fit(data).transform(data).withColumn("embedding_low", vector_to_array("_e")).drop("_v", "_e")
+
+
+def out_of_domain_curve(df: DataFrame, distance: str, truth: str, pred: str, bins: int = 10) -> DataFrame:
+    """Metrics of the predictions by decile of the distance."""
+    from tessera.operators.windows import qcut
+
+    return regression_metrics(qcut(df, distance, bins, "decile").where(F.col("decile").isNotNull()), ["decile"], truth, pred)

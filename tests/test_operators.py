@@ -230,3 +230,19 @@ def test_small_tables(spark, rows):
     assert P.skyline2(df, "v", "v").count() == len(rows)
     assert T.top_k(df, [c("v")], 3).count() == len(rows)
     assert W.cut(df, "v", 4).count() == len(rows)
+
+
+def test_model_selection(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 3))
+    rows = [(i, float(a), float(a) * 2.0 + 0.001 * i, float(b), 1.0, float(3 * a - 2 * b + 0.1 * e)) for i, (a, b, e) in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, a double, a2 double, b double, same double, y double").cache()
+    kept = ML.select_features(df, ["a", "a2", "b", "same"], "y")
+    assert "b" in kept and len({"a", "a2"} & set(kept)) == 1 and "same" not in kept
+    curve = ML.eliminate(df, ["a", "b"], "y", R.md5_fold(c("k"), 3))
+    assert [n for n, *_ in curve] == [2, 1] and curve[0][1] < curve[1][1]
+    assert len(ML.random_search(df, ["a", "b"], "y", R.md5_fold(c("k"), 3), 2)) == 2
+    model = ML._gbt().fit(ML._assembled(df, ["a", "b"], "y"))
+    assert ML.permutation_importance(model, df, ["a", "b"], "y", "k")[0][0] == "a"
+    assert ML.embed(df.withColumn("v", F.array("a", "b")), "v").first().embedding_low is not None
+    assert ML.out_of_domain_curve(df.withColumn("p", c("y") + c("a")), "a", "y", "p").count() == 10
