@@ -93,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.llm.minhash import NEAR_SQL
     from tessera.llm.quotes import CHAT_SQL
 
-    return {"op2_quotes": CHAT_SQL}
+    return {"op2_quotes": CHAT_SQL, "op6_minhash": NEAR_SQL}
