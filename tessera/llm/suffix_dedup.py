@@ -36,7 +36,17 @@ SPAN = 50
 GRAM = 20
 #: Bytes of input for each bucket of anchors, and of text for each pass of the suffix sorter.
 BUCKET_BYTES = 8 << 20
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
+#: Bytes of text that a worker handles at a time; the arrays beside it take some twenty times as much.
+PART_BYTES = 4 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about PART_BYTES of text."""
+    for batch in batches:
+        _, off = column_bytes(batch.column(1))
+        for a, b in steps(off, PART_BYTES):
+            yield batch.slice(a, b - a)
 
 
 def segments(raw: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +117,7 @@ def _anchor_rows(span: int, gram: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() * 7919
-        for batch in batches:
+        for batch in _parts(batches):
             ids = batch.column(0).to_numpy()
             raw, off = column_bytes(batch.column(1))
             row, start, count, h = segments(raw, off, span, gram)
@@ -169,11 +179,11 @@ def _segment_rows(span: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() * 7919
-        for batch in batches:
+        for batch in _parts(batches):
             ids = batch.column(0).to_numpy()
             raw, off = column_bytes(batch.column(1))
             wants = batch.column(2)
-            row = np.repeat(np.arange(len(ids)), np.diff(wants.offsets.to_numpy()))
+            row = np.repeat(np.arange(len(ids)), np.diff(wants.offsets.to_numpy()[: len(ids) + 1]))
             inner = wants.flatten()
             start, count, key = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             a = off[row] + start
