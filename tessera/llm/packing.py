@@ -55,20 +55,39 @@ class Encoder:
         for token, k in vocab.items():
             self.led[k] = token.startswith("Ġ")
         self.added = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.limit, self.cache = cache, {}
+        self.limit, self.cache, self.marks = cache, {}, {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> None:
-        for k in range(0, len(missing), 400):
-            part = missing[k : k + 400]
+        """Adds pieces to the cache. Letters end before a comma or full stop, so a word and its marks are encoded apart."""
+        marked = []
+        plain = set()
+        for p in missing:
+            word = p.rstrip(".,")
+            if word is not p and word and len(word) < len(p) and word.isalpha():
+                marked.append((p, word, p[len(word) :]))
+                if word not in self.cache:
+                    plain.add(word)
+                if p[len(word) :] not in self.marks:
+                    self.marks[p[len(word) :]] = self._ids([p[len(word) :]])[0].tobytes()
+            else:
+                plain.add(p)
+        self._encode_led(list(plain))
+        for p, word, mark in marked:
+            self.cache[p] = self.cache[word] + self.marks[mark]
+
+    def _encode_led(self, pieces: list[str]) -> None:
+        """The ids of pieces after a space, some hundred in one text: each begins at a token that is led by a space."""
+        for k in range(0, len(pieces), 400):
+            part = pieces[k : k + 400]
             ids = self._ids([" " + " ".join(part)])[0]
             at = np.flatnonzero(self.led[ids])
             if len(at) == len(part):
-                at = np.append(at, len(ids)) * 4
+                at = (np.append(at, len(ids)) * 4).tolist()
                 raw = ids.tobytes()
-                self.cache.update(zip(part, (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))))
+                self.cache.update(zip(part, map(raw.__getitem__, map(slice, at[:-1], at[1:]))))
             else:
                 self.cache.update(zip(part, (x.tobytes() for x in self._ids([" " + p for p in part]))))
 
