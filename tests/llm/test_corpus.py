@@ -426,6 +426,22 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert [s for s, _ in CP.STAGES] and 0 < len(kept) < len(rows)
 
 
+def test_pipeline_stages_at_the_edges(spark, tmp_path, rows):
+    """Empty tables, null columns, repeated rows, rows without an id and columns with the operators' own names."""
+    import corpus_pipeline as CP
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, None, None), (rows[0][0], 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    some = table(spark, [*rows[:12], *rows[-14:], (None, "no id " * 30), (None, None)], repeat=rows[:2])
+    for name in ("n_bytes", "_cut", "cuts", "kept", "_left", "wants", "copy"):
+        some = some.withColumn(name, F.lit(7))
+    for name, stage in CP.STAGES:
+        for docs in (some, some.limit(0)):
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns, name
+            assert (out.count() > 0) == (docs is some), name
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_run(spark, name):
