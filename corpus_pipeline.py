@@ -25,7 +25,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    judged = quality(docs, trusted_ids(table(spark, sf_dir, "labels")))
+    # written down before it is filtered: a filter pushed below the figures would compute them once for each use
+    judged = stash(quality(docs, trusted_ids(table(spark, sf_dir, "labels"))).select("doc_id", "kept"), "judged")
     return _without(docs, judged.where(~F.col("kept")).select("doc_id"))
 
 
@@ -38,14 +39,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes that a document of a smaller id holds; a document that has nothing left goes."""
     ship_package(spark)
-    left = remove_repeats(docs, texts=True).where("n_removed > 0").select("doc_id", F.col("text").alias("_left"), "n_bytes", "n_removed")
-    changed = stash(left, "left")
-    out = docs.join(changed.where("doc_id is not null"), "doc_id", "left")
-    cut = F.col("_left").isNotNull()
-    text = F.when(cut, F.col("_left")).otherwise(F.col("text"))
-    out = out.where(~(cut & (F.col("n_bytes") == F.col("n_removed"))) | ~cut)
-    new = {"text": text, "n_chars": F.when(cut, F.char_length("_left").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return out.select([new[c].alias(c) if c in new else c for c in docs.columns])
+    left = remove_repeats(docs, texts=True).where("n_removed > 0 and doc_id is not null")
+    cut = next(n for n in ("_cut", *(f"_cut{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
+    changed = stash(left.select("doc_id", F.struct("text", "n_bytes", "n_removed").alias(cut)), "left").dropDuplicates(["doc_id"])
+    ids = changed.select("doc_id")
+    n = ids.count()
+    # the texts that were cut come from the table just written, so no text is shuffled again
+    rest = with_ids(docs, ids, "doc_id", "left_semi", n).drop("text").join(changed, "doc_id").where(F.col(f"{cut}.n_bytes") > F.col(f"{cut}.n_removed"))
+    text = F.col(f"{cut}.text")
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    rest = rest.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return with_ids(docs, ids, "doc_id", "left_anti", n).unionByName(rest)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
