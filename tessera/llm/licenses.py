@@ -2,8 +2,8 @@
 
 Terms are lower-cased runs of letters and digits.  Their document frequency is counted over all files, for the
 terms of the templates (a fixed number); a term outside the templates has the weight of a term in one file.
-Every line, every run of lines without an empty one, and the whole file is compared with every template; lines
-without a marking term (a template term in at most one file in ten) cannot reach the threshold and are not scored.
+Every line, every run of lines without an empty one, and the whole file is compared with every template; only
+parts that share no term with any template are not scored, as their cosine is 0.
 A file has the best template at or above the threshold.  A file named like a licence, or whose whole text is one,
 speaks for its directory; files without a licence of their own take that of the nearest ancestor directory that
 has one.  Directories are joined by path, one row for each ancestor of a file, after one licence per directory
@@ -19,6 +19,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,36 +77,51 @@ class Scanner:
     def __init__(self, weights: dict[str, float], other: float, threshold: float):
         self.weights, self.other, self.threshold = weights, other, threshold
         self.templates = [(name, *self.vector(terms(x))) for name, texts in TEMPLATES.items() for x in texts]
-        rare = other - 1 - math.log(5)  # log of a tenth of the files, over 5 as the weight counts from two
-        marks = [t for t, w in weights.items() if w >= min(rare, sorted(weights.values())[len(weights) // 2]) and len(t) > 2]
-        self.mark = re.compile("|".join(sorted(map(re.escape, marks), key=lambda t: (-len(t), t))), re.I) if marks else re.compile("(?!)")
-        self.word = re.compile(rf"(?<![A-Za-z0-9])(?:{self.mark.pattern})(?![A-Za-z0-9])", re.I)
+        self.holders: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, t, size) in enumerate(self.templates):
+            for x, w in t.items():
+                self.holders.setdefault(x, []).append((k, w / size))
 
     def vector(self, words: list[str]) -> tuple[dict[str, float], float]:
-        v = {t: c * self.weights.get(t, self.other) for t, c in Counter(words).items()}
+        v = {t: c * self.weights[t] for t, c in Counter(words).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
-    def best(self, text: str) -> tuple[float, str | None]:
-        v, norm = self.vector(terms(text))
+    def best(self, words: list[str]) -> tuple[float, str | None]:
+        counts = Counter(words)
+        shared = counts.keys() & self.holders.keys()
+        if not shared:
+            return 0.0, None
+        squares = sum(map(mul, counts.values(), counts.values()))
+        norm = 0.0
+        dots = [0.0] * len(self.templates)
+        for x in sorted(shared):
+            c = counts[x]
+            v = c * self.weights[x]
+            squares -= c * c
+            norm += v * v
+            for k, w in self.holders[x]:
+                dots[k] += w * v
+        norm = math.sqrt(norm + squares * self.other * self.other)
         out = (0.0, None)
-        for name, t, size in self.templates:
-            dot = sum(w * v[x] for x, w in t.items() if x in v)
-            if dot and (s := dot / (norm * size)) > out[0] + 1e-12:
+        for (name, _, _), dot in zip(self.templates, dots):
+            if (s := dot / norm) > out[0] + 1e-12:
                 out = (s, name)
         return out
 
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """Licence, score, and whether the whole text is one."""
-        if not text or not self.word.search(text):
-            return None, 0.0, False
         best: tuple[float, str | None] = (0.0, None)
-        for block in re.split(r"\n[ \t\r]*\n", text):
-            marked = [line for line in block.split("\n") if self.word.search(line)]
-            for part in (*marked, block) if marked else ():
+        every: list[str] = []
+        blocks = re.split(r"\n[ \t\r]*\n", text or "")
+        for block in blocks:
+            lines = [terms(line) for line in block.split("\n")]
+            joined = lines[0] if len(lines) == 1 else list(chain.from_iterable(lines))
+            every += joined
+            for part in lines if len(lines) == 1 else (*lines, joined):
                 found = self.best(part)
                 if found[0] > best[0]:
                     best = found
-        whole = self.best(text)
+        whole = found if len(blocks) == 1 else self.best(every)
         best = max(best, whole, key=lambda x: x[0])
         return (best[1], best[0], whole[0] >= self.threshold) if best[0] >= self.threshold else (None, best[0], False)
 

@@ -148,6 +148,30 @@ def test_licenses(spark):
     assert LI.license_scan(df.limit(0)).count() == 0
 
 
+def test_licenses_in_most_files(spark):
+    named = [(name, t) for name, texts in LI.TEMPLATES.items() for t in texts]
+    rows = [(f"{name}/{k}-{j}", f"line {k}\n{t}\nother", name) for j, (name, t) in enumerate(named) for k in range(200)]
+    got = LI.license_scan(spark.createDataFrame(rows, "path string, text string, want string"), keep=["want"]).groupBy("want", "license", "origin", "score").count().collect()
+    assert {(r.want, r.license, r.origin, r.score) for r in got} == {(name, name, "own", 1.0) for name in LI.TEMPLATES}
+    assert sum(r["count"] for r in got) == len(rows)
+
+
+def test_license_scores_against_every_part():
+    weights = {t: 1.0 + k % 5 for k, t in enumerate(LI.vocabulary())}
+    scanner = LI.Scanner(weights, 6.0, 0.6)
+    r = random.Random(3)
+    words = ["the", "of", "this", "work", "licensed", "under", "Licensed,", "cc", "BY", "4.0", "mit", "free", "xyz", "\n", "\n \n"]
+    for _ in range(300):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 40)))
+        parts = [p for block in re.split(r"\n[ \t\r]*\n", text) for p in (*block.split("\n"), block)] + [text]
+        want = 0.0
+        for p in parts:
+            v = {t: n * weights.get(t, 6.0) for t, n in Counter(LI.terms(p)).items()}
+            for _, t, size in scanner.templates:
+                want = max(want, sum(x * t.get(w, 0.0) for w, x in v.items()) / (size * sum(x * x for x in v.values()) ** 0.5 or 1.0))
+        assert abs(scanner.scan(text)[1] - want) < 1e-9
+
+
 # ---------------------------------------------------------------- 5
 
 
