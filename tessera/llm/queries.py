@@ -58,7 +58,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sentence_spans import drop_repeated_spans
 
-    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return drop_repeated_spans(table(spark, sf_dir, "documents"), grow=True)
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

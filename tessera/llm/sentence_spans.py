@@ -1,16 +1,19 @@
 """Removal of repeated runs of consecutive sentences.
 
 A text is cut into sentences after . ! ? and at line ends; a sentence of more than `longest` words is cut
-again after every `longest` words, so that a passage without full stops has several.  Every run of `run`
-sentences with at least `least` words is hashed (lower-cased A-Z, white space as one space).  Of all places
-of a run in the corpus the first, by document and place, stays; sentences that any other place covers go.
+again before words whose hash is the least of the `NEAR` words on either side, and `longest` words after a
+cut, so that a passage without full stops has several, and the same ones wherever it stands.  With `grow`,
+as the query runs, the shortest run of at least `run` sentences and `least` words from every sentence on, and
+back from every one, is hashed (lower-cased A-Z, white space as one space; parts without words don't count).
+Without it only runs of exactly `run` sentences that have `least` words are.  Of all places of a run in the
+corpus the first, by document and place, stays; sentences that any other place covers go.
 
 Only hashes and places are shuffled, packed by bucket.  Within an Arrow batch all places but the first are
 settled at once, so a very common run sends one row for each batch.
 
 Defined results: null and empty texts have no sentences; rows without an id stay as they are; rows with the
 same id and place are one place, so repeated rows don't remove each other; texts with fewer than `run`
-sentences stay; other columns are ignored.
+sentences or `least` words stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +33,12 @@ from tessera.llm.common import mix, stash
 RUN = 2
 LEAST_WORDS = 15
 LONGEST = 20
+NEAR = 4
 BUCKET_BYTES = 16 << 20
 
 _BREAK = re.compile(r"((?<=[.!?])[ \t\r]+|\s*\n\s*)")
+_WORD = re.compile(r"\s*\S+\s*(?=\S|$)|\s+$")
+_MOST = np.uint64(2**64 - 1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -44,42 +50,68 @@ def sentences(text: str | None, longest: int = LONGEST) -> list[str]:
         part = parts[k] + (parts[k + 1] if k + 1 < len(parts) else "")
         if not part:
             continue
-        if len(part) > 2 * longest and part.count(" ") >= longest:
-            words = re.findall(r"\s*\S+\s*(?=\S|$)|\s+$", part)
-            out += ["".join(words[a : a + longest]) for a in range(0, len(words), longest)]
+        if len(part) > 2 * longest and len(part.split()) > longest:
+            words = _WORD.findall(part)
+            edges = cuts(words, longest)
+            out += ["".join(words[a:b]) for a, b in zip(edges, edges[1:])]
         else:
             out.append(part)
     return out
 
 
-def run_hashes(parts: list[str], run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each run and whether it has enough words."""
-    hashes, words = [], []
-    for p in parts:
+def cuts(words: list[str], longest: int) -> list[int]:
+    """Places between words that depend on the words near them only, and at most `longest` words apart."""
+    h = np.array([xxhash.xxh3_64_intdigest(w.strip().encode().translate(_LOWER)) for w in words], np.uint64)
+    pad = np.full(NEAR, _MOST)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, h, pad]), NEAR)
+    least = (h < near[: len(h)].min(1)) & (h <= near[NEAR + 1 :].min(1))
+    out = [0]
+    for k in [*(np.flatnonzero(least[1:]) + 1).tolist(), len(words)]:
+        out += range(out[-1] + longest, k, longest)
+        out.append(k)
+    return out
+
+
+def runs(parts: list[str], run: int, least: int, grow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash, first part and number of parts of each run that is to be looked up."""
+    hashes, words, at = [], [], []
+    for k, p in enumerate(parts):
         w = p.encode().translate(_LOWER).split()
-        words.append(len(w))
-        hashes.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
-    n = len(parts) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h, c = np.array(hashes, np.uint64), np.array(words)
-    out, total = h[:n].copy(), c[:n].copy()
-    for j in range(1, run):
-        out = mix(out * np.uint64(0x9FB21C651E98DF25) + h[j : j + n])
-        total += c[j : j + n]
-    return out, total >= least
-
-
-def _pack(run: int, least: int, longest: int, buckets: int):
+        if w or not grow:
+            at.append(k)
+            words.append(len(w))
+            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
+    n = len(at)
+    if n < run:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, place = np.array(hashes, np.uint64), np.array(at)
+    total = np.concatenate([[0], np.cumsum(words)])
+    k = np.arange(n)
+    if grow:
+        end = np.maximum(np.searchsorted(total, total[:-1] + least), k + run)
+        start = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, k + 1 - run)
+        a, b = np.concatenate([k[end <= n], start[start >= 0]]), np.concatenate([end[end <= n], k[start >= 0] + 1])
+        pairs = np.unique(a * (n + 1) + b)
+        a, b = pairs // (n + 1), pairs % (n + 1)
+    else:
+        a = np.flatnonzero(total[run:] - total[:-run] >= least)
+        b = a + run
+    out, size = h[a], b - a
+    for j in range(1, int(size.max(initial=0))):
+        x = np.flatnonzero(size > j)
+        out[x] = mix(out[x] * np.uint64(0x9FB21C651E98DF25) + h[a[x] + j])
+    return out, place[a], place[b - 1] + 1 - place[a]
+
+
+def _pack(run: int, least: int, longest: int, grow: bool, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() * 7919
         for batch in batches:
             hashes, docs, places = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h, ok = run_hashes(sentences(text.as_py(), longest), run, least)
-                at = np.flatnonzero(ok)
-                hashes.append(h[at])
-                places.append(at)
+                h, at, size = runs(sentences(text.as_py(), longest), run, least, grow)
+                hashes.append(h)
+                places.append(at << 32 | size)
                 docs.append(np.full(len(at), doc, np.int64))
             if not hashes:
                 continue
@@ -92,14 +124,14 @@ def _pack(run: int, least: int, longest: int, buckets: int):
             later = np.flatnonzero(~first & ((doc != doc[head]) | (place != place[head])))
             out = []
             if len(later):
-                out.append((-1 - turn % buckets, b"", doc[later].tobytes(), place[later].astype("<u4").tobytes()))
+                out.append((-1 - turn % buckets, b"", doc[later].tobytes(), place[later].tobytes()))
             x = np.flatnonzero(first)
             bucket = (h[x] % np.uint64(buckets)).astype(np.int64)
             x = x[np.argsort(bucket, kind="stable")]
             edge = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 y = x[edge[k] : edge[k + 1]]
-                out.append((k, h[y].tobytes(), doc[y].tobytes(), place[y].astype("<u4").tobytes()))
+                out.append((k, h[y].tobytes(), doc[y].tobytes(), place[y].tobytes()))
             turn += 1
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "h", "doc", "place"])
@@ -108,8 +140,8 @@ def _pack(run: int, least: int, longest: int, buckets: int):
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """The places of one bucket that are not the first of their run."""
-    doc, place = (np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()]) for k, t in (("doc", "<i8"), ("place", "<u4")))
+    """The places (first part << 32 | number of parts) of one bucket that are not the first of their run."""
+    doc, place = (np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()]) for k, t in (("doc", "<i8"), ("place", "<i8")))
     if table["bucket"][0].as_py() >= 0:
         h = np.concatenate([np.frombuffer(x, "<u8") for x in table["h"].to_pylist()])
         order = np.lexsort((place, doc, h))
@@ -117,10 +149,10 @@ def _later(table: pa.Table) -> pa.Table:
         head = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0))
         gone = (doc != doc[head]) | (place != place[head])
         doc, place = doc[gone], place[gone]
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "place": pa.array(place.astype(np.int64), pa.int32())})
+    return pa.table({"doc_id": pa.array(doc, pa.int64()), "place": pa.array(place, pa.int64())})
 
 
-def _rewrite(run: int, longest: int):
+def _rewrite(longest: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, texts = [], []
@@ -128,7 +160,7 @@ def _rewrite(run: int, longest: int):
                 text, gone = text.as_py() or "", ()
                 if places.is_valid:
                     parts = sentences(text, longest)
-                    gone = {p + j for p in places.as_py() for j in range(run) if p + j < len(parts)}
+                    gone = {k for p in places.as_py() for k in range(p >> 32, min((p >> 32) + (p & 0xFFFFFFFF), len(parts)))}
                     text = "".join(p for k, p in enumerate(parts) if k not in gone)
                 removed.append(len(gone))
                 texts.append(text)
@@ -137,14 +169,14 @@ def _rewrite(run: int, longest: int):
     return rows
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least: int = LEAST_WORDS, longest: int = LONGEST) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least: int = LEAST_WORDS, longest: int = LONGEST, grow: bool = False) -> DataFrame:
     """doc_id, n_removed (sentences) and the text that is left, for every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     known = docs.where("doc_id is not null and text is not null")
     size = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, -(-int(size) // BUCKET_BYTES))
-    packed = known.mapInArrow(_pack(run, least, longest, buckets), "bucket int, h binary, doc binary, place binary")
-    later = packed.groupBy("bucket").applyInArrow(_later, "doc_id long, place int")
+    packed = known.mapInArrow(_pack(run, least, longest, grow, buckets), "bucket int, h binary, doc binary, place binary")
+    later = packed.groupBy("bucket").applyInArrow(_later, "doc_id long, place long")
     later = stash(later.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "later")
     out = docs.join(later.hint("merge"), "doc_id", "left")
-    return out.select("doc_id", "text", "places").mapInArrow(_rewrite(run, longest), "doc_id long, n_removed long, text string")
+    return out.select("doc_id", "text", "places").mapInArrow(_rewrite(longest), "doc_id long, n_removed long, text string")

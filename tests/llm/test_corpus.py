@@ -311,6 +311,35 @@ def test_sentence_spans(spark, docs, rows):
     assert sum(map(len, gone.values())) > 20 and SP.drop_repeated_spans(empty(spark)).count() == 0
 
 
+def test_sentence_spans_of_few_words(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    own = lambda n: " ".join(word() for _ in range(n)) + ". "
+    plain = lambda n: " ".join(word() for _ in range(n))
+    lines = "".join(f"{word()} {word()}!\n" for _ in range(25))
+    shouts = "".join(word() + "!! " for _ in range(40))
+    tail = own(19) + own(16) + "The end here. "
+    rows = [(10 * k + j, own(12) + p + own(12)) for k, p in enumerate((lines, shouts, tail)) for j in range(3)]
+    got = {x.doc_id: x for x in SP.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), grow=True).collect()}
+    for k, (p, n) in enumerate(((lines, 25), (shouts, 40), (tail, 3))):
+        assert [(got[10 * k + j].n_removed, p in got[10 * k + j].text) for j in range(3)] == [(0, True), (n, False), (n, False)]
+    passage = [word() for _ in range(60)]
+    rows = [(j, f"{plain(30 + 7 * j)} {' '.join(passage)} {plain(41)}") for j in range(20)]
+    got = {x.doc_id: x.text.split() for x in SP.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), grow=True).collect()}
+    assert got[0] == rows[0][1].split()
+    for j, t in rows[1:]:
+        assert len(set(passage) & set(got[j])) <= 30 and set(t.split()) - set(passage) <= set(got[j])
+
+
+def test_cuts_of_long_sentences():
+    r = random.Random(4)
+    for n in (21, 300, 2000):
+        words = [f"w{r.randint(0, 500)} " for _ in range(n)]
+        assert "".join(SP.sentences("".join(words))) == "".join(words)
+        assert max(len(p.split()) for p in SP.sentences("".join(words))) <= SP.LONGEST
+    assert {len(p.split()) for p in SP.sentences("x " * 400)} == {SP.LONGEST}
+
+
 # ---------------------------------------------------------------- 8
 
 
