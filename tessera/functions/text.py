@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import stash
+
+#: Most rows of an n-gram table that the driver and the workers hold.
+MODEL_ROWS = 1_000_000
+
 
 def md5_fold(key: Column, folds: int) -> Column:
     """The MD5 of the key as a number modulo folds, digit by digit."""
@@ -91,6 +97,45 @@ def generate(model: dict[str, list[tuple[str, int]]], seeds: DataFrame, n: int,
     return seeds.mapInPandas(run, "seed long, text string")
 
 
+def generate_from(counts: DataFrame, seeds: DataFrame, n: int, longest: int, start: str, end: str, most: int = MODEL_ROWS) -> DataFrame:
+    """seed, text: generate() by a table of prefix, next, n of any size; beyond `most` rows each character is a join."""
+    counts = stash(counts.select("prefix", "next", "n"), "ngrams")
+    if counts.count() <= most:
+        model: dict[str, list[tuple[str, int]]] = {}
+        for r in sorted(counts.collect(), key=lambda r: (r.prefix, r.next)):
+            model.setdefault(r.prefix, []).append((r.next, r.n))
+        return generate(model, seeds, n, longest, start, end)
+    import random
+
+    def pick(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, ends = [], []
+                for seed, text, done, options in zip(*(col.to_pylist() for col in batch.columns)):
+                    if not done and options:
+                        r = random.Random(seed)
+                        for _ in range(k):
+                            r.random()
+                        c = r.choices([o["next"] for o in options], [o["n"] for o in options])[0]
+                        done, text = c == end, text if c == end else text + c
+                    else:
+                        done = True
+                    texts.append(text)
+                    ends.append(done)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(ends, pa.bool_())], names=["seed", "text", "done"])
+
+        return run
+
+    options = stash(counts.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("next", "n"))).alias("options")), "options")
+    rows = stash(seeds.select(F.col("seed").cast("long").alias("seed"), F.lit(start).alias("text"), F.lit(False).alias("done")), "drawn")
+    for k in range(longest):
+        if rows.where("not done").isEmpty():
+            break
+        found = rows.withColumn("prefix", F.when(~F.col("done"), F.substring("text", -n, n))).join(options, "prefix", "left")
+        rows = stash(found.select("seed", "text", "done", "options").mapInArrow(pick(k), "seed long, text string, done boolean"), "drawn")
+    return rows.select("seed", F.expr(f"substring(text, {len(start) + 1})").alias("text"))
+
+
 def carried(df: DataFrame, keys: list[str], order: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """A line state machine: each pattern's first group, carried forward to the lines after it."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

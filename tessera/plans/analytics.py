@@ -411,9 +411,5 @@ def boosted_regression(spark, d):
 
 @query()
 def ngram_generator(spark, d):
-    rows = R.ngrams(read(spark, d, "benchmark").where("item_id < 20").select(F.concat(F.lit("^^^"), F.lower("text"), F.lit("$")).alias("text")), "text", 3).collect()
-    model: dict = {}
-    for r in sorted(rows, key=lambda r: (r.prefix, r.next)):
-        model.setdefault(r.prefix, []).append((r.next, r.n))
-    return R.generate(model, spark.range(100).withColumnRenamed("id", "seed"), 3, 80, "^^^", "$")
-
+    texts = read(spark, d, "benchmark").select(F.concat(F.lit("^^^"), F.lower("text"), F.lit("$")).alias("text"))
+    return R.generate_from(R.ngrams(texts, "text", 3), spark.range(100).withColumnRenamed("id", "seed"), 3, 80, "^^^", "$")

@@ -205,6 +205,21 @@ def test_text_functions(spark):
     assert "alpha-pinene" in v
 
 
+def test_ngram_generator_learns_from_every_row(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    spark.createDataFrame([(k, "zq" if k >= 20 else "zab") for k in range(400)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r.text for r in catalogue.queries()["ngram_generator"](spark, str(tmp_path)).collect()]
+    assert len(got) == 100 and got.count("zq") > 80 and set(got) <= {"zq", "zab"}
+
+
+def test_generated_by_joins(spark):
+    texts = spark.createDataFrame([("^^^abab$",), ("^^^abba$",), ("^^^bé$",), ("^^^cdcdcd",), (None,)], "text string")
+    counts, seeds = R.ngrams(texts, "text", 3), spark.range(40).withColumnRenamed("id", "seed")
+    held, joined = ({r.seed: r.text for r in R.generate_from(counts, seeds, 3, 5, "^^^", "$", most=m).collect()} for m in (1000, 1))
+    assert held == joined and len(held) == 40 and len(set(held.values())) > 2
+
+
 def test_ledoit_wolf_against_numpy():
     x = np.random.default_rng(1).normal(size=(40, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0], [0, 0, 3.0]])
     x = x - x.mean(0)
