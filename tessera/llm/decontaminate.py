@@ -9,7 +9,7 @@ The benchmark is taken in blocks of bounded size, each sent to the executors onc
 number of items; documents are only scanned, never shuffled.
 
 Defined results: null and empty texts, and items without text, match nothing; an item shorter than min_chars
-matches only a document that is equal to it; rows with the same id give a row each; with ties the leftmost
+matches only passages that begin and end at word boundaries; rows with the same id give a row each; with ties the leftmost
 passage of the smallest distance counts; other columns are ignored.
 """
 
@@ -94,21 +94,37 @@ def best_passage(item: str, peq: dict[str, int], back: dict[str, int], text: str
     return best, start, end
 
 
+def at_edge(text: str, k: int) -> bool:
+    """No word of letters and digits goes on across place k."""
+    return not 0 < k < len(text) or not (text[k - 1].isalnum() and text[k].isalnum())
+
+
+def best_words(item: str, peq: dict[str, int], text: str, starts: list[int], errors: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the nearest passage between word edges that starts within errors of starts, leftmost first."""
+    best = None
+    for s in sorted({x for s in starts for x in range(max(0, s - errors), s + errors + 1)}):
+        if not at_edge(text, s):
+            continue
+        for k, d in enumerate(distances(peq, len(item), text[s : s + len(item) + errors], anchored=True)):
+            if d <= errors and (best is None or d < best[0]) and at_edge(text, s + k + 1):
+                best = d, s, s + k + 1
+        if best and best[0] == 0:
+            break
+    return best
+
+
 class Matcher:
     """All items of a block."""
 
     def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items, self.short = [], defaultdict(list)
+        self.items, self.min_chars = [], min_chars
         found: dict[str, list] = defaultdict(list)
         for item_id, raw in items:
             text = normal(raw)
             if not text:
                 continue
-            if len(text) < min_chars:
-                self.short[text].append(item_id)
-                continue
             errors = int(len(text) * budget)
             for a, piece in pieces(text, errors):
                 found[piece].append((len(self.items), a))
@@ -122,7 +138,7 @@ class Matcher:
     def match(self, raw: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best passage of each item in the text."""
         text = normal(raw)
-        out = [(item_id, 0, 0, len(text)) for item_id in self.short.get(text, ())]
+        out = []
         places: dict[int, list[int]] = defaultdict(list)
         if len(self.automaton):
             for last, (size, where) in self.automaton.iter(text):
@@ -130,6 +146,10 @@ class Matcher:
                     places[k].append(last + 1 - size - a)
         for k, starts in places.items():
             item_id, item, errors, peq, back = self.items[k]
+            if len(item) < self.min_chars:
+                if best := best_words(item, peq, text, starts, errors):
+                    out.append((item_id, *best))
+                continue
             best = None
             upto = None
             for s in sorted(set(starts)):

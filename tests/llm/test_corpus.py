@@ -133,6 +133,29 @@ def test_contamination(spark, rows):
     assert len(list(D.blocks(bench, "item_id", "text", most=2))) == 4
 
 
+def test_contamination_by_short_items(spark):
+    bench = spark.createDataFrame([(1, "tiny art"), (2, "What is 2 + 2?"), (3, "xq")], "item_id long, text string")
+    texts = ["a long text with Tiny  ART in it", "tiny artist, then tiny art.", "tiny artist", "ask: what is 2 + 3? and more", "xqs sxq", "so (xq) here", "xq", "what was 3 + 2?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.distance, D.normal(texts[x.doc_id])[x.start : x.end]) for x in D.contamination(df, bench).collect()}
+    assert got == {(0, 1): (0, "tiny art"), (1, 1): (0, "tiny art"), (3, 2): (1, "what is 2 + 3?"), (5, 3): (0, "xq"), (6, 3): (0, "xq")}
+    assert {x.doc_id for x in D.decontaminate(df, bench).collect()} == {2, 4, 7}
+
+
+def test_short_items_against_dp():
+    r = random.Random(9)
+    for _ in range(300):
+        item = D.normal("".join(r.choice("ab c.") for _ in range(r.randint(1, 19))))
+        t = D.normal("".join(r.choice("ab c.") for _ in range(12)) + r.choice(["", " ", "a"]) + item.replace("a", r.choice("ab"), 1) + r.choice(["", " ", "a"]) + "".join(r.choice("ab c.") for _ in range(12)))
+        if not item:
+            continue
+        e = int(len(item) * D.BUDGET)
+        spans = [(_edit(item, t[a:b]), a) for a in range(len(t)) for b in range(max(a + 1, a + len(item) - e), min(len(t), a + len(item) + e) + 1) if D.at_edge(t, a) and D.at_edge(t, b)]
+        want = min((x for x in spans if x[0] <= e), default=None)
+        got = D.Matcher([(1, item)]).match(t)
+        assert [x[1:3] for x in got] == ([want] if want else [])
+
+
 # ---------------------------------------------------------------- 4
 
 
