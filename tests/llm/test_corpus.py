@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with nulls, copies, ties and clashing columns."""
 
 import hashlib
+import heapq
 import os
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from brute_lm import scores
@@ -24,6 +26,7 @@ from tessera.llm import quality as Q
 from tessera.llm import quotes as QU
 from tessera.llm import sentence_spans as SP
 from tessera.llm import suffix_dedup as SD
+from tessera.llm.common import column_bytes
 from tessera.llm.components import connected_components
 from tessera.llm.queries import queries, tokenizer_path
 from tessera.llm.suffix import suffix_arrays
@@ -437,14 +440,53 @@ def test_differencing():
     assert PK.pack(np.array([2048, 2048, 1]))[1] == 3
 
 
+def _plain_differencing(sizes, windows):
+    """Loads of the windows in falling order, by lists."""
+    heap = [(-s, k, [s] + [0] * (windows - 1)) for k, s in enumerate(sizes)]
+    heapq.heapify(heap)
+    tie = len(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        loads = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        heapq.heappush(heap, (loads[-1] - loads[0], tie, loads))
+        tie += 1
+    return heap[0][2]
+
+
+def test_differencing_against_lists():
+    r = random.Random(6)
+    for _ in range(60):
+        sizes = [r.randint(1, r.choice([5, 40, 512])) for _ in range(r.randint(1, 60))]
+        windows = r.randint(2, 12)
+        window, _ = PK.difference(np.array(sizes), windows)
+        assert sorted(np.bincount(window, sizes, windows).tolist(), reverse=True) == _plain_differencing(sizes, windows)
+
+
+def _encoded(enc, texts):
+    ids, ends = enc.encode(*column_bytes(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers"), reason="no tokenizers")
+@pytest.mark.parametrize("cache", [5, 100_000])
+def test_encoder_against_the_tokenizer(cache):
+    enc = PK.Encoder(tokenizer_path(), cache=cache)
+    r = random.Random(3)
+    marks = ["a", "b", "the"] + [" "] * 3 + ["  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x00", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "\u200b", "\u2014", "é", "1", "23", ".", ",", "'s", "'", "$$", "中", "\U0001f600", "A", "'re", "<|endoftext|>"]
+    for _ in range(60):
+        texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 40))) for _ in range(50)] + [None]
+        assert _encoded(enc, texts) == [[*enc.tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    long = ["word" * 300_000, " ".join(["one two"] * 200_000), " " * 1_500_000 + "x"]
+    assert _encoded(enc, long) == [[*enc.tok.encode(t, add_special_tokens=False).ids, 1] for t in long]
+
+
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers"), reason="no tokenizers")
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
     odd = ["", "  ", " a", "a ", "a  b", "\n the", "x \n y", "<|endoftext|> hi", "é  b", "a 　b", "it's  we'll ", "\x1c \x1d a"]
-    enc = PK.Encoder(tokenizer_path(), cache=5)
-    assert enc.encode(odd) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(odd, add_special_tokens=False)]
+    assert _encoded(PK.Encoder(tokenizer_path(), cache=5), odd) == [[*e.ids, 1] for e in tok.encode_batch(odd, add_special_tokens=False)]
     got = PK.pack_documents(docs, tokenizer_path(), buffer=64).collect()
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in [*rows, (None, "no id " * 30)]}
     copies = Counter([i for i, _ in rows] + [None] + [i for i, _ in rows[:2]])
