@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.quantiles import exact_quantiles, linear_spots, with_group_values
 from tessera.operators.windows import running_total
 
 
@@ -50,8 +51,9 @@ def between_within(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def median_if_steady(df: DataFrame, keys: list[str], value: str, max_sd: float) -> DataFrame:
     """The median of groups that have one row or a small deviation."""
-    g = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
-    return g.where((F.col("n") == 1) | (F.coalesce("sd", F.lit(0.0)) <= max_sd)).drop("sd")
+    g = df.groupBy(*keys).agg(F.stddev_samp(value).alias("sd"), F.count(value).alias("n")).where((F.col("n") == 1) | (F.coalesce("sd", F.lit(0.0)) <= max_sd))
+    medians = exact_quantiles(df, keys, F.col(value), linear_spots([0.5])).select(*keys, F.col("quantiles")[0].alias("median"))
+    return with_group_values(g.drop("sd"), keys, medians).select(*keys, "median", "n")
 
 
 def two_level(df: DataFrame, outer: list[str], inner: list[str], value: str) -> DataFrame:
@@ -77,24 +79,21 @@ def across(columns: list[str]) -> dict[str, Column]:
 
 
 def conformal_quantile(df: DataFrame, keys: list[str], residual: Column, alpha: float) -> DataFrame:
-    """The residual quantile at the level min((1 - alpha)(n + 1) / n, 1) of every group."""
-    w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, F.abs(residual).alias("r")).where("r is not null")
-    ranked = ranked.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("r")) - 1)
-    spot = F.least((1 - alpha) * (F.col("n") + 1) / F.col("n"), F.lit(1.0)) * (F.col("n") - 1)
-    near = ranked.withColumn("at", spot).where((F.col("k") == F.floor("at")) | (F.col("k") == F.ceil("at")))
-    lo, hi = F.min("r"), F.max("r")
-    return near.groupBy(*keys).agg((lo + (hi - lo) * (F.first("at") - F.floor(F.first("at")))).alias("q"), F.first("n").alias("n"))
+    """The residual quantile at the level min((1 - alpha)(n + 1) / n, 1) of every group; without keys, of the whole table."""
+    spot = lambda n: [F.least((1 - alpha) * (n + 1) / n, F.lit(1.0)) * (n - 1)]
+    return exact_quantiles(df, keys, F.abs(residual), spot).select(*keys, F.col("quantiles")[0].alias("q"), "n")
 
 
-def regression_metrics(df: DataFrame, keys: list[str], truth: str, pred: str, least: int = 1) -> DataFrame:
+def regression_metrics(df: DataFrame, keys: list[str], truth: str, pred: str, least: int = 1, median: bool = True) -> DataFrame:
+    """r2, rmse, mae, medae (if asked for), bias and n of every group of at least so many rows."""
     e = F.col(pred) - F.col(truth)
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    out = g.agg(
-        (1 - F.sum(e * e) / (F.var_pop(truth) * F.count(truth))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        F.percentile(F.abs(e), 0.5).alias("medae"), F.avg(e).alias("bias"), F.count(e).alias("n"),
-    )
-    return out.where(F.col("n") >= least)
+    out = df.groupBy(*keys).agg(
+        (1 - F.sum(e * e) / (F.var_pop(truth) * F.count(truth))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.count(e).alias("n")
+    ).where(F.col("n") >= least)
+    if not median:
+        return out
+    medians = exact_quantiles(df, keys, F.abs(e), linear_spots([0.5])).select(*keys, F.col("quantiles")[0].alias("medae"))
+    return with_group_values(out, keys, medians).select(*keys, "r2", "rmse", "mae", "medae", "bias", "n")
 
 
 def classification_metrics(df: DataFrame, truth: Column, pred: Column, keys: list[str] = ()) -> DataFrame:

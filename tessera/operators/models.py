@@ -102,7 +102,7 @@ def ensemble(df: DataFrame, features: list[str], models: list[np.ndarray], targe
     names = [f"_p{k}" for k in range(len(models))]
     df = df.withColumns({n: _predict(features, w) for n, w in zip(names, models)})
     own = F.element_at(F.array(*[F.col(n) for n in names]), F.col(fold) + 1)
-    q = conformal_quantile(df.withColumn("_g", F.lit(0)).withColumn("_bucket", F.lit(0)), ["_g"], F.col(target) - own, alpha).first()["q"]
+    q = conformal_quantile(df, [], F.col(target) - own, alpha).first()["q"]
     x = across(names)
     return df.withColumns({"mean": x["mean"], "sd": x["sd"]}).withColumns({"low": F.col("mean") - q, "high": F.col("mean") + q}).drop(*names)
 
@@ -161,7 +161,7 @@ def eliminate(df: DataFrame, features: list[str], target: str, fold: Column, ste
     while len(kept) >= least:
         train, test = (_assembled(data.where(p), kept, target) for p in (F.col("_fold") != 0, F.col("_fold") == 0))
         model = _gbt().fit(train)
-        out.append((len(kept), regression_metrics(model.transform(test), [], "_y", "_p").first()["rmse"], kept))
+        out.append((len(kept), regression_metrics(model.transform(test), [], "_y", "_p", median=False).first()["rmse"], kept))
         if len(kept) == least:
             break
         ranked = sorted(zip(model.featureImportances.toArray(), kept), key=lambda p: (-p[0], p[1]))
@@ -176,7 +176,7 @@ def random_search(df: DataFrame, features: list[str], target: str, fold: Column,
     out = []
     for _ in range(trials):
         s = {"trees": int(r.integers(3, 15)), "depth": int(r.integers(2, 6)), "rate": float(r.uniform(0.05, 0.3))}
-        out.append((regression_metrics(_gbt(**s).fit(train).transform(test), [], "_y", "_p").first()["rmse"], s))
+        out.append((regression_metrics(_gbt(**s).fit(train).transform(test), [], "_y", "_p", median=False).first()["rmse"], s))
     train.unpersist()
     test.unpersist()
     return sorted(out, key=lambda p: p[0])
@@ -186,7 +186,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], target: st
     """How much the RMSE rises when a column's values change rows; rows swap within hash parts, so nothing meets in one task."""
     from pyspark.sql.window import Window
 
-    base = regression_metrics(model.transform(_assembled(df, features, target)), [], "_y", "_p").first()["rmse"]
+    base = regression_metrics(model.transform(_assembled(df, features, target)), [], "_y", "_p", median=False).first()["rmse"]
     out = []
     for c in features:
         part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(64))
@@ -194,7 +194,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], target: st
         n = F.count(F.lit(1)).over(Window.partitionBy(part))
         first = F.first(c).over(mixed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         moved = df.withColumn("_m", F.when(n > 1, F.coalesce(F.lead(c).over(mixed), first)).otherwise(F.col(c))).drop(c).withColumnRenamed("_m", c)
-        out.append((c, regression_metrics(model.transform(_assembled(moved, features, target)), [], "_y", "_p").first()["rmse"] - base))
+        out.append((c, regression_metrics(model.transform(_assembled(moved, features, target)), [], "_y", "_p", median=False).first()["rmse"] - base))
     return sorted(out, key=lambda p: (-p[1], p[0]))
 
 

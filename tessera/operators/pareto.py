@@ -16,6 +16,8 @@ from tessera.session import stash
 
 #: Hash parts that are thinned on their own before the whole: the skyline of a union is that of the parts' skylines.
 PARTS = 64
+#: Points that one round compares with all others.
+BLOCK = 512
 
 
 def _known(df: DataFrame, objectives: list[str]) -> DataFrame:
@@ -38,37 +40,62 @@ def skyline2(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     return _front2(_front2(parts, [*keys, "_part"], x, y).drop("_part"), keys, x, y)
 
 
-def dominates(a: str, b: str, objectives: list[str]) -> Column:
-    ge = [F.col(f"{a}.{c}") >= F.col(f"{b}.{c}") for c in objectives]
-    gt = [F.col(f"{a}.{c}") > F.col(f"{b}.{c}") for c in objectives]
-    return reduce(lambda p, q: p & q, ge) & reduce(lambda p, q: p | q, gt)
+def dominates(a: Column, b: Column, objectives: list[str]) -> Column:
+    """Whether the point (a struct) a is as good as b everywhere and better somewhere."""
+    return reduce(lambda p, q: p & q, [a[c] >= b[c] for c in objectives]) & reduce(lambda p, q: p | q, [a[c] > b[c] for c in objectives])
 
 
-def skyline(df: DataFrame, objectives: list[str], key: str) -> DataFrame:
-    """Any number of objectives: parts are thinned by an equi-join on the part, then the survivors by each other."""
-    df = _known(df, objectives)
-    parts = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
-    slim = parts.select("_part", *objectives)
-    local = parts.alias("b").join(slim.alias("a"), (F.col("a._part") == F.col("b._part")) & dominates("a", "b", objectives), "left_anti").drop("_part")
-    return local.alias("b").join(local.select(*objectives).alias("a"), dominates("a", "b", objectives), "left_anti")
-
+def skyline(df: DataFrame, objectives: list[str], block: int = BLOCK) -> DataFrame:
+    """Rows that no other row dominates, for any number of objectives.
 
-def front_ranks(df: DataFrame, objectives: list[str], key: str, depth: int) -> DataFrame:
-    """The first `depth` fronts, numbered from 0, by peeling; each front is written down, so the plan doesn't grow."""
+    Distinct points are taken in blocks of fixed size by falling sum: whatever dominates a point has a larger sum, or the same
+    and a larger first objective, so a block's own skyline is final.  It filters all points after the block, as one
+    row of an array; the rounds end when no point is left.  No two unbounded sides are compared.
+    """
+    df = _known(df, objectives)
+    bounded = lambda c: F.greatest(F.least(F.col(c).cast("double"), F.lit(1e300)), F.lit(-1e300))
+    points = df.select(*objectives).distinct().withColumn("_sum", reduce(lambda a, b: a + b, [bounded(c) for c in objectives]))
+    fields = ["_sum", *objectives]
+    rest, fronts = stash(points, "points"), []
+    while True:
+        top = rest.orderBy(*[F.col(c).desc() for c in fields]).limit(block).agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("t"))
+        own = F.filter("t", lambda p: ~F.exists("t", lambda q: dominates(q, p, objectives)))
+        held = stash(top.select(own.alias("front"), F.try_element_at("t", F.lit(-1)).alias("last")).where("last is not null"), "front")
+        if held.isEmpty():
+            break
+        fronts.append(held.select(F.explode("front").alias("p")).select(*[F.col("p")[c].alias(c) for c in objectives]))
+        point = F.struct(*fields)
+        after = rest.withColumn("_front", held.select("front").scalar()).where(point < held.select("last").scalar())
+        rest = stash(after.where(~F.exists("_front", lambda q: dominates(q, point, objectives))).drop("_front"), "points")
+    if not fronts:
+        return df
+    best = reduce(DataFrame.union, fronts)
+    return df.join(best, objectives, "left_semi")
+
+
+def front_ranks(df: DataFrame, objectives: list[str], key: str, depth: int | None = None) -> DataFrame:
+    """All fronts (or the first `depth`), numbered from 0, by peeling; each front is written down, so the plan doesn't grow."""
     rest, out = stash(_known(df, objectives), "front"), []
-    for k in range(depth):
-        front = stash(skyline(rest, objectives, key).withColumn("front", F.lit(k)), "front")
+    while depth is None or len(out) < depth:
+        front = stash(skyline(rest, objectives).withColumn("front", F.lit(len(out))), "front")
         if front.isEmpty():
             break
         out.append(front)
-        if k < depth - 1:
-            rest = stash(rest.join(front.select(key), key, "left_anti"), "front")
+        rest = stash(rest.join(front.select(*objectives).distinct(), objectives, "left_anti"), "front")
     return reduce(DataFrame.unionByName, out) if out else rest.withColumn("front", F.lit(0))
 
 
-def survivors(df: DataFrame, objectives: list[str], key: str, n: int, depth: int) -> DataFrame:
-    """n rows by front, then by crowding within the front."""
-    ranked = crowding(front_ranks(df, objectives, key, depth), ["front"], objectives, key)
+def survivors(df: DataFrame, objectives: list[str], key: str, n: int, depth: int | None = None) -> DataFrame:
+    """n rows by front, then by crowding within the front; fronts are peeled until they hold n rows."""
+    rest, out, held = stash(_known(df, objectives), "front"), [], 0
+    while held < n and (depth is None or len(out) < depth):
+        front = stash(skyline(rest, objectives).withColumn("front", F.lit(len(out))), "front")
+        if not (size := front.count()):
+            break
+        held += size
+        out.append(front)
+        rest = stash(rest.join(front.select(*objectives).distinct(), objectives, "left_anti"), "front")
+    ranked = crowding(reduce(DataFrame.unionByName, out) if out else rest.withColumn("front", F.lit(0)), ["front"], objectives, key)
     return ranked.orderBy("front", F.col("crowding").desc(), key).limit(n)
 
 

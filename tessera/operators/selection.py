@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.quantiles import exact_quantiles, with_group_values
+
 
 def _ranked(df: DataFrame, keys: list, order: list[Column], name: str = "_rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -60,10 +62,17 @@ def random_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """floor(fraction * size) rows of every stratum, one at least."""
-    size = df.groupBy(*strata).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * fraction)).alias("_take"))
-    ranked = _ranked(df, strata, [draw(F.col(key), seed), F.col(key)])
-    return ranked.join(size, strata).where(F.col("_rn") <= F.col("_take")).drop("_rn", "_take")
+    """floor(fraction * size) rows of every stratum, one at least: those whose draw is below the stratum's exact quantile.
+
+    No stratum is ordered; only rows that draw the very number of the last place are ranked, by their key.
+    """
+    dealt = df.withColumn("_draw", draw(F.col(key), seed))
+    take = lambda n: F.greatest(F.lit(1), F.floor(n * fraction))
+    last = exact_quantiles(dealt, strata, F.col("_draw"), lambda n: [take(n) - 1]).select(*strata, take(F.col("n")).alias("_take"), F.col("quantiles")[0].alias("_last"))
+    near = with_group_values(dealt, strata, last).where(F.col("_draw") <= F.col("_last"))
+    below = near.groupBy(*strata).agg(F.count_if(F.col("_draw") < F.col("_last")).alias("_below"))
+    ties = _ranked(with_group_values(near.where(F.col("_draw") == F.col("_last")), strata, below), strata, [F.col(key)]).where(F.col("_rn") <= F.col("_take") - F.col("_below"))
+    return near.where(F.col("_draw") < F.col("_last")).select(*df.columns).unionByName(ties.select(*df.columns))
 
 
 def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int = 0, floor: float = 0.01) -> DataFrame:

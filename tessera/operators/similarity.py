@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.session import stash
 
-#: Rows in a tile; a task holds two tiles.
-TILE = 1024
+#: Rows in a tile, at least and at most: a task holds two tiles and compares a step of rows at a time.
+TILE = (1024, 16384)
+STEP = 512
+#: Rows of a group that one round of leader clustering takes in order.
+HEAD = 2048
 
 
-def sign_word(vector: Column, bits: int = 62) -> Column:
-    """The signs of the first entries as the bits of a long."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(bits)), F.lit(0).cast("long"), lambda a, k: a * 2 + (F.element_at(vector, k) > 0).cast("long"))
+def sign_word(vector: Column, first: int = 1, bits: int = 64) -> Column:
+    """The signs of 64 entries, from `first`, as the bits of a long; longer vectors take one word for each 64 entries."""
+    bit = lambda a, k: F.shiftleft(a, 1).bitwiseOR((F.get(vector, k - 1) > 0).cast("long"))
+    return F.aggregate(F.sequence(F.lit(first), F.lit(first + bits - 1)), F.lit(0).cast("long"), lambda a, k: F.coalesce(bit(a, k), F.shiftleft(a, 1)))
 
 
 def tanimoto(a: Column, b: Column) -> Column:
@@ -22,38 +31,49 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.when(either > 0, F.bit_count(a.bitwiseAND(b)) / either).otherwise(0.0)
 
 
-def _tiles(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
-    """(key, value, tile, other): each row once for every tile that it meets."""
-    tiles = max(1, -(-n // TILE))
-    tile = F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int")
-    return df.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v"), tile.alias("tile")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+def _tile_count(n: int) -> int:
+    return max(1, -(-n // min(max(n // 8, TILE[0]), TILE[1])))
+
+
+def _dealt(df: DataFrame, columns: list[str], tile_by: Column, mine: int, theirs: int, side: int) -> DataFrame:
+    """Each row once for every tile of the other side: columns, i, j, side."""
+    tile = F.pmod(F.xxhash64(tile_by), F.lit(mine)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(theirs - 1)))
+    i, j = (tile, other) if side == 0 else (other, tile)
+    return df.select(*columns, i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
 
 
-def _overlap(words: np.ndarray) -> np.ndarray:
+def _bits(words: np.ndarray) -> np.ndarray:
     return ((words[:, None].view(np.uint64) >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
 
 
+def _similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = (a @ b.T).astype(np.float64)
+    either = a.sum(1)[:, None] + b.sum(1)[None, :] - both
+    return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+
+
 def mean_tanimoto(df: DataFrame, key: str, word: str) -> DataFrame:
     """key, mean_similarity: each row's mean similarity with all other rows, exact.
 
-    Every pair of tiles is one task that returns a sum for each row, so no pair of rows is ever a row.
+    Rows of equal words are one counted word.  Every pair of tiles of distinct words is one task that returns a sum for each
+    word, so no pair is ever a row.
     """
-    n = df.count()
-    dealt = _tiles(df, key, word, n)
-    left = dealt.select("k", "v", F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-    right = dealt.select("k", "v", F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"))
+    rows = df.select(F.col(key).alias(key), F.col(word).alias("w"))
+    words = stash(rows.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
+    size = words.agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n")).first()
+    n, tiles = size.n or 0, _tile_count(size.d)
+    left, right = (_dealt(words, ["w", "c"], F.col("w"), tiles, tiles, side) for side in (0, 1))
 
     def sums(t: pa.Table) -> pa.Table:
-        k, v, side = (t[c].to_numpy() for c in ("k", "v", "side"))
-        a, b = _overlap(v[side == 0].copy()), _overlap(v[side == 1].copy())
-        both = (a @ b.T).astype(np.float64)
-        either = a.sum(1)[:, None] + b.sum(1)[None, :] - both
-        sim = np.divide(both, either, out=np.zeros_like(both), where=either > 0)
-        sim[k[side == 0][:, None] == k[side == 1][None, :]] = 0
-        return pa.table({"k": k[side == 0], "s": sim.sum(1) if b.size else np.zeros(len(a))})
+        w, c, side = (t[x].to_numpy() for x in ("w", "c", "side"))
+        mine, b, weight = w[side == 0], _bits(w[side == 1].copy()), c[side == 1].astype(np.float64)
+        out = [_similarities(_bits(mine[k : k + STEP].copy()), b) @ weight for k in range(0, len(mine), STEP)]
+        return pa.table({"w": mine, "s": np.concatenate(out) if out else np.zeros(0)})
 
-    each = left.union(right).groupBy("i", "j").applyInArrow(sums, "k long, s double")
-    return each.groupBy("k").agg((F.sum("s") / max(n - 1, 1)).alias("mean_similarity")).withColumnRenamed("k", key)
+    each = left.union(right).groupBy("i", "j").applyInArrow(sums, "w long, s double").groupBy("w").agg(F.sum("s").alias("s"))
+    own = F.when(F.col("w") != 0, 1.0).otherwise(0.0)
+    return rows.join(each, "w").select(key, ((F.col("s") - own) / max(n - 1, 1)).alias("mean_similarity"))
 
 
 def niched(fitness: Column, similarity: Column, tau: float, alpha: float = 1000.0, p: float = 2.0) -> Column:
@@ -61,38 +81,66 @@ def niched(fitness: Column, similarity: Column, tau: float, alpha: float = 1000.
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """key, rank, neighbour, distance: the k nearest other rows (Euclid), exact."""
-    n = df.count()
-    dealt = _tiles(df.withColumn(vector, F.col(vector).cast("array<double>")), key, vector, n)
-    left = dealt.select("k", "v", F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-    right = dealt.select("k", "v", F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"))
+    """key, rank, neighbour, distance: the k nearest other rows (Euclid), exact; a task compares two tiles."""
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    tiles = _tile_count(rows.count())
+    left, right = (_dealt(rows, ["k", "v"], F.col("k"), tiles, tiles, side) for side in (0, 1))
 
     def best(t: pa.Table) -> pa.Table:
         key_, side = t["k"].to_numpy(), t["side"].to_numpy()
         v = np.array(t["v"].to_pylist(), np.float64)
         a, b, ka, kb = v[side == 0], v[side == 1], key_[side == 0], key_[side == 1]
-        out = [[], [], []]
-        for x, who in zip(a, ka):
-            d = np.sqrt(((b - x) ** 2).sum(1)) if len(b) else np.zeros(0)
-            order = np.lexsort((kb, d))
-            order = order[kb[order] != who][:k]
-            out[0] += [who] * len(order)
-            out[1] += kb[order].tolist()
-            out[2] += d[order].tolist()
-        return pa.table({"k": pa.array(out[0], pa.int64()), "neighbour": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        most = min(k + 1, len(b))
+        squares = (b * b).sum(1) if len(b) else None
+        for at in range(0, len(a) if len(b) else 0, STEP):
+            x, who = a[at : at + STEP], ka[at : at + STEP]
+            rough = squares[None, :] - 2 * (x @ b.T) + (x * x).sum(1)[:, None]
+            # candidates by the product form, with room for its rounding; then exact distances
+            limit = np.partition(rough, most - 1, axis=1)[:, most - 1 : most]
+            r, c = np.nonzero(rough <= limit + 1e-9 * (1 + np.abs(limit) + squares[None, :]))
+            exact = np.sqrt(((b[c] - x[r]) ** 2).sum(1))
+            other = kb[c] != who[r]
+            r, c, exact = r[other], c[other], exact[other]
+            order = np.lexsort((kb[c], exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            first = place < k
+            for part, x_ in zip(out, (who[r[first]], kb[c[first]], exact[first])):
+                part.append(x_)
+        who, other, distance = (np.concatenate(x) for x in out)
+        return pa.table({"k": pa.array(who, pa.int64()), "neighbour": pa.array(other, pa.int64()), "distance": pa.array(distance, pa.float64())})
 
     each = left.union(right).groupBy("i", "j").applyInArrow(best, "k long, neighbour long, distance double")
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("k").orderBy("distance", "neighbour"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("k").alias(key), "rank", "neighbour", "distance")
 
 
-def against(df: DataFrame, key: str, word: str, reference: list[tuple[int, int]], name: str = "best_similarity") -> DataFrame:
-    """The greatest similarity of each row with a reference set of bounded size, inside one expression."""
-    words = F.array(*[F.lit(int(w)) for _, w in reference])
-    sims = F.transform(words, lambda r: tanimoto(F.col(word), r))
-    return df.withColumn(name, F.array_max(sims))
+def against(queries: DataFrame, df: DataFrame, key: str, word: str, name: str = "best_similarity") -> DataFrame:
+    """key, best_similarity: the greatest similarity of each query with any other row of df, exact.
+
+    Distinct words of both sides meet in tiles; a word that two rows of df hold is its own best match.
+    """
+    words = stash(df.groupBy(F.col(word).alias("w")).agg(F.count(F.lit(1)).alias("c")), "words")
+    asked = stash(queries.select(F.col(key).alias(key), F.col(word).alias("w")), "queries")
+    distinct = asked.select("w").distinct().withColumn("c", F.lit(0).cast("long"))
+    mine, theirs = _tile_count(distinct.count()), _tile_count(words.count())
+    both = _dealt(distinct, ["w", "c"], F.col("w"), mine, theirs, 0).union(_dealt(words, ["w", "c"], F.col("w"), theirs, mine, 1))
+
+    def best(t: pa.Table) -> pa.Table:
+        w, c, side = (t[x].to_numpy() for x in ("w", "c", "side"))
+        mine, theirs, twice = w[side == 0], w[side == 1], c[side == 1] > 1
+        out = [np.zeros(0)]
+        b = _bits(theirs.copy())
+        for k in range(0, len(mine) if len(b) else 0, STEP):
+            sim = _similarities(_bits(mine[k : k + STEP].copy()), b)
+            sim[(mine[k : k + STEP][:, None] == theirs[None, :]) & ~twice[None, :]] = -1
+            out.append(sim.max(1))
+        found = np.concatenate(out)
+        return pa.table({"w": mine[: len(found)], "s": found})
+
+    each = both.groupBy("i", "j").applyInArrow(best, "w long, s double").groupBy("w").agg(F.max("s").alias("s"))
+    return asked.join(each.where("s >= 0"), "w", "left").select(key, F.col("s").alias(name))
 
 
 def mean_pairwise(df: DataFrame, key: str, word: str) -> DataFrame:
@@ -100,15 +148,20 @@ def mean_pairwise(df: DataFrame, key: str, word: str) -> DataFrame:
     return mean_tanimoto(df, key, word).agg(F.avg("mean_similarity").alias("mean_pairwise"))
 
 
-def leaders(df: DataFrame, group: str, key: str, word: str, order: str, threshold: float) -> DataFrame:
-    """Sphere exclusion within each group: a row joins the first leader at or above the threshold or becomes one."""
+def leaders(df: DataFrame, group: str, key: str, word: str, order: str, threshold: float, head: int = HEAD) -> DataFrame:
+    """Sphere exclusion within each group: a row joins the first leader at or above the threshold or becomes one.
 
-    def run(t: pa.Table) -> pa.Table:
+    Each round takes the first `head` unassigned rows of every group, walks them in order, and gives all later rows that
+    one of the new leaders covers to the first of them, inside an expression.  Leaders of earlier rounds cover none
+    of the rows left, so the result is that of one walk over the whole group, and no task holds a group.
+    """
+
+    def walk(t: pa.Table) -> pa.Table:
         t = t.sort_by([("o", "ascending"), ("k", "ascending")])
-        words = t["w"].to_pylist()
         heads: list[int] = []
         out = []
-        for w in words:
+        for w in t["w"].to_pylist():
+            w &= 0xFFFFFFFFFFFFFFFF
             for n, h in enumerate(heads):
                 either = (w | h).bit_count()
                 if either and (w & h).bit_count() / either >= threshold:
@@ -117,7 +170,31 @@ def leaders(df: DataFrame, group: str, key: str, word: str, order: str, threshol
             else:
                 heads.append(w)
                 out.append(len(heads) - 1)
-        return pa.table({"g": t["g"], "k": t["k"], "cluster": pa.array(out, pa.int32())})
-
-    rows = df.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k"), F.col(word).alias("w"), F.col(order).cast("double").alias("o"))
-    return rows.groupBy("g").applyInArrow(run, "g long, k long, cluster int").select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
+        return pa.table({"g": t["g"], "k": t["k"], "w": t["w"], "n": pa.array(out, pa.int32())})
+
+    rest = stash(df.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k"), F.col(word).alias("w"), F.col(order).cast("double").alias("o")), "rest")
+    before, out = None, []
+    while not rest.isEmpty():
+        # the first rows of hash parts of a group, then of the group: no part of a large group is ordered whole
+        part = F.pmod(F.xxhash64("k"), F.lit(64))
+        first = rest.withColumn("p", part).withColumn("r", F.row_number().over(Window.partitionBy("g", "p").orderBy("o", "k"))).where(F.col("r") <= head)
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("o", "k"))).where(F.col("r") <= head).select("g", "k", "w", "o")
+        walked = stash(first.groupBy("g").applyInArrow(walk, "g long, k long, w long, n int"), "walked")
+        taken = walked.groupBy("g").agg((F.max("n") + 1).alias("made"))
+        taken = taken.withColumn("start", F.lit(0)) if before is None else taken.join(before, "g", "left").withColumn("start", F.coalesce("total", F.lit(0))).drop("total")
+        taken = stash(taken, "taken")
+        # a leader is the first row of its number; those rows are listed by number
+        names = walked.join(rest.select("k", "o"), "k").groupBy("g", "n").agg(F.min_by("w", F.struct("o", "k")).alias("w"))
+        heads = names.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "w")))["w"].alias("heads"))
+        out.append(walked.join(taken, "g").select("g", "k", (F.col("start") + F.col("n")).alias("cluster")))
+        later = rest.join(walked.select("k"), "k", "left_anti").join(heads, "g").join(taken, "g")
+        hit = F.array_position(F.transform("heads", lambda h: tanimoto(F.col("w"), h) >= threshold), True)
+        later = stash(later.select("g", "k", "w", "o", "start", hit.alias("hit")), "later")
+        out.append(later.where("hit > 0").select("g", "k", (F.col("start") + F.col("hit") - 1).cast("int").alias("cluster")))
+        total = taken.select("g", (F.col("start") + F.col("made")).alias("total"))
+        before = stash(total if before is None else total.unionByName(before.join(total, "g", "left_anti")), "before")
+        rest = later.where("hit = 0").select("g", "k", "w", "o")
+    if not out:
+        return df.sparkSession.createDataFrame([], f"{group} long, {key} long, cluster int")
+    done = reduce(DataFrame.union, out)
+    return done.select(F.col("g").alias(group), F.col("k").alias(key), "cluster")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.quantiles import exact_quantiles, linear_spots, with_group_values
+
 #: Slices of a value's range over which a global order is dealt.
 SLICES = 1024
 
@@ -35,7 +37,8 @@ def arrival_index(df: DataFrame, keys: list[str], order: list, name: str = "arri
 
 
 def with_group_mean(df: DataFrame, keys: list[str], value: str, name: str = "group_mean") -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(*keys)))
+    """The mean of each row's group, from a partial sum and a join: no group's rows meet in one task."""
+    return with_group_values(df, keys, df.groupBy(*keys).agg(F.avg(value).alias(name)))
 
 
 def progress(df: DataFrame, value: str, name: str = "progress") -> DataFrame:
@@ -63,9 +66,9 @@ def running_total(df: DataFrame, order: str, sums: dict[str, str], inclusive: bo
 
 
 def quantile_edges(df: DataFrame, value: str, q: int) -> list[float]:
-    """The distinct q-quantile edges (linear interpolation)."""
-    row = df.agg(F.percentile(value, [k / q for k in range(q + 1)]).alias("e")).first()
-    return sorted(set(row.e or []))
+    """The distinct q-quantile edges (linear interpolation): q + 1 numbers at most."""
+    row = exact_quantiles(df, [], F.col(value), linear_spots([k / q for k in range(q + 1)])).first()
+    return sorted(set(row.quantiles)) if row else []
 
 
 def right_closed(value: Column, edges: list[float]) -> Column:

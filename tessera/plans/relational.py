@@ -11,6 +11,7 @@ from tessera.operators import aggregates as A
 from tessera.operators import gates as G
 from tessera.operators import joins as J
 from tessera.operators import selection as T
+from tessera.operators.quantiles import exact_quantiles, linear_spots
 from tessera.plans.registry import query, read
 
 c = F.col
@@ -82,7 +83,7 @@ WITH q AS (SELECT quantile_cont(o_totalprice, 0.9) AS p90, quantile_cont(o_total
 SELECT o_orderkey, CASE WHEN o_totalprice <= p90 THEN 'green' WHEN o_totalprice <= p95 THEN 'amber' ELSE 'red' END AS zone FROM orders, q""")
 def zone_classify(spark, d):
     o = read(spark, d, "orders")
-    p90, p95 = o.agg(F.percentile("o_totalprice", [0.9, 0.95])).first()[0]
+    p90, p95 = exact_quantiles(o, [], c("o_totalprice"), linear_spots([0.9, 0.95])).first().quantiles
     return o.select("o_orderkey", G.zone(c("o_totalprice"), p90, p95).alias("zone"))
 
 
@@ -109,9 +110,9 @@ def gate_marginal(spark, d):
 # ---------------------------------------------------------------- joins
 
 
-@query("SELECT o_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48")
+@query("SELECT o_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def join_inner_props(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity > 48").withColumnRenamed("l_orderkey", "o_orderkey")
+    li = read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     return li.join(read(spark, d, "orders"), "o_orderkey").select("o_orderkey", "l_linenumber", F.round(c("l_extendedprice") * (1 - c("l_discount")), 6).alias("net"), "o_orderpriority")
 
 

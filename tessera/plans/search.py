@@ -62,7 +62,7 @@ def evolve_fronts(initial: DataFrame, score: Score, objectives: list[str], gener
         kids = stash(score(C.next_generation(pool, "smiles", seen, g, seed, low, high, 1)), "kids")
         seen = stash(seen.union(kids.select("smiles")), "seen")
         both = pool.select("smiles", *objectives).unionByName(kids.select("smiles", *objectives))
-        pool = stash(P.survivors(both, objectives, "smiles", size, 8).select("smiles", *objectives), "pool")
+        pool = stash(P.survivors(both, objectives, "smiles", size).select("smiles", *objectives), "pool")
     return pool
 
 

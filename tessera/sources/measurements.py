@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.quantiles import exact_quantiles, linear_spots, with_group_values
+
 HEADER = r"^\s*(\d+)\s+((?:[A-Z][a-z]?\d*)+)\s+(.+?)\s+\[(\d{2,7}-\d{2}-\d)\]"
 TEMPERATURES = r"^\s*T/K\s+(.+)$"
 VALUES = r"^\s*eps\s+(.+)$"
@@ -37,11 +39,13 @@ def valid(rows: DataFrame) -> DataFrame:
 def at_25c(rows: DataFrame, at: float = 298.15, near: float = 1.0, widest: float = 30.0) -> DataFrame:
     """One estimate per compound: the median of direct values near 25 C, else a line between close neighbours, else none."""
     t, e = F.col("t_k"), F.col("epsilon")
-    g = rows.groupBy("compound_no", "name", "cas").agg(
-        F.percentile(F.when(F.abs(t - at) <= near, e), 0.5).alias("direct"),
+    keys = ["compound_no", "name", "cas"]
+    g = rows.groupBy(*keys).agg(
         F.max_by(F.struct(t, e), F.when(t < at, t)).alias("lo"), F.min_by(F.struct(t, e), F.when(t > at, t)).alias("hi"),
         F.count(F.lit(1)).alias("n_measurements"), F.min(t).alias("t0"), F.max(t).alias("t1"),
     )
+    direct = exact_quantiles(rows.where(F.abs(t - at) <= near), keys, e, linear_spots([0.5])).select(*keys, F.col("quantiles")[0].alias("direct"))
+    g = with_group_values(g, keys, direct)
     lo, hi = F.col("lo"), F.col("hi")
     usable = (lo["t_k"] < at) & (hi["t_k"] > at) & (hi["t_k"] - lo["t_k"] <= widest)
     line = lo["epsilon"] + (hi["epsilon"] - lo["epsilon"]) * (at - lo["t_k"]) / (hi["t_k"] - lo["t_k"])

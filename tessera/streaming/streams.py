@@ -47,7 +47,7 @@ def online_leaders(stream: DataFrame, group: str, key: str, word: str, threshold
         rows = pd.concat(list(frames)).sort_values(key)
         out = []
         for w in rows[word].astype("int64"):
-            w = int(w)
+            w = int(w) & 0xFFFFFFFFFFFFFFFF
             spot = next((n for n, h in enumerate(heads) if (w | h) and (w & h).bit_count() / (w | h).bit_count() >= threshold), None)
             if spot is None:
                 heads.append(w)

@@ -16,6 +16,7 @@ from tessera.operators import gates as G
 from tessera.operators import joins as J
 from tessera.operators import models as ML
 from tessera.operators import pareto as P
+from tessera.operators import quantiles as EQ
 from tessera.operators import selection as T
 from tessera.operators import similarity as S
 from tessera.operators import windows as W
@@ -137,14 +138,14 @@ def test_skylines_match_definition(spark, points):
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "k long, x double, y double")
     want = _front(points)
     assert {r.k for r in P.skyline2(df, "x", "y").select("k").collect()} == want
-    assert {r.k for r in P.skyline(df, ["x", "y"], "k").select("k").collect()} == want
+    assert {r.k for r in P.skyline(df, ["x", "y"]).select("k").collect()} == want
 
 
 def test_front_ranks_cover(spark):
     df = spark.createDataFrame([(i, float(i % 3), float(-i)) for i in range(6)], "k long, x double, y double")
-    ranked = P.front_ranks(df, ["x", "y"], "k", 6)
+    ranked = P.front_ranks(df, ["x", "y"], "k")
     assert ranked.count() == 6
-    assert P.survivors(df, ["x", "y"], "k", 3, 6).count() == 3
+    assert P.survivors(df, ["x", "y"], "k", 3).count() == 3
 
 
 def test_hypervolume_grows(spark):
@@ -237,6 +238,67 @@ def test_similarity(spark):
     assert math.isclose(got[1], (2 / 3 + 0 + 1) / 3) and got[3] == 0
     cl = {r.k: r.cluster for r in S.leaders(df.withColumn("g", F.lit(0)), "g", "k", "w", "k", 0.6).collect()}
     assert cl == {1: 0, 2: 0, 3: 1, 4: 0}
+    words = df.withColumn("w", F.when(F.col("k") == 3, F.lit(-1).cast("long")).otherwise(F.col("w")))
+    best = {r.k: r.best_similarity for r in S.against(words.where("k > 1"), words, "k", "w").collect()}
+    assert best == {2: pytest.approx(2 / 3), 3: pytest.approx(3 / 64), 4: 1.0}
+    assert S.sign_word(F.array(*[F.lit(1.0)] * 64)) is not None
+    row = spark.range(1).select(S.sign_word(F.array(*[F.lit(1.0)] * 64)).alias("a"), S.sign_word(F.array(F.lit(1.0), F.lit(-1.0))).alias("b")).first()
+    assert row.a == -1 and row.b == -(1 << 63)
+
+
+def test_leaders_in_rounds(spark):
+    r = random.Random(2)
+    rows = [(k % 2, k, r.getrandbits(12) | (r.getrandbits(1) << 63)) for k in range(60)]
+    rows = [(g, k, w - (1 << 64) if w >= 1 << 63 else w) for g, k, w in rows]
+    df = spark.createDataFrame(rows, "g long, k long, w long")
+    whole, parts = ({(x.g, x.k): x.cluster for x in S.leaders(df, "g", "k", "w", "k", 0.5, head=h).collect()} for h in (100, 4))
+    assert whole == parts and len(whole) == 60
+
+
+def test_nearest_against_all_pairs(spark):
+    r = np.random.default_rng(4)
+    v = r.integers(-2, 3, (90, 3)).astype(float)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "k long, v array<double>")
+    got = {(x.k, x.rank): (x.neighbour, round(x.distance, 9)) for x in S.nearest(df, "k", "v", 4).collect()}
+    for k in range(90):
+        d = np.sqrt(((v - v[k]) ** 2).sum(1))
+        want = [(int(j), round(float(d[j]), 9)) for j in np.lexsort((np.arange(90), d)) if j != k][:4]
+        assert [got[k, n + 1] for n in range(4)] == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(values=st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0, float("inf")])), max_size=40))
+def test_exact_quantiles_match_numpy(spark, values):
+    df = spark.createDataFrame([("a" if i % 3 else None, v) for i, v in enumerate(values)], "g string, v double")
+    for keys in ([], ["g"]):
+        got = {tuple(r[k] for k in keys): r for r in EQ.exact_quantiles(df, keys, F.col("v"), EQ.linear_spots([0, 0.3, 0.5, 1])).collect()}
+        groups = {}
+        for i, v in enumerate(values):
+            if v is not None:
+                groups.setdefault(("a" if i % 3 else None,) if keys else (), []).append(v)
+        assert set(got) == set(groups)
+        for k, held in groups.items():
+            assert got[k].n == len(held)
+            if all(map(math.isfinite, held)):
+                assert np.allclose(got[k].quantiles, np.quantile(held, [0, 0.3, 0.5, 1]), rtol=1e-9, atol=1e-6)
+
+
+def test_stratified_with_hot_stratum(spark):
+    df = spark.range(400).withColumn("s", F.when(F.col("id") < 390, "hot").otherwise(F.col("id").cast("string")))
+    got = T.stratified(df, ["s"], "id", 0.1, 5)
+    sizes = {r.s: r["count"] for r in got.groupBy("s").count().collect()}
+    assert sizes.pop("hot") == 39 and set(sizes.values()) == {1} and len(sizes) == 10
+    assert got.columns == df.columns
+
+
+def test_skyline_in_blocks(spark):
+    r = random.Random(7)
+    points = [(i, float(r.randint(0, 30)), float(r.randint(0, 30)), float(r.randint(0, 30))) for i in range(150)]
+    df = spark.createDataFrame(points, "k long, x double, y double, z double")
+    want = {p[0] for p in points if not any(all(a >= b for a, b in zip(q[1:], p[1:])) and q[1:] != p[1:] for q in points)}
+    assert {x.k for x in P.skyline(df, ["x", "y", "z"], block=5).collect()} == want
+    plan = P.skyline(df, ["x", "y", "z"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 2.0)]])
