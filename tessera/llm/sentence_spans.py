@@ -6,7 +6,8 @@ cut, so that a passage without full stops has several, and the same ones whereve
 as the query runs, the shortest run of at least `run` sentences and `least` words from every sentence on, and
 back from every one, is hashed (lower-cased A-Z, white space as one space; parts without words don't count).
 Without it only runs of exactly `run` sentences that have `least` words are.  Of all places of a run in the
-corpus the first, by document and place, stays; sentences that any other place covers go.
+corpus the first, by document and place, stays; sentences that any other place covers go.  Runs are told apart by
+128-bit hashes.
 
 Only hashes and places are shuffled, packed by bucket.  Within an Arrow batch all places but the first are
 settled at once, so a very common run sends one row for each batch.
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, stash
+from tessera.llm.common import mix, stash, with_ids
 
 RUN = 2
 LEAST_WORDS = 15
@@ -36,9 +37,11 @@ LONGEST = 20
 NEAR = 4
 BUCKET_BYTES = 16 << 20
 
-_BREAK = re.compile(r"((?<=[.!?])[ \t\r]+|\s*\n\s*)")
-_WORD = re.compile(r"\s*\S+\s*(?=\S|$)|\s+$")
+#: Every alternative begins with a fixed character and ends greedily, so long blanks are read once.
+_BREAK = re.compile(r"((?<=[.!?])[ \t\r]+(?:\n\s*)?|\n\s*)")
+_WORD = re.compile(r"\s*\S+\s*|\s+")
 _MOST = np.uint64(2**64 - 1)
+_FACTORS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -73,18 +76,18 @@ def cuts(words: list[str], longest: int) -> list[int]:
 
 
 def runs(parts: list[str], run: int, least: int, grow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash, first part and number of parts of each run that is to be looked up."""
+    """The hash (two words), first part and number of parts of each run that is to be looked up."""
     hashes, words, at = [], [], []
     for k, p in enumerate(parts):
         w = p.encode().translate(_LOWER).split()
         if w or not grow:
             at.append(k)
             words.append(len(w))
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
+            hashes.append(xxhash.xxh3_128_digest(b" ".join(w)))
     n = len(at)
     if n < run:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, place = np.array(hashes, np.uint64), np.array(at)
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, place = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2), np.array(at)
     total = np.concatenate([[0], np.cumsum(words)])
     k = np.arange(n)
     if grow:
@@ -99,10 +102,20 @@ def runs(parts: list[str], run: int, least: int, grow: bool) -> tuple[np.ndarray
     out, size = h[a], b - a
     for j in range(1, int(size.max(initial=0))):
         x = np.flatnonzero(size > j)
-        out[x] = mix(out[x] * np.uint64(0x9FB21C651E98DF25) + h[a[x] + j])
+        out[x] = mix(out[x] * _FACTORS + h[a[x] + j])
     return out, place[a], place[b - 1] + 1 - place[a]
 
 
+def _firsts(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All three sorted by hash, document and place; which rows are the first of their hash; the numbers of those elsewhere than the first."""
+    order = np.lexsort((place, doc, h[:, 1], h[:, 0]))
+    h, doc, place = h[order], doc[order], place[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]).any(1)
+    head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    return h, doc, place, first, np.flatnonzero(~first & ((doc != doc[head]) | (place != place[head])))
+
+
 def _pack(run: int, least: int, longest: int, grow: bool, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() * 7919
@@ -115,18 +128,12 @@ def _pack(run: int, least: int, longest: int, grow: bool, buckets: int):
                 docs.append(np.full(len(at), doc, np.int64))
             if not hashes:
                 continue
-            h, doc, place = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-            order = np.lexsort((place, doc, h))
-            h, doc, place = h[order], doc[order], place[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-            later = np.flatnonzero(~first & ((doc != doc[head]) | (place != place[head])))
+            h, doc, place, first, later = _firsts(np.concatenate(hashes), np.concatenate(docs), np.concatenate(places))
             out = []
             if len(later):
                 out.append((-1 - turn % buckets, b"", doc[later].tobytes(), place[later].tobytes()))
             x = np.flatnonzero(first)
-            bucket = (h[x] % np.uint64(buckets)).astype(np.int64)
+            bucket = (h[x, 0] % np.uint64(buckets)).astype(np.int64)
             x = x[np.argsort(bucket, kind="stable")]
             edge = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(edge)).tolist():
@@ -143,11 +150,8 @@ def _later(table: pa.Table) -> pa.Table:
     """The places (first part << 32 | number of parts) of one bucket that are not the first of their run."""
     doc, place = (np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()]) for k, t in (("doc", "<i8"), ("place", "<i8")))
     if table["bucket"][0].as_py() >= 0:
-        h = np.concatenate([np.frombuffer(x, "<u8") for x in table["h"].to_pylist()])
-        order = np.lexsort((place, doc, h))
-        h, doc, place = h[order], doc[order], place[order]
-        head = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0))
-        gone = (doc != doc[head]) | (place != place[head])
+        h = np.concatenate([np.frombuffer(x, "<u8") for x in table["h"].to_pylist()]).reshape(-1, 2)
+        _, doc, place, _, gone = _firsts(h, doc, place)
         doc, place = doc[gone], place[gone]
     return pa.table({"doc_id": pa.array(doc, pa.int64()), "place": pa.array(place, pa.int64())})
 
@@ -177,6 +181,11 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(8, -(-int(size) // BUCKET_BYTES))
     packed = known.mapInArrow(_pack(run, least, longest, grow, buckets), "bucket int, h binary, doc binary, place binary")
     later = packed.groupBy("bucket").applyInArrow(_later, "doc_id long, place long")
-    later = stash(later.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "later")
-    out = docs.join(later.hint("merge"), "doc_id", "left")
-    return out.select("doc_id", "text", "places").mapInArrow(_rewrite(longest), "doc_id long, n_removed long, text string")
+    later = stash(later.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "later")
+    ids = later.select("doc_id")
+    n = ids.count()
+    # only the texts that lose something are shuffled
+    cut = with_ids(docs, ids, "doc_id", "left_semi", n).join(later.hint("merge"), "doc_id").select("doc_id", "text", "places")
+    cut = cut.mapInArrow(_rewrite(longest), "doc_id long, n_removed long, text string")
+    rest = with_ids(docs, ids, "doc_id", "left_anti", n)
+    return rest.select("doc_id", F.lit(0).cast("long").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text")).unionByName(cut)
