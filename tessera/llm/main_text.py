@@ -148,16 +148,15 @@ def decode(parent: list[int], score: np.ndarray) -> list[int]:
 
 
 def assemble(tree: Tree, labels: list[int]) -> str:
-    blocks: list[str] = []
+    blocks: list[list[str]] = []
     last = None
     for k, block, text in tree.texts:
         if labels[k] == CONTENT:
-            if block == last:
-                blocks[-1] += text
-            else:
-                blocks.append(text)
+            if block != last:
+                blocks.append([])
                 last = block
-    return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+            blocks[-1].append(text)
+    return "\n\n".join(b for b in (" ".join("".join(b).split()) for b in blocks) if b)
 
 
 def _known_labels(html: str) -> tuple[Tree, list[int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 WRAPPER, CONTENT, EXTRA = 0, 1, 2
 
@@ -34,7 +35,7 @@ class PageMaker:
     def extra(self) -> str:
         """Something that isn't part of the article."""
         r = self.r
-        kind = r.choice("nav nav menu ad ad side notice form comments share related footer header crumbs hidden".split())
+        kind = r.choice("nav nav menu ad ad side notice form comments share related footer header crumbs hidden plain".split())
         x = 'data-s="2"'
         if kind == "nav":
             return f"<nav {x}><ul {x}>{self.links(r.randint(2, 9))}</ul></nav>"
@@ -60,6 +61,11 @@ class PageMaker:
             return f'<footer {x}>&copy; {self.words(1, 2)} &middot; {self.words(2, 25)}</footer>' if r.random() < 0.6 else f'<div {x} class="footer">{self.words(2, 25)}</div>'
         if kind == "header":
             return f'<{r.choice(["header", "div"])} {x} class="{r.choice(["header", "masthead", "site-header"])}"><p {x}>{self.words(1, 8)}</p>'.replace("</p>", "</p>") + "</header></div>"
+        if kind == "plain":
+            links = [f'<a {x} href="/{self.words(1, 1)}">{self.words(1, 3)}</a>' for _ in range(r.randint(2, 8))]
+            if r.random() < 0.5:
+                return f"<div {x}>{r.choice([' ', ' | ', ' &middot; ']).join(links)}</div>"
+            return f"<table {x}><tr {x}>" + "".join(f"<td {x}>{a}</td>" for a in links) + "</tr></table>"
         if kind == "crumbs":
             return f'<ol {x} class="breadcrumb">{self.links(r.randint(2, 4))}</ol>'
         return f"<script>var a = '{self.words(2, 9)}';</script><style>p{{margin:0}}</style>"
@@ -89,7 +95,18 @@ class PageMaker:
                 out.append(self.extra())
         return "".join(out)
 
+    def bare(self, html: str) -> str:
+        """The page without telling names: no classes or ids, and mostly divs."""
+        html = re.sub(r' (?:class|id)="[^"]*"', "", html)
+        if self.r.random() < 0.7:
+            html = re.sub(r"(</?)(?:nav|header|footer|aside|article|main|section)\b", r"\1div", html)
+        return html
+
     def page(self) -> str:
+        html = self.named_page()
+        return self.bare(html) if self.r.random() < 0.2 else html
+
+    def named_page(self) -> str:
         r, w, c = self.r, 'data-s="0"', 'data-s="1"'
         head = f'<!DOCTYPE html><html lang="en" {w}><head data-s="2"><meta charset="utf-8"><title>{self.words(3, 12)}</title><style>p{{}}</style></head><body {w}>'
         before, after = ("".join(self.extra() for _ in range(r.randint(0, 4))) for _ in range(2))
