@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash, table, with_ids
+from tessera.llm.common import BROADCAST_IDS, stash, table, with_ids
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
-from tessera.llm.quality import quality, trusted_ids
+from tessera.llm.quality import good_rows, trusted_ids
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.session import ship_package
@@ -18,43 +18,64 @@ from tessera.session import ship_package
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids; rows that have no id stay."""
-    return with_ids(docs, stash(ids.where("doc_id is not null").distinct(), "dropped"), "doc_id", "left_anti")
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key that is never null and the same for equal rows of (doc_id, text) only: the id where no other row has it."""
+    key, mark = _free(docs, "_key"), _free(docs, "_again")
+    again = stash(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(mark)), "again")
+    n = again.count()
+    if not n:
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    found = again.withColumn(f"{mark}_", F.lit(True))
+    both = docs.join(F.broadcast(found) if n <= BROADCAST_IDS else found, docs["doc_id"].eqNullSafe(found[mark]), "left")
+    other = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61)) + F.lit(1 << 62)
+    return both.withColumn(key, F.when(F.col(f"{mark}_"), other).otherwise(F.col("doc_id").cast("long"))).drop(mark, f"{mark}_"), key
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    return with_ids(docs, stash(gone.select(F.col("doc_id").alias(key)).distinct(), "dropped"), key, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    # written down before it is filtered: a filter pushed below the figures would compute them once for each use
-    judged = stash(quality(docs, trusted_ids(table(spark, sf_dir, "labels"))).select("doc_id", "kept"), "judged")
-    return _without(docs, judged.where(~F.col("kept")).select("doc_id"))
+    return good_rows(docs, trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; of rows with the same id and text, one."""
     ship_package(spark)
-    judged = near_duplicates(docs, size=5, percent=80)
-    return _without(docs, judged.where(~F.col("kept")).select("doc_id"))
+    rows, key = keyed(docs)
+    judged = near_duplicates(rows, id_col=key, size=5, percent=80)
+    kept = _without(rows, key, judged.where(~F.col("kept")))
+    single = F.col(key) < (1 << 62)
+    return kept.where(single).unionByName(kept.where(~single).dropDuplicates([key])).drop(key)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes that a document of a smaller id holds; a document that has nothing left goes."""
     ship_package(spark)
-    left = remove_repeats(docs, texts=True).where("n_removed > 0 and doc_id is not null")
-    cut = next(n for n in ("_cut", *(f"_cut{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
-    changed = stash(left.select("doc_id", F.struct("text", "n_bytes", "n_removed").alias(cut)), "left").dropDuplicates(["doc_id"])
-    ids = changed.select("doc_id")
+    rows, key = keyed(docs)
+    cut = _free(docs, "_cut")
+    left = remove_repeats(rows, id_col=key, texts=True).where("n_removed > 0")
+    changed = stash(left.select(F.col("doc_id").alias(key), F.struct("text", "n_bytes", "n_removed").alias(cut)), "left").dropDuplicates([key])
+    ids = changed.select(key)
     n = ids.count()
     # the texts that were cut come from the table just written, so no text is shuffled again
-    rest = with_ids(docs, ids, "doc_id", "left_semi", n).drop("text").join(changed, "doc_id").where(F.col(f"{cut}.n_bytes") > F.col(f"{cut}.n_removed"))
+    rest = with_ids(rows, ids, key, "left_semi", n).drop("text").join(changed, key).where(F.col(f"{cut}.n_bytes") > F.col(f"{cut}.n_removed"))
     text = F.col(f"{cut}.text")
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
     rest = rest.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
-    return with_ids(docs, ids, "doc_id", "left_anti", n).unionByName(rest)
+    return with_ids(rows, ids, key, "left_anti", n).select(docs.columns).unionByName(rest)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    rows, key = keyed(docs)
+    return decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=key).drop(key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Quality rules: a hashed n-gram log-likelihood ratio with base rules, in DataFrame functions only.
 
-Words and pairs of neighbouring words are hashed into a fixed number of buckets.  Two smoothed
-multinomials over the buckets, one of the trusted documents and one of the whole corpus, give each
-bucket a log ratio; a document's score is the mean ratio of its features, and a document is kept if
-the score reaches a fixed threshold and no base rule fails.  Only the bucket table (a fixed number
-of rows) leaves the executors.
+Words and pairs of neighbouring words are hashed into a fixed number of buckets.  Two multinomials
+over the buckets, one of the trusted documents and one of the whole corpus, give each bucket a log
+ratio; the trusted one is smoothed towards the corpus, so a bucket without evidence has a ratio near 0
+and the threshold means the same at every size.  A document's score is the mean ratio of its features;
+a document is kept if the score reaches the threshold and no base rule fails.  Only the bucket table (a
+fixed number of rows) leaves the executors.
 
 Defined results: a null or empty text has no words and fails the base rule; without trusted
 documents every ratio is 0 and only the base rules decide; repeated rows are judged one by one;
@@ -20,8 +21,10 @@ from pyspark.sql.window import Window
 from tessera.llm.common import BROADCAST_IDS
 
 BUCKETS = 1 << 16
-#: Clean documents score above -0.15 once the corpus has some thousand documents; symbol noise, shouting and lists score below.
-THRESHOLD = -0.22
+#: Features that a bucket is taken to have seen at the corpus's rate beside the trusted documents' own.
+PRIOR = 20.0
+#: Clean documents score above; symbol noise, shouting and lists score below, the further the more trusted text there is.
+THRESHOLD = -0.08
 MIN_WORDS = 20
 RUN = 8
 SPACE = r"[\x20\x09-\x0D]+"
@@ -66,8 +69,8 @@ def repeated_words(hashes: Column, run: int = RUN) -> Column:
     return let(windows, covered)
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
-    """One row: the array of the buckets' log ratios.  trusted: a table of ids."""
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """One row: the array of the buckets' log ratios log((t + prior) / (T raw / N + prior)).  trusted: a table of ids."""
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1).cast("long"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     base = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).join(ids, "_id", "left")
@@ -76,39 +79,55 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: st
     counts = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
     whole = Window.partitionBy()
-    share = lambda c: F.log((F.col(c) + 1.0) / (F.sum(c).over(whole) + float(buckets)))
-    ratio = F.when(F.sum("target").over(whole) > 0, share("target") - share("raw")).otherwise(0.0)
+    rate = F.sum("target").over(whole) / F.greatest(F.sum("raw").over(whole), F.lit(1))
+    ratio = F.log((F.col("target") + prior) / (F.col("raw") * rate + prior))
     pairs = every.select(F.struct("bucket", ratio.alias("ratio")).alias("p"))
     return pairs.agg(F.sort_array(F.collect_list("p"))["ratio"].alias("ratios"))
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """A row for each row of docs: the base rules' figures, the score and the verdict."""
-    ratios = bucket_ratios(docs, trusted, id_col, text_col, buckets).scalar()
-    text = F.coalesce(F.col("_text"), F.lit(""))
+def figures(text: Column, ratios: Column, buckets: int, all_of_them: bool = True) -> Column:
+    """A struct of the base rules' figures (or only those that the verdict needs) and the score, each text being split and hashed once."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    table = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), ratios.alias("_ratios"))
 
-    def figures(w: Column) -> Column:
-        def hashed(h: Column) -> Column:
-            score = lambda f: let(F.col("_ratios"), lambda r: F.aggregate(f, F.lit(0.0), lambda a, b: a + F.get(r, b))) / F.greatest(F.size(f), F.lit(1))
-            return F.struct(repeated_words(h).alias("n_repeat_words"), let(features(h, buckets), score).alias("score"))
+    def of_hashes(h: Column) -> Column:
+        score = lambda f: let(ratios, lambda r: F.aggregate(f, F.lit(0.0), lambda a, b: a + F.get(r, b))) / F.greatest(F.size(f), F.lit(1))
+        return F.struct(repeated_words(h).alias("n_repeat_words"), let(features(h, buckets), score).alias("llr"))
 
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
+    def of_words(w: Column) -> Column:
+        needed = [F.size(w).cast("long").alias("n_words"), let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes).alias("h")]
+        more = [
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            let(F.transform(w, lambda x: F.xxhash64(x)), hashed).alias("h"),
-        )
-
-    out = table.select(
-        "doc_id",
-        let(words(F.col("_text")), figures).alias("f"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    )
-    out = out.select("doc_id", "f.n_words", "f.word_chars", "n_symbols", "n_dup_lines", "f.h.n_repeat_words", F.col("f.h.score").alias("llr"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        ]
+        return F.struct(*needed, *(more if all_of_them else []))
+
+    return let(words(text), of_words)
+
+
+def failed(f: Column) -> Column:
+    return (f["n_words"] < MIN_WORDS) | (100 * f["h"]["n_repeat_words"] > 30 * f["n_words"])
+
+
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """A row for each row of docs: the base rules' figures, the score and the verdict."""
+    ratios = bucket_ratios(docs, trusted, id_col, text_col, buckets).scalar()
+    out = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), ratios.alias("_ratios"))
+    out = out.select("doc_id", figures(F.col("_text"), F.col("_ratios"), buckets).alias("f"))
+    f = F.col("f")
+    return out.select(
+        "doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.h.n_repeat_words",
+        failed(f).alias("base_failed"), (~failed(f) & (f["h"]["llr"] >= threshold)).alias("kept"), f["h"]["llr"].alias("llr"),
+    )
+
+
+def good_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of docs that `quality` keeps, with all their columns: each row is judged where it stands, by one expression."""
+    name = next(n for n in ("_ratios", *(f"_ratios{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
+    held = docs.withColumn(name, bucket_ratios(docs, trusted, id_col, text_col, buckets).scalar())
+    verdict = let(figures(F.col(text_col), F.col(name), buckets, all_of_them=False), lambda f: ~failed(f) & (f["h"]["llr"] >= threshold))
+    return held.where(verdict).drop(name)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
