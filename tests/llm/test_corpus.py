@@ -5,8 +5,10 @@ import heapq
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from tessera.llm import sentence_spans as SP
 from tessera.llm import suffix_dedup as SD
 from tessera.llm.common import column_bytes
 from tessera.llm.components import connected_components
+from tessera.llm.pages_training import PageMaker
 from tessera.llm.queries import queries, tokenizer_path
 from tessera.llm.suffix import suffix_arrays
 
@@ -91,6 +94,46 @@ def test_quotes(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def _same_as_sql(spark_df, sql, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, frame in tables.items():
+        con.register(name, frame)
+    got, want = spark_df.toPandas(), con.sql(sql).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    key = lambda frame: sorted(map(repr, frame[sorted(frame.columns)].astype(object).where(frame[sorted(frame.columns)].notna(), None).values.tolist()))
+    assert key(got) == key(want)
+
+
+def test_quotes_against_sql_and_in_reply_order(spark):
+    rows = [(7, 0, "a", "first words"), (7, 1, "b", "second words"), (7, 2, "c", "> first words\nthird words"), (7, 3, "d", "> second words\nfourth"), (7, 4, "e", "> third words\nfifth"), (7, 5, "f", "plain")]
+    r = random.Random(13)
+    for conv in range(20):
+        said = []
+        for turn in range(r.randint(1, 9)):
+            own = sentence(r).strip()
+            old = r.choice(said) if said and r.random() < 0.6 else None
+            quote = "".join(f"{r.choice(['>', '> ', '>> ', ' >'])}{x}\n" for x in old.split("\n")) if old else ""
+            said.append(own)
+            rows.append((conv, turn, r.choice(["user", "bot"]), quote + own))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    _same_as_sql(QU.chat(df), QU.CHAT_SQL, conversations=df.toPandas())
+    chat = {x.conv_id: x.chat for x in QU.chat(df.where("conv_id = 7 and role in ('a', 'b', 'c', 'd', 'e', 'f')")).collect()}[7]
+    assert [x for x in chat.split("\n") if not x.startswith("<|")] == ["first words", "second words", "fourth", "third words", "fifth", "plain"]
+
+
+def test_quotes_of_hostile_texts_and_crowds(spark):
+    marks = [">" * 1_000_000, "> " * 500_000 + "x", (">" * 2000 + "y\n") * 200, " \t" * 500_000, "a" * 1_000_000]
+    start = time.time()
+    df = spark.createDataFrame([(1, k, "u", t) for k, t in enumerate(marks)], "conv_id long, turn long, role string, text string")
+    (row,) = QU.chat(df).collect()
+    assert row.n_messages == 5 and row.n_linked == 0 and row.chat.endswith("a" * 1_000_000) and time.time() - start < 30
+    crowd = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("u").alias("role"), F.col("id").cast("string").alias("text"))
+    parts = QU.chat(crowd).collect()
+    assert len(parts) == 6 and sum(p.n_messages for p in parts) == 3000 and max(p.n_messages for p in parts) < 1000
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -136,6 +179,37 @@ def test_contamination(spark, rows):
     assert len(list(D.blocks(bench, "item_id", "text", most=2))) == 4
 
 
+def test_contamination_against_all_pairs(spark):
+    """Every document with every item, by plain edit distance to the best substring."""
+    r = random.Random(21)
+    items = [(k, text(r, r.randint(1, 3))) for k in range(7)] + [(7, "na " * 12), (8, "ab" * 30)]
+    docs = []
+    for k in range(36):
+        body = list(items[k % 9][1])
+        for _ in range(r.choice([0, 0, 1, 2, 3, 6, 9, 14])):
+            at = r.randrange(len(body))
+            body[at : at + 1] = r.choice([[], [r.choice("xyz")], [body[at], r.choice("xyz")]])
+        docs.append((k, text(r, r.randint(0, 2)) + " " + "".join(body) + "\n" + text(r, r.randint(0, 2))))
+    docs.append((99, "na " * 400))
+    want = {}
+    for i, t in docs:
+        for j, item in items:
+            a, b = D.normal(item), D.normal(t)
+            row = [0] * (len(b) + 1)
+            for x in a:
+                new = [row[0] + 1]
+                for y, up, left in zip(b, row[1:], row):
+                    new.append(min(up + 1, new[-1] + 1, left + (x != y)))
+                row = new
+            if min(row) <= int(len(a) * D.BUDGET):
+                want[i, j] = min(row)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = D.contamination(df, bench).collect()
+    assert {(x.doc_id, x.item_id): x.distance for x in found} == want and len(found) == len(want) and 5 < len(want) < 36 * 9
+    for x in found:
+        assert _edit(D.normal(dict(items)[x.item_id]), D.normal(dict(docs)[x.doc_id])[x.start : x.end]) == x.distance
+
+
 def test_contamination_by_short_items(spark):
     bench = spark.createDataFrame([(1, "tiny art"), (2, "What is 2 + 2?"), (3, "xq")], "item_id long, text string")
     texts = ["a long text with Tiny  ART in it", "tiny artist, then tiny art.", "tiny artist", "ask: what is 2 + 3? and more", "xqs sxq", "so (xq) here", "xq", "what was 3 + 2?"]
@@ -234,7 +308,7 @@ def brute_quality(rows, trusted, threshold=Q.THRESHOLD, buckets=Q.BUCKETS):
         if i in trusted:
             good.update(f)
     n, m = sum(raw.values()), sum(good.values())
-    ratio = lambda b: (np.log((good[b] + 1) / (m + buckets)) - np.log((raw[b] + 1) / (n + buckets))) if m else 0.0
+    ratio = lambda b: np.log((good[b] + Q.PRIOR) / (raw[b] * m / n + Q.PRIOR))
     out = []
     for _, t in rows:
         words, *_, repeated = _figures(t)
@@ -366,6 +440,13 @@ def test_cuts_of_long_sentences():
     assert {len(p.split()) for p in SP.sentences("x " * 400)} == {SP.LONGEST}
 
 
+def test_sentences_of_hostile_texts():
+    start = time.time()
+    for t in (" " * 1_000_000, "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, ". " * 500_000, " \n" * 500_000, ("x" + " " * 40_000) * 25, "word " * 200_000, "x" * 1_000_000):
+        assert "".join(SP.sentences(t)) == t
+    assert time.time() - start < 10
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -382,6 +463,34 @@ def test_main_text(spark):
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got) and H.main_text(df.limit(0)).count() == 0
 
 
+def test_decoding_against_all_labellings():
+    r = random.Random(5)
+    for _ in range(60):
+        parent = [-1] + [r.randrange(k) for k in range(1, r.randint(2, 7))]
+        score = np.log(np.random.default_rng(r.randrange(999)).random((len(parent), 3)))
+        allowed = lambda a, b: a == H.WRAPPER or (a == H.CONTENT and b != H.WRAPPER) or b == H.EXTRA
+        total = lambda x: sum(score[k][v] for k, v in enumerate(x) if k)
+        best = max((x for x in product(range(3), repeat=len(parent)) if x[0] == H.WRAPPER and all(allowed(x[p], x[k]) for k, p in enumerate(parent) if k)), key=total)
+        assert abs(total(H.decode(parent, score.copy())) - total(best)) < 1e-9
+
+
+def test_pages_without_telling_names():
+    makers = [PageMaker(9000 + k) for k in range(60)]
+    pages = [m.bare(m.named_page()) for m in makers]
+    assert np.mean([a == H.known_text(p) for a, p in zip(H.extract(pages, H.trained()), pages)]) >= 0.9
+    table = "<table><tr><td><a href=1>Home</a></td><td><a href=2>News</a></td></tr></table><div><h1>Title</h1><p>" + "Long words of text, and more. " * 20 + "</p></div>"
+    (found,) = H.extract([table], H.trained())
+    assert "Home" not in found and found.count("Long words") == 20
+
+
+def test_hostile_pages():
+    model = H.trained(150)
+    pages = ["<a " * 350_000, "<div>" * 30_000 + "</span>" * 100_000, "<a '>'" * 100_000 + "'", "<!" * 400_000, "<p><button>" + "<span>" * 30_000 + "<hr>" * 30_000, "<script>" + "</script" * 100_000, "<" * 1_000_000, "<ul>" + "<li><b>" * 30_000, "<p>" + "x " * 500_000]
+    for p in pages:
+        start = time.time()
+        assert len(H.extract([p], model)) == 1 and time.time() - start < 5, p[:20]
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -544,6 +653,29 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert [s for s, _ in CP.STAGES] and 0 < len(kept) < len(rows)
 
 
+def test_pipeline_rows_without_and_with_repeated_ids(spark, tmp_path):
+    """Every row is judged by its own text, whatever its id."""
+    import corpus_pipeline as CP
+
+    r = random.Random(17)
+    items = [(k, text(r, 3)) for k in range(3)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good, other, passage = text(r, 9), text(r, 9), text(r, 8)
+    rows = [(1, good), (1, other), (None, good), (None, text(r, 9)), (2, text(r, 4) + passage), (2, passage + text(r, 4)), (None, "x " * 90), (4, "x " * 90), (None, text(r, 5) + items[0][1]), (5, text(r, 8)), (5, text(r, 5) + " " + items[1][1]), (6, good), (7, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _key long")
+    stage = dict(CP.STAGES)
+    texts = lambda name: sorted(((x.doc_id, x.text) for x in stage[name](spark, docs, str(tmp_path)).collect()), key=repr)
+    ok = [(i, t) for i, t in rows if t is not None and not t.startswith("x x")]
+    assert texts("quality rules") == sorted(ok, key=repr)
+    near = texts("MinHash near-dedup")
+    assert [t for _, t in near].count(good) == 1 and (1, other) in near and len(near) == len(rows) - 3
+    clean = texts("benchmark decontamination")
+    assert clean == sorted([(i, t) for i, t in rows if t is None or not any(D.normal(x) in D.normal(t) for _, x in items)], key=repr)
+    cut = texts("suffix-array dedup")
+    assert sum(passage[10:-10] in (t or "") for _, t in cut) == 1 and sum((t or "") == good for _, t in cut) == 1 and (1, other) in cut
+
+
 def test_pipeline_stages_at_the_edges(spark, tmp_path, rows):
     """Empty tables, null columns, repeated rows, rows without an id and columns with the operators' own names."""
     import corpus_pipeline as CP
