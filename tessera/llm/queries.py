@@ -93,7 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.llm.licenses import license_sql
     from tessera.llm.minhash import NEAR_SQL
     from tessera.llm.quotes import CHAT_SQL
 
-    return {"op2_quotes": CHAT_SQL, "op6_minhash": NEAR_SQL}
+    return {"op2_quotes": CHAT_SQL, "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL}
