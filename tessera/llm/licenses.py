@@ -6,9 +6,9 @@ of a part with a template counts if the part has the template's numbers and the
 agree.  A part has the licence of its best template, if that reaches the threshold and leads the best template of
 another licence by the margin; a file has that of its best part.
 
-1. The files with each template term are counted (a fixed number of terms).
-2. Every part is scored in the workers.  A weight is 1 or more, so with all other terms taken at 1 the cosine is
-   bounded from above; parts below the threshold even so are done.  Nothing else is left out.
+1. The files with each template term, and with any term of each of BUCKETS hash buckets, are counted (fixed numbers).
+2. Every part is scored in the workers.  A term is in no more files than its bucket, which bounds its weight from below
+   and the cosine from above; parts below the threshold even so are done.  Nothing else is left out.
 3. The other terms of the parts left are counted over all files and joined, which makes the cosines exact.
 
 A file named like a licence, or whose whole text is one, speaks for its directory; files without a licence of their own
@@ -40,6 +40,9 @@ MARGIN = 0.02
 #: Bytes of text that one vectorised step works on, and entries of parts multiplied with all templates at a time.
 STEP = 4 << 20
 ENTRIES = 20_000
+#: Buckets of all terms, and the rows in which a task sends their counts.
+BUCKETS = 1 << 18
+CHUNKS = 64
 NAMED = r"(?i)^(licen[cs]e|copying|unlicense|notice)([-_.].*)?$"
 _TERM = re.compile(r"[a-z0-9]+")
 _INK = np.zeros(256, bool)
@@ -108,33 +111,48 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch, a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
-def term_weights(files: DataFrame, text_col: str, texts: list[tuple[str, str]]) -> tuple[int, np.ndarray]:
-    """The number of files, and the weights of the vocabulary."""
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def term_weights(files: DataFrame, text_col: str, texts: list[tuple[str, str]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of files, the weights of the vocabulary, and the least weight of a term of each bucket."""
+    size = len(vocabulary(texts))
+    schema = "chunk int, counts binary"
+
+    def pack(chunks: list[int], counts: list[np.ndarray]) -> dict:
+        return {"chunk": pa.array(chunks, pa.int32()), "counts": pa.array([c.astype("<i8").tobytes() for c in counts], pa.binary())}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(texts)
-        seen, n = np.zeros(len(known.words), np.int64), 0
+        seen, held, n = np.zeros(size, np.int64), np.zeros(BUCKETS, np.int64), 0
         for _, a, b, raw, off in _texts(batches, 0):
             start, h = term_hashes(raw, off)
             v, row = known.find(h), np.searchsorted(off, start, "right")
             some = v >= 0
             found, c = _rows_with(v[some], row[some])
             seen[found] += c
+            held += np.bincount(np.unique(row[~some] * BUCKETS + _bucket(h[~some])) % BUCKETS, minlength=BUCKETS)
             n += b - a
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(seen)), -1], pa.int32()), pa.array([*seen.tolist(), n], pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_pydict(pack([*range(CHUNKS), CHUNKS], [*held.reshape(CHUNKS, -1), np.append(seen, n)]))
 
-    rows = files.select(F.col(text_col).cast("string")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row for each term of the vocabulary
-    df = {r.term: r.n for r in rows}
-    n = df.pop(-1, 0)
-    seen = np.array([df.get(k, 0) for k in range(len(vocabulary(texts)))], float)
-    return n, np.log((1 + n) / (1 + seen)) + 1
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table(pack([table["chunk"][0].as_py()], [sum(np.frombuffer(x, "<i8") for x in table["counts"].to_pylist())]))
+
+    rows = files.select(F.col(text_col).cast("string")).mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()  # CHUNKS + 1 rows, BUCKETS numbers
+    sums = {r.chunk: np.frombuffer(bytes(r.counts), "<i8") for r in rows}
+    seen = sums.get(CHUNKS, np.zeros(size + 1, np.int64))
+    held = np.concatenate([sums.get(k, np.zeros(BUCKETS // CHUNKS, np.int64)) for k in range(CHUNKS)])
+    n = int(seen[-1])
+    return n, np.log((1 + n) / (1 + seen[:-1])) + 1, (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
 
 
 class Scorer:
     """Scores all parts of a step of texts against all templates."""
 
-    def __init__(self, texts: list[tuple[str, str]], weights: np.ndarray, threshold: float):
+    def __init__(self, texts: list[tuple[str, str]], weights: np.ndarray, least: np.ndarray, threshold: float):
         self.known, self.weights, self.threshold = Known(texts), weights, threshold
+        self.least = least.astype(float) ** 2 * (1 - 1e-6)
         number = {w: k for k, w in enumerate(self.known.words)}
         self.templates = np.zeros((len(number), len(texts)))
         marks = [number[w] for w in self.known.words if marking(w)]
@@ -152,13 +170,13 @@ class Scorer:
         self.most = self.templates.max(1)
         self.needs, self.bars, self.needed = needs, bars, needs.sum(0)
 
-    def parts(self, unit: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    def parts(self, unit: np.ndarray, v: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
         """(unit, sum of squares of the vocabulary, templates, dot products) of the units that may reach the threshold.  unit: of each term."""
         if not len(unit):
             return
         size = len(self.weights)
         some = v >= 0
-        others = np.bincount(unit[~some], minlength=int(unit.max()) + 1)
+        others = np.bincount(unit[~some], self.least[_bucket(h[~some])], int(unit.max()) + 1)
         key, c = np.unique(unit[some] * size + v[some], return_counts=True)
         u, v = key // size, key % size
         x = c * self.weights[v]
@@ -201,7 +219,7 @@ class Scorer:
         out: dict[int, list[tuple]] = {}
         for unit, whole in ((line, False), (block, False), (row, True)):
             order = None
-            for u, squares, k, dots in self.parts(unit, v):
+            for u, squares, k, dots in self.parts(unit, v, h):
                 if order is None:
                     order = np.argsort(unit, kind="stable")
                     sorted_unit = unit[order]
@@ -215,13 +233,13 @@ PARTS = "array<struct<whole:boolean,squares:double,k:array<int>,dots:array<doubl
 _PARTS = pa.list_(pa.struct([("whole", pa.bool_()), ("squares", pa.float64()), ("k", pa.list_(pa.int32())), ("dots", pa.list_(pa.float64())), ("other", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
 
 
-def candidates(files: DataFrame, path_col: str, text_col: str, keep: list[str], texts: list[tuple[str, str]], weights: np.ndarray, threshold: float) -> DataFrame:
+def candidates(files: DataFrame, path_col: str, text_col: str, keep: list[str], texts: list[tuple[str, str]], weights: np.ndarray, least: np.ndarray, threshold: float) -> DataFrame:
     """keep, path, uid and parts (those that may reach the threshold) for every row."""
     kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + f"path string, uid long, parts {PARTS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, uid = Scorer(texts, weights, threshold), TaskContext.get().partitionId() << 40
+        scorer, uid = Scorer(texts, weights, least, threshold), TaskContext.get().partitionId() << 40
         for batch, a, b, raw, off in _texts(batches, len(keep) + 1):
             found = scorer.scan(raw, off)
             parts = [[dict(zip(("whole", "squares", "k", "dots", "other", "counts"), p)) for p in found.get(j, ())] for j in range(b - a)]
@@ -232,19 +250,29 @@ def candidates(files: DataFrame, path_col: str, text_col: str, keep: list[str],
     return files.select(*keep, F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def _counted(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+
+
 def file_counts(files: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
     """(term, n): in how many files each needed term is."""
     n = needed.count()
     wanted = np.sort(np.array([r.term for r in needed.collect()], np.int64).view(np.uint64)) if n <= BROADCAST_IDS else None  # bounded by the count
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0 if wanted is None else len(wanted), np.int64)
         for _, _, _, raw, off in _texts(batches, 0):
             start, h = term_hashes(raw, off)
-            if wanted is not None:
-                some = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
-                start, h = start[some], h[some]
-            h, c = _rows_with(h, np.searchsorted(off, start, "right"))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), pa.array(c, pa.int64())], names=["term", "n"])
+            row = np.searchsorted(off, start, "right")
+            if wanted is None:
+                yield _counted(*_rows_with(h, row))
+            elif len(wanted):
+                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                some = wanted[at] == h
+                found, c = _rows_with(at[some], row[some])
+                total[found] += c
+        if len(total):
+            yield _counted(wanted[total > 0], total[total > 0])
 
     seen = files.select(F.col(text_col).cast("string")).mapInArrow(count, "term long, n long")
     return (seen if wanted is not None else with_ids(seen, needed, "term", "left_semi", n)).groupBy("term").agg(F.sum("n").alias("n"))
@@ -266,8 +294,8 @@ def _verdict(names: list[str], threshold: float, margin: float) -> Column:
 def scan(files: DataFrame, path_col: str, text_col: str, keep: list[str], threshold: float = THRESHOLD, margin: float = MARGIN, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """keep, path, license, score, whole for every row."""
     texts = texts or templates()
-    n, weights = term_weights(files, text_col, texts)
-    found = stash(candidates(files, path_col, text_col, keep, texts, weights, threshold), "parts")
+    n, weights, least = term_weights(files, text_col, texts)
+    found = stash(candidates(files, path_col, text_col, keep, texts, weights, least, threshold), "parts")
     parts = found.where(F.size("parts") > 0).select("uid", F.posexplode("parts").alias("part", "p")).select("uid", "part", "p.*")
     others = parts.select("uid", "part", F.explode(F.arrays_zip("other", "counts")).alias("o")).select("uid", "part", F.col("o.other").alias("term"), F.col("o.counts").alias("c"))
     needed = stash(others.select("term").distinct(), "terms")
