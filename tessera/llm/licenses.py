@@ -38,7 +38,7 @@ from tessera.llm.license_texts import MARKS, RESERVED, templates
 THRESHOLD = 0.6
 MARGIN = 0.02
 #: Bytes of text that one vectorised step works on, and entries of parts multiplied with all templates at a time.
-STEP = 4 << 20
+STEP = 1 << 20
 ENTRIES = 20_000
 #: Buckets of all terms, and the rows in which a task sends their counts.
 BUCKETS = 1 << 18
