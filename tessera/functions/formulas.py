@@ -45,12 +45,16 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(500.0)), F.lit(-500.0))))
 
 
-def soft_gate(terms: list[tuple[Column, str, float, float]]) -> Column:
-    """The product of sigmoids of (limit - x) / width for 'max' and (x - limit) / width for 'min'."""
+def soft_gate(terms: list[tuple[Column, str, float, float]], biodegradable: Column | None = None) -> Column:
+    """The product of sigmoids of (limit - x) / width for 'max' and (x - limit) / width for 'min' over the limits that x breaks.
+
+    A missing x breaks none; what isn't biodegradable, where that is asked for, keeps a tenth.
+    """
     out = F.lit(1.0)
     for c, sense, limit, width in terms:
-        out = out * sigmoid(((limit - c) if sense == "max" else (c - limit)) / width)
-    return out
+        gap = (limit - c) if sense == "max" else (c - limit)
+        out = out * F.when(gap < 0, sigmoid(gap / width)).otherwise(1.0)
+    return out if biodegradable is None else out * F.when(F.coalesce(biodegradable, F.lit(False)), 1.0).otherwise(0.1)
 
 
 def fitness(value: Column, maximise: bool, valid: Column) -> Column:
@@ -99,3 +103,14 @@ def quadratic_fit(n: Column, sx: list[Column], sxy: list[Column]) -> tuple[Colum
         F.try_divide(det(s0, t0, s2, s1, t1, s3, s2, t2, s4), base),
         F.try_divide(det(s0, s1, t0, s1, s2, t1, s2, s3, t2), base),
     )
+
+
+def merit_average(at_40: Column, at_100: Column) -> Column:
+    """The mean of the merits at both temperatures, or the one at 40 C."""
+    return F.when(at_40.isNotNull() & at_100.isNotNull(), (at_40 + at_100) / 2).otherwise(at_40)
+
+
+def merit_100(k: Column, molar_cp: Column, weight: Column, nu: Column, density: Column, beta_100: Column | None, beta_40: Column) -> Column:
+    """The merit at 100 C, with the expansion at 40 C where none at 100 C is known (units as stored: cSt, g/cm3, J/(mol K))."""
+    beta = beta_40 if beta_100 is None else beta_100
+    return merit(beta, mass_heat_capacity(molar_cp, weight), density * 1000.0, nu * 1e-6, k)

@@ -62,6 +62,12 @@ def encode(text: Column, table: dict[str, int], unknown: int) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(lookup, c), F.lit(unknown)))
 
 
+def decode(codes: Column, table: dict[str, int], unknown: str = "") -> Column:
+    """The string of a list of numbers; numbers outside the table give `unknown`."""
+    lookup = F.create_map(*[F.lit(x) for c, k in table.items() for x in (k, c)])
+    return F.array_join(F.transform(codes, lambda k: F.coalesce(F.try_element_at(lookup, k), F.lit(unknown))), "")
+
+
 def balanced(text: Column) -> Column:
     """Brackets close in order and ring digits pair up."""
     chars = F.split(text, "")

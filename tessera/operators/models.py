@@ -121,6 +121,67 @@ def boosted(df: DataFrame, features: list[str], target: str, fold: Column, folds
     return out
 
 
+def out_of_fold(df: DataFrame, key: str, features: list[str], target: str, fold: Column, folds: int, trees: int = 10, depth: int = 4, classify: bool = False, depths: tuple[int, ...] = ()) -> DataFrame:
+    """key, fold, y_true, y_pred (y_proba of class 1 with classify) for every row, each from the model that hasn't seen its fold.
+
+    depths: nested validation; the depth of each outer model is that with the least error on the next fold when trained on the rest.
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+
+    from tessera.session import stash
+
+    rows = df.dropna(subset=[*features, target]).withColumn("_fold", fold)
+    data = stash(VectorAssembler(inputCols=features, outputCol="_x").transform(rows).select(key, "_x", "_fold", F.col(target).cast("double").alias("_y")), "folds")
+    make = GBTClassifier if classify else GBTRegressor
+
+    def fitted(train: DataFrame, deep: int):
+        return make(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=trees, maxDepth=deep, seed=1).fit(train)
+
+    def predicted(model, part: DataFrame) -> DataFrame:
+        p = vector_to_array("probability")[1] if classify else F.col("_p")
+        return model.transform(part).select(key, F.col("_fold").alias("fold"), F.col("_y").alias("y_true"), p.alias("y_proba" if classify else "y_pred"))
+
+    out = None
+    for k in range(folds):
+        rest, deep = data.where(F.col("_fold") != k), depth
+        if depths:
+            inner = (k + 1) % folds
+            p = "y_proba" if classify else "y_pred"
+            errors = {d: predicted(fitted(rest.where(F.col("_fold") != inner), d), rest.where(F.col("_fold") == inner)).agg(F.avg(F.pow(F.col("y_true") - F.col(p), F.lit(2.0)))).first()[0] for d in depths}
+            deep = min(errors, key=lambda d: (errors[d] is None, errors[d], d))
+        part = predicted(fitted(rest, deep), data.where(F.col("_fold") == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def quantile_leaves(train: DataFrame, features: list[str], target: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9), depth: int = 4):
+    """A function that adds the target's quantiles in each row's leaf of a regression tree: a quantile model whose leaves are exact."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from tessera.operators.quantiles import exact_quantiles, linear_spots
+
+    assembler = VectorAssembler(inputCols=features, outputCol="_x")
+    data = assembler.transform(train.dropna(subset=[*features, target])).select("_x", F.col(target).cast("double").alias("_y"))
+    tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_y", predictionCol="_leaf", maxDepth=depth, seed=1).fit(data)
+    leaves = exact_quantiles(tree.transform(data), ["_leaf"], F.col("_y"), linear_spots(list(shares)))
+    names = [f"q{int(round(100 * s))}" for s in shares]
+    table = leaves.select("_leaf", *[F.col("quantiles")[k].alias(n) for k, n in enumerate(names)])  # 2^depth rows
+
+    def predict(df: DataFrame) -> DataFrame:
+        return tree.transform(assembler.transform(df.dropna(subset=features))).join(F.broadcast(table), "_leaf").drop("_x", "_leaf")
+
+    return predict
+
+
+def interval_coverage(df: DataFrame, truth: str, low: str, high: str) -> DataFrame:
+    """The share of rows inside their interval, and its mean width."""
+    return df.agg(F.avg(((F.col(truth) >= F.col(low)) & (F.col(truth) <= F.col(high))).cast("double")).alias("coverage"), F.avg(F.col(high) - F.col(low)).alias("width"), F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- selection and search
 
 

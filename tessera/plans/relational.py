@@ -298,9 +298,10 @@ def cosine_penalty(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(M.cosine_penalty(c("p_retailprice"), 1000.0, 1400.0), 6).alias("factor"))
 
 
-@query("SELECT p_partkey, round(1 / (1 + exp(-((1200 - p_retailprice) / 20.0))) * (1 / (1 + exp(-((p_size - 10) / 2.0)))), 6) AS score FROM part")
+@query("""
+SELECT p_partkey, round(CASE WHEN p_retailprice > 1200 THEN 1 / (1 + exp(-((1200 - p_retailprice) / 20.0))) ELSE 1 END * CASE WHEN p_size < 10 THEN 1 / (1 + exp(-((p_size - 10) / 2.0))) ELSE 1 END * CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0.1 END, 6) AS score FROM part""")
 def soft_constraint(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.round(M.soft_gate([(c("p_retailprice"), "max", 1200.0, 20.0), (c("p_size"), "min", 10.0, 2.0)]), 6).alias("score"))
+    return read(spark, d, "part").select("p_partkey", F.round(M.soft_gate([(c("p_retailprice"), "max", 1200.0, 20.0), (c("p_size"), "min", 10.0, 2.0)], c("p_type").contains("STEEL")), 6).alias("score"))
 
 
 @query("""
