@@ -53,8 +53,10 @@ def docs(spark, rows):
 # ---------------------------------------------------------------- 1
 
 
-def test_language_model(spark, docs, rows):
-    got = LM.score_texts(docs).collect()
+@pytest.mark.parametrize("limit", [LM.LIMIT, 64, 5])
+def test_language_model(spark, docs, rows, limit):
+    """With small limits most words are dealt over shards, most contexts are split and there are hundreds of files."""
+    got = LM.score_texts(docs, limit=limit).collect()
     want = scores([*rows, *rows[:2]])
     assert len(got) == len(rows) + 3
     for r in got:
@@ -72,6 +74,24 @@ def test_language_model_empty(spark):
     assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in only)
 
 
+def test_model_files(tmp_path):
+    uri = f"file://{tmp_path}/m"
+    c = np.array([1, 255, 254, 70_000, 1 << 40, 0])
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    for k in range(200):
+        LM.put_arrays(uri, f"f-{k}", [*LM.pack_counts(c + k), *LM.pack_keys(h)])
+    files = LM.Files(uri, most=3)
+    for k in [*range(200), 0]:
+        arrays = files.get(f"f-{k}")
+        assert LM.counts_at(arrays[:3], np.array([4, 1, 0, 3, 5, 2])).tolist() == (c + k)[[4, 1, 0, 3, 5, 2]].tolist()
+        at, hit = LM.find_keys(arrays[3:5], np.r_[h[::7], h[::7] + np.uint64(1 << 20)])
+        assert hit[: len(h[::7])].all() and (at[: len(h[::7])] == np.arange(0, 5000, 7)).all() and not hit[len(h[::7]) :].any() and len(files.held) <= 3
+    with pytest.raises(FileNotFoundError):
+        files.get("f-200")
+    with pytest.raises(FileNotFoundError):
+        LM.Files("memory-is-no-folder:/x".replace("memory-is-no-folder:", "file://")).get("none")
+
+
 def test_model_sums_to_one():
     assert LM.discounts(0, 0, 0, 0) == (0.5, 1.0, 1.5)
     d = LM.discounts(100, 40, 20, 10)
