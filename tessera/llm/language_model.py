@@ -49,7 +49,7 @@ LIMIT = 1 << 20
 WORD_RANGES = 1024
 CLASSES = 64
 #: Model files that a worker keeps mapped.
-OPEN_FILES = 64
+OPEN_FILES = 16
 END = np.uint64(0x9C1E5A70D4B3F268)
 _A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -133,6 +133,37 @@ def counts_at(packed: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Totals up to which one byte tells how many counts make them up.
+SMALL = 5
+
+
+def pack_stats(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """total, and how many counts are 1, 2 and more: a byte where the total is small (the last number then follows), else beside."""
+    total, n1, n2, _ = parts
+    big = np.flatnonzero(total > SMALL)
+    code = np.where(total > SMALL, 255, total * 36 + n1 * 6 + n2).astype("<u1")
+    return [code, big.astype("<u4"), *(x for p in parts for x in pack_counts(p[big]))]
+
+
+def stats_at(packed: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    code = packed[0][at].astype(np.int64)
+    total, n1, n2 = code // 36, code // 6 % 6, code % 6
+    out = np.stack([total, n1, n2, (total > n1 + 2 * n2).astype(np.int64)])
+    if len(big := np.flatnonzero(code == 255)):
+        place = np.searchsorted(packed[1], at[big])
+        for x, k in zip(out, range(2, 14, 3)):
+            x[big] = counts_at(packed[k : k + 3], place)
+    return out
+
+
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def swell(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def pack_keys(sorted_hashes: np.ndarray) -> list[np.ndarray]:
     """48 bits of each sorted hash: where each value of the first 16 begins, and the other 32."""
     key = sorted_hashes >> np.uint64(16)
@@ -210,10 +241,10 @@ class Words:
         edge = np.searchsorted(_range_of(h, self.ranges), np.arange(self.ranges + 1))
         for k in np.flatnonzero((np.diff(edge) > 0) & self.filled).tolist():
             part = slice(edge[k], edge[k + 1])
-            keys, counts, place = self.files.get(f"word-{k}")
+            keys, place, *counts = self.files.get(f"word-{k}")
             at = np.minimum(np.searchsorted(keys, h[part]), len(keys) - 1)
             hit = keys[at] == h[part]
-            c = counts[at].astype(np.int64)
+            c = counts_at(counts, at)
             number[part] = np.where(hit, self.base[k][_class_of(c)] + place[at], -1)
             count[part] = np.where(hit, c, 0)
         return number, count
@@ -232,7 +263,7 @@ def count_words(train: DataFrame, uri: str, ranges: int) -> tuple[np.ndarray, np
                 h, c = np.unique(tokens, return_counts=True)
                 edge = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
                 some = np.flatnonzero(np.diff(edge)).tolist()
-                cols = [[x[edge[k] : edge[k + 1]].tobytes() for k in some] for x in (h, c.astype("<u4"))]
+                cols = [[h[edge[k] : edge[k + 1]].tobytes() for k in some], [_narrow(c[edge[k] : edge[k + 1]], 4) for k in some]]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], names=["bucket", "h", "c"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([rows], "<u8").tobytes()], pa.binary())], names=["bucket", "h", "c"])
 
@@ -241,12 +272,12 @@ def count_words(train: DataFrame, uri: str, ranges: int) -> tuple[np.ndarray, np
         if k < 0:
             n = [int(_blobs(table, "c", "<u8").sum())] + [0] * (CLASSES - 1)
             return pa.table({"bucket": pa.array([k], pa.int32()), "words": pa.array([n], pa.list_(pa.int64())), "tokens": pa.array([n], pa.list_(pa.int64()))})
-        h, c, _ = _summed(_blobs(table, "h", "<u8"), _blobs(table, "c", "<u4").astype(np.int64))
+        h, c, _ = _summed(_blobs(table, "h", "<u8"), np.concatenate([_wide(x, 4) for x in table["c"].to_pylist()]).astype(np.int64))
         kind = _class_of(c)
         order = np.argsort(kind, kind="stable")
         place = np.empty(len(h), np.int64)
         place[order] = np.arange(len(h)) - np.searchsorted(kind[order], kind[order])
-        put_arrays(uri, f"word-{k}", [h, c.astype("<u8"), place.astype("<u4")])
+        put_arrays(uri, f"word-{k}", [h, place.astype("<u4"), *pack_counts(c)])
         words, tokens = np.bincount(kind, minlength=CLASSES), np.bincount(kind, c, CLASSES).astype(np.int64)
         return pa.table({"bucket": pa.array([k], pa.int32()), "words": pa.array([words.tolist()], pa.list_(pa.int64())), "tokens": pa.array([tokens.tolist()], pa.list_(pa.int64()))})
 
@@ -348,12 +379,12 @@ def _contexts(number: np.ndarray, toff: np.ndarray, start: int) -> tuple[np.ndar
 
 
 def _narrow(x: np.ndarray, width: int) -> bytes:
-    """The low bytes of numbers, byte by byte: the high ones are mostly 0 and compress well."""
-    return np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4)[:, :width].T).tobytes()
+    """The low bytes of numbers, byte by byte, packed: frequent words have small numbers, so the high bytes are mostly 0."""
+    return squeeze(np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4)[:, :width].T).tobytes())
 
 
 def _wide(raw: bytes, width: int) -> np.ndarray:
-    part = np.frombuffer(raw, "u1").reshape(width, -1)
+    part = np.frombuffer(swell(raw), "u1").reshape(width, -1)
     out = np.zeros((part.shape[1], 4), "u1")
     out[:, :width] = part.T
     return out.view("<u4").ravel()
@@ -433,7 +464,7 @@ def count_trigrams(train: DataFrame, uri: str, base: np.ndarray, filled: np.ndar
         out = [_row(SEEN, 3, _stats(c)), _row(TRI, task, np.zeros(0))]
         whole = ~deal.split(u, v)
         contexts, sums = _grouped(_h2(u, v)[whole], c[whole])
-        arrays = [*pack_keys(key), *pack_counts(c), *pack_keys(contexts), *(x for s in sums for x in pack_counts(s))]
+        arrays = [*pack_keys(key), *pack_counts(c), *pack_keys(contexts), *pack_stats(sums)]
         if not whole.all():
             h = _h2(u, v)[~whole]
             split, parts = _grouped(h, c[~whole])
@@ -446,7 +477,7 @@ def count_trigrams(train: DataFrame, uri: str, base: np.ndarray, filled: np.ndar
             v, w = v[at], w[at]
             low, size = int(deal.edges[task]), int(deal.edges[task + 1] - deal.edges[task])
             middle = [np.bincount(v - low, n, size), *(np.bincount((v - low)[hit], minlength=size) for hit in (n == 1, n == 2, n > 2))]
-            arrays += [*pack_keys(pairs), *pack_counts(n), *(x for m in middle for x in pack_counts(m.astype(np.int64)))]
+            arrays += [*pack_keys(pairs), *pack_counts(n), *pack_stats([m.astype(np.int64) for m in middle])]
             out += [_row(SEEN, 2, _stats(n)), *_by_word(w, np.ones(len(w), np.int64), per, ranges)]
         else:
             pairs, n, at = _summed(_h2(v, w), np.ones(len(v), np.int64))
@@ -466,7 +497,7 @@ def count_trigrams(train: DataFrame, uri: str, base: np.ndarray, filled: np.ndar
             order = np.argsort(key, kind="stable")
             k = key[order]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            put_arrays(uri, f"split-{task}", [*pack_keys(k[first]), *(x for p in parts for x in pack_counts(np.add.reduceat(p[order], first)))])
+            put_arrays(uri, f"split-{task}", [*pack_keys(k[first]), *pack_stats([np.add.reduceat(p[order], first) for p in parts])])
             return _rows_table([_row(SPLIT, task, np.zeros(0))])
         place = int(np.searchsorted(deal.first, task, "right") - 1)
         v = deal.total if place == deal.hot else place
@@ -565,9 +596,8 @@ class Model:
                 if task not in self.tri:
                     continue
                 arrays = self.files.get(f"tri-{task}")
-                keys, counts = arrays[19:21], arrays[21:24]
-                for x, k in zip(parts, range(24, 36, 3)):
-                    x[at] = counts_at(arrays[k : k + 3], v[at] - int(self.deal.edges[task]))
+                keys, counts = arrays[21:23], arrays[23:26]
+                parts[:, at] = stats_at(arrays[26:40], v[at] - int(self.deal.edges[task]))
             elif task in self.shared:
                 arrays = self.files.get(f"pair-{task}")
                 keys, counts = arrays[:2], arrays[2:5]
@@ -594,16 +624,14 @@ class Model:
             c[at[hit]] = counts_at(arrays[2:5], place[hit])
             at = at[~split[some]]
             place, hit = find_keys(arrays[5:7], _h2(u[at], v[at]))
-            for x, k in zip(parts, range(7, 19, 3)):
-                x[at[hit]] = counts_at(arrays[k : k + 3], place[hit])
+            parts[:, at[hit]] = stats_at(arrays[7:21], place[hit])
         spread = known[split]
         h = _h2(u[spread], v[spread])
         for task, some in _tasks(self.deal.split_task(h)):
             if task in self.splits:
                 arrays = self.files.get(f"split-{task}")
                 place, hit = find_keys(arrays[:2], h[some])
-                for x, k in zip(parts, range(2, 14, 3)):
-                    x[spread[some[hit]]] = counts_at(arrays[k : k + 3], place[hit])
+                parts[:, spread[some[hit]]] = stats_at(arrays[2:16], place[hit])
         total, left = _left(list(parts), self.d[2])
         return _discounted(c, self.d[2]) / total + left * low
 

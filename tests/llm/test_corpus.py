@@ -88,8 +88,9 @@ def test_model_files(tmp_path):
         assert hit[: len(h[::7])].all() and (at[: len(h[::7])] == np.arange(0, 5000, 7)).all() and not hit[len(h[::7]) :].any() and len(files.held) <= 3
     with pytest.raises(FileNotFoundError):
         files.get("f-200")
-    with pytest.raises(FileNotFoundError):
-        LM.Files("memory-is-no-folder:/x".replace("memory-is-no-folder:", "file://")).get("none")
+    made = [Counter(min(x, 3) for x in counts) | {"t": sum(counts)} for counts in ([], [1], [1, 1, 3], [5], [2, 2, 1], [9, 1, 2, 3], [1] * 300, [1 << 40])]
+    parts = [np.array([m.get(k, 0) for m in made]) for k in ("t", 1, 2, 3)]
+    assert np.array_equal(LM.stats_at(LM.pack_stats(parts), np.array([7, 0, 5, 1, 2, 3, 4, 6])), np.stack(parts)[:, [7, 0, 5, 1, 2, 3, 4, 6]])
 
 
 def test_model_sums_to_one():
