@@ -37,7 +37,7 @@ SKETCH = 64
 DEVIATIONS = 5.0
 #: Classes in a block of a large group, and bytes of sets for a task of small groups.
 BLOCK = 512
-TASK_BYTES = 24 << 20
+TASK_BYTES = 2 << 20
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -101,16 +101,21 @@ def least_share(n, k: int, percent: int, least, sqrt):
 
 
 def list_edges(reps: DataFrame, percent: int, k: int = SKETCH) -> DataFrame:
-    """(a, b): every class of an inverted list, with the first of the list."""
+    """(a, b): every class of an inverted list, with the first of the list.
+
+    Lists are counted and their first class found by sums that are combined before the shuffle, then joined; a value
+    that very many classes hold is a skewed key of a join, which Spark splits, and no window holds a list.
+    """
     held = reps.select("doc_id", "n", F.size("sketch").alias("len"), F.explode("sketch").alias("v"))
-    by_value = Window.partitionBy("v")
-    shared = held.withColumn("df", F.count(F.lit(1)).over(by_value)).where("df > 1")
-    of_doc = Window.partitionBy("doc_id")
+    sizes = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = held.join(sizes.hint("merge"), "v")
+    of_doc = Window.partitionBy("doc_id")  # at most k rows each
     share = least_share(F.col("n"), k, percent, lambda x, y: F.least(F.lit(x), y), F.sqrt)
     need = F.greatest(F.ceil(share * F.col("len") - 1e-9), F.lit(1))
     ranked = shared.withColumn("alone", F.col("len") - F.count(F.lit(1)).over(of_doc)).withColumn("rank", F.row_number().over(of_doc.orderBy("df", "v")))
-    kept = ranked.where(F.col("alone") + F.col("rank") <= F.col("len") - need + 1)
-    return kept.select(F.min("doc_id").over(by_value).alias("a"), F.col("doc_id").alias("b")).where("a < b")
+    kept = stash(ranked.where(F.col("alone") + F.col("rank") <= F.col("len") - need + 1).select("v", "doc_id"), "lists")
+    first = kept.groupBy("v").agg(F.min("doc_id").alias("a"))
+    return kept.join(first.hint("merge"), "v").select("a", F.col("doc_id").alias("b")).where("a < b")
 
 
 def _links_of(docs: list[int], sets: list[np.ndarray], side: np.ndarray | None, percent: int, k: int) -> tuple[Union, list[tuple[int, int]]]:
