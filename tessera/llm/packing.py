@@ -34,7 +34,7 @@ PIECE = 512
 #: Pieces in one differencing problem.
 BUFFER = 3000
 #: Pieces kept by each worker's encoder, about 200 bytes each.
-CACHE = 1_600_000
+CACHE = 500_000
 #: Bytes of text encoded at a time in a worker, and bytes of new pieces handed to the tokenizer as one text.
 STEP = 8 << 20
 CHUNK = 4096
