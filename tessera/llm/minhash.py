@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import column_bytes, lower_ascii, mix, ngram_hashes, stash, steps, with_ids, word_hashes
+from tessera.llm.common import BROADCAST_IDS, column_bytes, lower_ascii, mix, ngram_hashes, stash, steps, with_ids, word_hashes
 from tessera.llm.components import Union, connected_components
 
 SKETCH = 64
@@ -192,9 +192,10 @@ def class_components(docs: DataFrame, reps: DataFrame, size: int, percent: int,
     groups = connected_components(list_edges(reps, percent, k))
     sizes = reps.select(F.col("doc_id").alias("node"), "n")
     members = groups.join(sizes, "node").groupBy("node").agg(F.min("component").alias("grp"), F.max("n").alias("n"))
-    in_group = Window.partitionBy("grp")
-    members = members.withColumn("block", F.floor((F.row_number().over(in_group.orderBy("n", "node")) - 1) / BLOCK).cast("int"))
-    members = stash(members.withColumn("blocks", F.max("block").over(in_group) + 1), "members")
+    # blocks by hash: only groups of more than one block are counted out, so no group is ordered or gathered
+    large = stash(members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    members = members.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = stash(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     total, many = members.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not many:
         return None
