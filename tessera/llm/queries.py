@@ -20,7 +20,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.language_model import score_texts
 
-    return score_texts(table(spark, sf_dir, "documents"))
+    scored = score_texts(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tessera.llm.licenses import license_sql
     from tessera.llm.minhash import NEAR_SQL
+    from tessera.llm.oracles import LANGUAGE_SQL, REPEATS_SQL
     from tessera.llm.quotes import CHAT_SQL
 
-    return {"op2_quotes": CHAT_SQL, "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL}
+    return {"op1_language_model": LANGUAGE_SQL, "op9_suffix_dedup": REPEATS_SQL, "op2_quotes": CHAT_SQL, "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL}
