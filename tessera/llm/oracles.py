@@ -58,3 +58,26 @@ kept AS (SELECT doc_id, coalesce(string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '
 SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def quality_sql(threshold: float, prior: float, buckets: int, run: int) -> str:
+    """The base figures, and the mean log ratio over the checksum buckets of words and pairs."""
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+tok AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM docs),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(h, 2 * k - 1, 2))::BIGINT for k in range(1, length(h) // 2 + 1)]), lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) AS c
+        FROM (SELECT DISTINCT w, hex(encode(w)) AS h FROM tok)),
+t AS (SELECT r, i, c, lead(c, 1, -1) OVER (PARTITION BY r ORDER BY i) AS d FROM tok JOIN crc USING (w)),
+f AS (SELECT r, c % {buckets} AS b FROM t UNION ALL SELECT r, (c * 40503 + d) % {buckets} FROM t),
+good AS (SELECT DISTINCT r FROM docs JOIN labels USING (doc_id) WHERE quality = 1 AND coalesce(toxic, 0) = 0),
+n AS (SELECT b, count(*) AS raw, count(good.r) AS target FROM f LEFT JOIN good USING (r) GROUP BY b),
+ratio AS (SELECT b, ln((target + {prior}) / (raw * (SELECT sum(target)::DOUBLE / sum(raw) FROM n) + {prior})) AS x FROM n),
+score AS (SELECT r, avg(x) AS llr FROM f JOIN ratio USING (b) GROUP BY r),
+windows AS (SELECT r, unnest([array_to_string(w[i:i + {run - 1}], ' ') for i in range(1, len(w) - {run - 2})]) AS x, unnest(range(1, len(w) - {run - 2})) AS i FROM docs WHERE len(w) >= {run}),
+again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {run})) AS p FROM again) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+out AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+        coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(llr, 0) AS llr FROM docs LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r) LEFT JOIN score USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND llr >= {threshold} AS kept, round(llr, 6) AS llr FROM out
+"""

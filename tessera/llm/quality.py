@@ -40,11 +40,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def features(hashes: Column, buckets: int) -> Column:
-    """Buckets of every word and of every word with its successor (the last with none)."""
-    low = F.lit(buckets - 1).cast("long")
-    pair = F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + 1), F.lit(2)).bitwiseAND(low).cast("int"))
-    return F.concat(F.transform(hashes, lambda x: x.bitwiseAND(low).cast("int")), pair)
+def checksums(w: Column) -> Column:
+    return F.transform(w, lambda x: F.crc32(x.cast("binary")))
+
+
+def features(checksums: Column, buckets: int) -> Column:
+    """Buckets of every word, by its checksum, and of every word with its successor (the last with none)."""
+    n = F.lit(buckets).cast("long")
+    pair = F.transform(checksums, lambda x, i: F.pmod(x * 40503 + F.coalesce(F.get(checksums, i + 1), F.lit(-1).cast("long")), n).cast("int"))
+    return F.concat(F.transform(checksums, lambda x: F.pmod(x, n).cast("int")), pair)
 
 
 def repeated_words(hashes: Column, run: int = RUN) -> Column:
@@ -74,8 +78,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: st
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1).cast("long"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     base = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).join(ids, "_id", "left")
-    hashes = F.transform(words(F.col("_text")), lambda w: F.xxhash64(w))
-    found = base.select(F.coalesce("_t", F.lit(0).cast("long")).alias("t"), F.explode(let(hashes, lambda h: features(h, buckets))).alias("bucket"))
+    found = base.select(F.coalesce("_t", F.lit(0).cast("long")).alias("t"), F.explode(let(checksums(words(F.col("_text"))), lambda h: features(h, buckets))).alias("bucket"))
     counts = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
     whole = Window.partitionBy()
@@ -90,12 +93,13 @@ def figures(text: Column, ratios: Column, buckets: int, all_of_them: bool = True
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def of_hashes(h: Column) -> Column:
-        score = lambda f: let(ratios, lambda r: F.aggregate(f, F.lit(0.0), lambda a, b: a + F.get(r, b))) / F.greatest(F.size(f), F.lit(1))
-        return F.struct(repeated_words(h).alias("n_repeat_words"), let(features(h, buckets), score).alias("llr"))
-
     def of_words(w: Column) -> Column:
-        needed = [F.size(w).cast("long").alias("n_words"), let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes).alias("h")]
+        score = lambda f: let(ratios, lambda r: F.aggregate(f, F.lit(0.0), lambda a, b: a + F.get(r, b))) / F.greatest(F.size(f), F.lit(1))
+        needed = [
+            F.size(w).cast("long").alias("n_words"),
+            let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: repeated_words(h)).alias("n_repeat_words"),
+            let(checksums(w), lambda c: let(features(c, buckets), score)).alias("llr"),
+        ]
         more = [
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -107,7 +111,7 @@ def figures(text: Column, ratios: Column, buckets: int, all_of_them: bool = True
 
 
 def failed(f: Column) -> Column:
-    return (f["n_words"] < MIN_WORDS) | (100 * f["h"]["n_repeat_words"] > 30 * f["n_words"])
+    return (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > 30 * f["n_words"])
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -117,8 +121,8 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     out = out.select("doc_id", figures(F.col("_text"), F.col("_ratios"), buckets).alias("f"))
     f = F.col("f")
     return out.select(
-        "doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.h.n_repeat_words",
-        failed(f).alias("base_failed"), (~failed(f) & (f["h"]["llr"] >= threshold)).alias("kept"), f["h"]["llr"].alias("llr"),
+        "doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words",
+        failed(f).alias("base_failed"), (~failed(f) & (f["llr"] >= threshold)).alias("kept"), f["llr"].alias("llr"),
     )
 
 
@@ -126,7 +130,7 @@ def good_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs that `quality` keeps, with all their columns: each row is judged where it stands, by one expression."""
     name = next(n for n in ("_ratios", *(f"_ratios{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
     held = docs.withColumn(name, bucket_ratios(docs, trusted, id_col, text_col, buckets).scalar())
-    verdict = let(figures(F.col(text_col), F.col(name), buckets, all_of_them=False), lambda f: ~failed(f) & (f["h"]["llr"] >= threshold))
+    verdict = let(figures(F.col(text_col), F.col(name), buckets, all_of_them=False), lambda f: ~failed(f) & (f["llr"] >= threshold))
     return held.where(verdict).drop(name)
 
 

@@ -47,7 +47,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import quality, trusted_ids
 
-    return quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    judged = quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    return judged.withColumn("llr", F.round("llr", 6))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tessera.llm.licenses import license_sql
     from tessera.llm.minhash import NEAR_SQL
-    from tessera.llm.oracles import LANGUAGE_SQL, REPEATS_SQL
+    from tessera.llm.oracles import LANGUAGE_SQL, REPEATS_SQL, quality_sql
+    from tessera.llm.quality import BUCKETS, PRIOR, RUN, THRESHOLD
     from tessera.llm.quotes import CHAT_SQL
 
-    return {"op1_language_model": LANGUAGE_SQL, "op9_suffix_dedup": REPEATS_SQL, "op2_quotes": CHAT_SQL, "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL}
+    return {"op1_language_model": LANGUAGE_SQL, "op9_suffix_dedup": REPEATS_SQL, "op2_quotes": CHAT_SQL, "op5_quality": quality_sql(THRESHOLD, PRIOR, BUCKETS, RUN), "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL}

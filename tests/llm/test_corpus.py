@@ -13,7 +13,6 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 from brute_lm import scores
 from fixtures import corpus, empty, sentence, table, text
 from pyspark.sql import functions as F
@@ -331,20 +330,12 @@ def _figures(t):
     return len(w), sum(map(len, w)), sum((t or "").count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-def _hash(*parts):
-    seed = 42
-    for p in parts:
-        if p is not None:
-            seed = xxhash.xxh64(p if isinstance(p, bytes) else (p & (2**64 - 1)).to_bytes(8, "little"), seed=seed).intdigest()
-    return seed
-
-
 def brute_quality(rows, trusted, threshold=Q.THRESHOLD, buckets=Q.BUCKETS):
     """doc index -> kept, with the same hashed features."""
 
     def feats(t):
-        h = [_hash(w.encode()) for w in WORD.findall(t or "")]
-        return [x & (buckets - 1) for x in h] + [_hash(x, y, (2).to_bytes(4, "little")) & (buckets - 1) for x, y in zip(h, [*h[1:], None])]
+        h = [zlib.crc32(w.encode()) for w in WORD.findall(t or "")]
+        return [x % buckets for x in h] + [(x * 40503 + y) % buckets for x, y in zip(h, [*h[1:], -1])]
 
     raw, good = Counter(), Counter()
     for i, t in rows:
