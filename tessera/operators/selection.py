@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.quantiles import exact_quantiles, with_group_values
+from tessera.operators.quantiles import with_group_values
 
 
 def _ranked(df: DataFrame, keys: list, order: list[Column], name: str = "_rn") -> DataFrame:
@@ -61,18 +61,25 @@ def random_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return top_k(df, [draw(F.col(key), seed), F.col(key)], n)
 
 
+#: Equal slices of the draws; only one of them is ordered in each stratum.
+SLICES = 16384
+
+
 def stratified(df: DataFrame, strata: list[str], key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """floor(fraction * size) rows of every stratum, one at least: those whose draw is below the stratum's exact quantile.
+    """floor(fraction * size) rows of every stratum, one at least: those of the smallest draws.
 
-    No stratum is ordered; only rows that draw the very number of the last place are ranked, by their key.
+    Draws are counted by slice, which tells the slice of the last place; rows of earlier slices are taken unordered, and
+    only those of that slice are ranked.
     """
-    dealt = df.withColumn("_draw", draw(F.col(key), seed))
-    take = lambda n: F.greatest(F.lit(1), F.floor(n * fraction))
-    last = exact_quantiles(dealt, strata, F.col("_draw"), lambda n: [take(n) - 1]).select(*strata, take(F.col("n")).alias("_take"), F.col("quantiles")[0].alias("_last"))
-    near = with_group_values(dealt, strata, last).where(F.col("_draw") <= F.col("_last"))
-    below = near.groupBy(*strata).agg(F.count_if(F.col("_draw") < F.col("_last")).alias("_below"))
-    ties = _ranked(with_group_values(near.where(F.col("_draw") == F.col("_last")), strata, below), strata, [F.col(key)]).where(F.col("_rn") <= F.col("_take") - F.col("_below"))
-    return near.where(F.col("_draw") < F.col("_last")).select(*df.columns).unionByName(ties.select(*df.columns))
+    dealt = df.withColumn("_draw", draw(F.col(key), seed)).withColumn("_slice", F.floor(F.col("_draw") * SLICES).cast("int"))
+    counts = dealt.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*strata)  # at most SLICES rows
+    upto = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).withColumn("_take", F.greatest(F.lit(1), F.floor(F.sum("_c").over(whole) * fraction)))
+    last = counts.where((F.col("_before") < F.col("_take")) & (F.col("_take") <= F.col("_before") + F.col("_c"))).select(*strata, F.col("_slice").alias("_last"), (F.col("_take") - F.col("_before")).alias("_rest"))
+    near = with_group_values(dealt, strata, last).where(F.col("_slice") <= F.col("_last"))
+    ranked = _ranked(near.where(F.col("_slice") == F.col("_last")), strata, [F.col("_draw"), F.col(key)]).where(F.col("_rn") <= F.col("_rest"))
+    return near.where(F.col("_slice") < F.col("_last")).select(*df.columns).unionByName(ranked.select(*df.columns))
 
 
 def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int = 0, floor: float = 0.01) -> DataFrame:
