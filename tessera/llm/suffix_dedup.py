@@ -357,7 +357,10 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tupl
     """For (doc_id, text): the ids of later copies of whole texts, and a table doc_id, cuts of the ranges that others lose."""
     hashed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"), F.octet_length("text").cast("long").alias("n"))
     hashed = stash(hashed.where(F.col("n") >= span), "hashes")
-    least = hashed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+    # only texts that two documents have are joined, so a large group of copies need not meet in a task
+    least = hashed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    least = stash(least, "least")
+    least = F.broadcast(least) if least.count() <= BROADCAST_IDS else least
     copies = stash(hashed.join(least, ["h1", "h2", "n"]).where("doc_id > rep").select("doc_id", "n").distinct(), "copies")
     total = hashed.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_BYTES))
