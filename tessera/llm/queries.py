@@ -81,6 +81,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipping(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -95,10 +101,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.llm.filter_audit import AUDIT_SQL
     from tessera.llm.licenses import license_sql
     from tessera.llm.minhash import NEAR_SQL
     from tessera.llm.oracles import LANGUAGE_SQL, REPEATS_SQL, quality_sql
     from tessera.llm.quality import BUCKETS, PRIOR, RUN, THRESHOLD
     from tessera.llm.quotes import CHAT_SQL
 
-    return {"op1_language_model": LANGUAGE_SQL, "op9_suffix_dedup": REPEATS_SQL, "op2_quotes": CHAT_SQL, "op5_quality": quality_sql(THRESHOLD, PRIOR, BUCKETS, RUN), "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL}
+    return {"op1_language_model": LANGUAGE_SQL, "op9_suffix_dedup": REPEATS_SQL, "op2_quotes": CHAT_SQL, "op5_quality": quality_sql(THRESHOLD, PRIOR, BUCKETS, RUN), "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL, "op11_filter_audit": AUDIT_SQL}
