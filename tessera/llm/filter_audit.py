@@ -12,32 +12,51 @@ the same id and text are no repeats of each other; an empty table gives no rows;
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import BROADCAST_IDS, stash
-
-#: Words end at these characters only.
-_SPACE = r"[\x20\x09-\x0D]+"
-REPEATED = "E"
-
-
-def text_filters(text: Column) -> dict[str, Column]:
-    """Failure conditions on a text by itself: few words, few distinct words, many capitals, a symbol."""
-    split = F.split(text, _SPACE)
-    n, distinct = F.size(F.array_remove(split, "")), F.size(F.array_remove(F.array_distinct(split), ""))
-    capitals = F.char_length(F.regexp_replace(text, "[^A-Z]+", ""))
-    return {"A": n < 100, "B": 100 * distinct < 80 * n, "C": 100 * capitals > 10 * F.char_length(text), "D": F.regexp_like(text, F.lit(r"[#$%&*|]"))}
-
-
-def _bits(filters: dict[str, Column]) -> Column:
-    out = F.lit(0)
-    for k, failed in enumerate(filters.values()):
-        out = out + F.when(failed, 1 << k).otherwise(0)
-    return out
+from tessera.llm.common import BROADCAST_IDS, column_bytes, stash, steps, word_spans
+
+#: Letters of the filters on a text by itself, and of the one on repeats.
+ON_TEXT, REPEATED = "ABCD", "E"
+_CAPITAL, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
+_CAPITAL[65:91] = True
+_SYMBOL[[ord(x) for x in "#$%&*|"]] = True
+
+
+def text_failures(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A bit for each filter that a text fails: few words, few distinct words, many capitals, a symbol."""
+    start, end, woff = word_spans(raw, off)
+    n = np.diff(woff)
+    distinct = np.zeros(len(n), np.int64)
+    if len(start):
+        # every other piece is a word; words are told apart by their bytes
+        edges = np.empty(2 * len(start) + 1, np.int64)
+        edges[0:-1:2], edges[1::2], edges[-1] = start, end, len(raw)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))])
+        codes = pieces.take(pa.array(np.arange(0, 2 * len(start), 2))).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs = np.unique(np.repeat(np.arange(len(n)), n) * (int(codes.max()) + 1) + codes)
+        distinct = np.bincount(pairs // (int(codes.max()) + 1), minlength=len(n))
+    within = lambda flags: np.diff(np.append(0, np.cumsum(flags))[off])
+    tests = n < 100, 100 * distinct < 80 * n, 100 * within(_CAPITAL[raw]) > 10 * within((raw & 0xC0) != 0x80), within(_SYMBOL[raw]) > 0
+    return sum(failed.astype(np.int32) << k for k, failed in enumerate(tests))
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, off = column_bytes(batch.column(2))
+        view = memoryview(np.ascontiguousarray(raw))
+        for a, b in steps(off):
+            mask = text_failures(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+            sha = [hashlib.sha256(view[i:j]).digest() for i, j in zip(off[a:b].tolist(), off[a + 1 : b + 1].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(sha, pa.binary()), pa.array(mask, pa.int32())], names=["doc_id", "part", "_sha", "mask"])
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, marks: dict[str, Column]) -> DataFrame:
@@ -53,10 +72,9 @@ def _labelled(rows: DataFrame, labels: DataFrame, marks: dict[str, Column]) -> D
 
 def mask_cells(docs: DataFrame, labels: DataFrame, part: str, marks: dict[str, Column], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """part, mask, the marks and n: documents counted by what they fail, the last bit for a repeat of a smaller id's text."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    filters = text_filters(text)
-    repeat = 1 << len(filters)
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("_sha"), _bits(filters).alias("mask"))
+    repeat = 1 << len(ON_TEXT)
+    read = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"), docs[text_col].cast("string").alias("text"))
+    rows = read.mapInArrow(_masks, "doc_id long, part string, _sha binary, mask int")
     # one row for each document and text, then for each text and cell: the least id there and how often it comes
     each = _labelled(rows.groupBy("_sha", "mask", "part", "doc_id").agg(F.count(F.lit(1)).alias("n")), labels, marks)
     known = F.col("doc_id").isNotNull()
@@ -104,7 +122,7 @@ MARKS = {"_good": "good_lost", "_toxic": "toxic_lost"}
 def filter_audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     """The audit of the five corpus filters A to E in all 120 orders."""
     cells = mask_cells(docs, labels, part, {"_good": F.col("quality") == 1, "_toxic": F.col("toxic") == 1})
-    return audit(cells, "".join(text_filters(F.lit(""))) + REPEATED, MARKS)
+    return audit(cells, ON_TEXT + REPEATED, MARKS)
 
 
 AUDIT_SQL = r"""
