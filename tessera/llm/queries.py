@@ -87,6 +87,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.byte_bpe import read_ranks, round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def _shipping(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
