@@ -87,6 +87,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -115,5 +121,6 @@ def oracle_sql() -> dict[str, str]:
     from tessera.llm.oracles import LANGUAGE_SQL, REPEATS_SQL, quality_sql
     from tessera.llm.quality import BUCKETS, PRIOR, RUN, THRESHOLD
     from tessera.llm.quotes import CHAT_SQL
+    from tessera.llm.spelling import VARIANTS_SQL
 
-    return {"op1_language_model": LANGUAGE_SQL, "op9_suffix_dedup": REPEATS_SQL, "op2_quotes": CHAT_SQL, "op5_quality": quality_sql(THRESHOLD, PRIOR, BUCKETS, RUN), "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL, "op11_filter_audit": AUDIT_SQL}
+    return {"op1_language_model": LANGUAGE_SQL, "op9_suffix_dedup": REPEATS_SQL, "op2_quotes": CHAT_SQL, "op5_quality": quality_sql(THRESHOLD, PRIOR, BUCKETS, RUN), "op4_licenses": license_sql(), "op6_minhash": NEAR_SQL, "op11_filter_audit": AUDIT_SQL, "op12_spelling": VARIANTS_SQL}
