@@ -1,12 +1,12 @@
 """Byte-level BPE: every distinct word of the corpus is encoded once, texts are put together again by position.
 
-Texts are cut into pre-tokens.  A block of a few megabytes of text keeps one row for each distinct pre-token (the
-position of an occurrence is the row's place in the block) and one row with the positions of all its documents.  The
-distinct words of all blocks meet in one shuffle, each is encoded once, and the ids are joined back; a second shuffle
-brings the ids of a block's words to its positions.  Decoding joins the table of token bytes: the distinct tokens of a
-block and then its documents go through a broadcast join in order, so nothing is shuffled.
+Texts are cut into pre-tokens.  A block of some megabytes of text keeps one row for each distinct pre-token (word and
+place in the block) and the places of all its occurrences in order.  The words of all blocks meet in one shuffle; in
+word order each distinct word is encoded once and its ids are merged back to the blocks that have it.  A second
+shuffle brings the ids of a block's words to its places.  Decoding joins the table of token bytes: the distinct tokens
+of some documents and then the documents go through a broadcast join in order, so nothing is shuffled.
 
-A word has at most one row for each block, so no key gathers more rows than there are blocks.
+A word has at most one row for each block, so no key gathers more rows than there are blocks, and they are streamed.
 
 Defined results: a null text counts as empty and has no ids; a null id is kept; repeated rows are encoded as often as
 they come; bytes that aren't UTF-8 read as U+FFFD; an empty table gives no rows; other columns are ignored.
@@ -23,11 +23,13 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_bytes, stash, steps
+from tessera.llm.common import STEP_BYTES, column_bytes, stash, steps
 from tessera.llm.packing import Encoder
 
-#: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 4 << 20
+#: A block ends with the step of text in which it gets so many distinct pre-tokens or bytes.
+BLOCK_WORDS, BLOCK_BYTES = 1 << 18, 32 << 20
+#: Rows of words whose ids are packed by block before the second shuffle.
+PACK = 1 << 19
 #: Largest vocabulary, which every executor holds.
 MOST_TOKENS = 1 << 20
 
@@ -108,62 +110,75 @@ class Splitter:
         return out
 
 
-def _positions(raw: np.ndarray, off: np.ndarray, splitter: Splitter) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct pre-tokens of some texts, frequent ones first, the place of every occurrence, and the n + 1 offsets of the texts."""
+def squeeze(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, compressed: all low bytes, then all bytes above them, as far as there are any."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    used = int(np.flatnonzero(planes.any(axis=1)).max(initial=-1)) + 1
+    return len(x).to_bytes(8, "little") + bytes([used]) + pa.compress(planes[:used].tobytes(), "zstd", asbytes=True)
+
+
+def expand(data: bytes) -> np.ndarray:
+    n, used = int.from_bytes(data[:8], "little"), data[8]
+    planes = np.zeros((n, 4), np.uint8)
+    if n * used:
+        planes[:, :used] = np.frombuffer(pa.decompress(data[9:], n * used, "zstd", asbytes=True), np.uint8).reshape(used, n).T
+    return planes.view("<u4").ravel()
+
+
+def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + size - 1 of every range, one after the other."""
+    stop = np.cumsum(size)
+    out = np.repeat(start - stop + size, size)
+    out += np.arange(len(out))
+    return out
+
+
+def _positions(raw: np.ndarray, off: np.ndarray, splitter: Splitter, places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every pre-token of some texts, and how many each text has; places learns the new ones."""
     begin = Encoder.cuts(raw, off)
     spans = pa.py_buffer(np.append(begin, len(raw)).astype(np.int64))
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, spans, pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-    places: dict[bytes, int] = {}
     pieces = splitter.split(found.dictionary.to_pylist())
     pool = np.array([places.setdefault(p, len(places)) for chunk in pieces for p in chunk], np.int64)
     size = np.array([len(chunk) for chunk in pieces], np.int64)
-    first = np.cumsum(size) - size
     codes = found.indices.to_numpy(zero_copy_only=False)
-    stop = np.cumsum(size[codes])
-    gather = np.repeat(first[codes] - stop + size[codes], size[codes])
-    gather += np.arange(len(gather))
-    flat = pool[gather]
-    order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    words = list(places)
-    return [words[k] for k in order.tolist()], rank[flat], np.append(0, stop)[np.searchsorted(begin, off)]
-
+    ends = np.append(0, np.cumsum(size[codes]))[np.searchsorted(begin, off)]
+    return pool[_gather((np.cumsum(size) - size)[codes], size[codes])], np.diff(ends)
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint16 if x.max(initial=0) < 65536 else np.uint32)
 
+_BLOCKS = "block long, word binary, place int, doc_ids array<long>, sizes binary, places binary"
 
-def _packed(ids: pa.Array, off: np.ndarray, places: np.ndarray) -> bytes:
-    """The documents of a block and the positions of their words as one compressed Arrow stream."""
-    flat = pa.array(_narrow(places))
-    lists = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), flat)
-    batch = pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "places"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
 
+def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = BLOCK_WORDS, size: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of documents: rows with a distinct pre-token (word) and its place, and rows with documents, their lengths and all places."""
+    names = [x.split()[0] for x in _BLOCKS.split(", ")]
 
-_BLOCKS = "block long, place int, word binary, packed binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(pattern)
+        block, done, known = TaskContext.get().partitionId() << 32, 0, {}
 
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            columns["block"] = np.full(n, block)
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
 
-def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """For every block: a row for each distinct pre-token (place, word) and one with its documents' positions (packed)."""
+        def vocabulary() -> Iterator[pa.RecordBatch]:
+            nonlocal block, done, known
+            found = list(known)
+            for k in range(0, len(found), 1 << 16):
+                part = found[k : k + (1 << 16)]
+                yield rows(len(part), word=part, place=np.arange(k, k + len(part), dtype=np.int32))
+            block, done, known = block + 1, 0, {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(pattern)
-        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             raw, off = column_bytes(batch.column(1))
-            for a, b in steps(off, block):
-                words, places, ends = _positions(raw[off[a] : off[b]], off[a : b + 1] - off[a], splitter)
-                n = len(words)
-                packed = _packed(batch.column(0)[a:b], ends, places)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n + 1, number)), pa.array([*range(n), None], pa.int32()), pa.array([*words, None], pa.binary()), pa.array([None] * n + [packed], pa.binary())], names=["block", "place", "word", "packed"]
-                )
-                number += 1
+            for a, b in steps(off):
+                places, sizes = _positions(raw[off[a] : off[b]], off[a : b + 1] - off[a], splitter, known)
+                yield rows(1, doc_ids=[batch.column(0)[a:b].to_pylist()], sizes=[squeeze(sizes)], places=[squeeze(places)])
+                done += int(off[b] - off[a])
+                if len(known) >= words or done >= size:
+                    yield from vocabulary()
+        yield from vocabulary()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, _BLOCKS)
 
@@ -185,56 +200,88 @@ def _encoding(ranks: Broadcast, pattern: str):
     return _encodings[key]
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """word and its ids (little-endian unsigned 32-bit integers)."""
+_PACKED = "block long, places binary, sizes binary, ids binary"
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str, pack: int = PACK) -> DataFrame:
+    """The ids of the words of every block, packed; each distinct word is encoded once, in the task that has all its rows."""
     shared = words.sparkSession.sparkContext.broadcast(ranks)
 
+    def packed(block: np.ndarray, place: np.ndarray, ids: list[list[int]], code: np.ndarray) -> pa.RecordBatch:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        pool = np.fromiter((x for i in ids for x in i), np.int64, int(size.sum()))
+        order = np.lexsort((place, block))
+        block, place, code = block[order], place[order], code[order]
+        at = np.flatnonzero(np.diff(block, prepend=-1))
+        out = []
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
+            c = code[i:j]
+            out.append((int(block[i]), squeeze(np.diff(place[i:j], prepend=0)), squeeze(size[c]), squeeze(pool[_gather((np.cumsum(size) - size)[c], size[c])])))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["block", "places", "sizes", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(shared, pattern)._encode_single_piece
+        last, ids = None, []
+        waiting: list[tuple] = []
+        rows = 0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [encode(w) for w in words]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for i in ids for x in i), "<u4", int(size.sum()))
-            ends = pa.py_buffer(np.append(0, np.cumsum(4 * size)))
-            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, ends, pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), out.cast(pa.binary())], names=["word", "ids"])
-
-    return words.mapInArrow(run, "word binary, ids binary")
-
-
-def _assemble(packed: pa.Table, words: pa.Table) -> pa.Table:
+            coded = batch.column(0).dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            distinct = coded.dictionary.to_pylist()
+            before = len(ids)
+            if distinct and distinct[0] == last and ids:  # the run goes on
+                ids += [encode(w) for w in distinct[1:]]
+                code += before - 1
+            else:
+                ids += [ids_of_last] if distinct and distinct[0] == last else [encode(w) for w in distinct[:1]]
+                ids += [encode(w) for w in distinct[1:]]
+                code += before
+            if distinct:
+                last, ids_of_last = distinct[-1], ids[-1]
+            waiting.append((batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), code))
+            rows += len(code)
+            if rows >= pack:
+                block, place, code = map(np.concatenate, zip(*waiting))
+                yield packed(block, place, ids, code)
+                ids, waiting, rows = [], [], 0
+        if rows:
+            block, place, code = map(np.concatenate, zip(*waiting))
+            yield packed(block, place, ids, code)
+
+    dealt = words.select("word", "block", "place").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, _PACKED)
+
+
+def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     """doc_id and ids of the documents of one block."""
-    raw, ends = column_bytes(words["ids"])
-    place = words["place"].to_numpy()
-    size, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    size[place], start[place] = np.diff(ends) // 4, ends[:-1] // 4
-    pool = np.frombuffer(raw.tobytes(), "<u4")
-    docs = pa.ipc.open_stream(packed["packed"][0].as_py()).read_all()
-    lists = docs["places"].combine_chunks()
-    off, places = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
-    stop = np.cumsum(size[places])
-    gather = np.repeat(start[places] - stop + size[places], size[places])
-    gather += np.arange(len(gather))
-    data = pa.py_buffer(pool[gather])
-    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(4 * np.append(0, stop)[off]), data])
-    return pa.table([docs["doc_id"], ids.cast(pa.binary())], names=["doc_id", "ids"])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    place, size, pool = ([expand(x) for x in words[c].to_pylist()] for c in ("places", "sizes", "ids"))
+    place = np.concatenate([np.cumsum(x.astype(np.int64)) for x in place] or [np.zeros(0, np.int64)])
+    size, pool = (np.concatenate([*x, np.zeros(0, np.uint32)]) for x in (size, pool))
+    sizes, starts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    sizes[place], starts[place] = size, np.cumsum(size, dtype=np.int64) - size
+    out = []
+    for ids, lengths, places in zip(docs["doc_ids"].combine_chunks(), docs["sizes"].to_pylist(), docs["places"].to_pylist()):
+        at = expand(places)
+        stop = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(expand(lengths), dtype=np.int64))]
+        data = pa.py_buffer(pool[_gather(starts[at], sizes[at])])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stop) - 1, [None, pa.py_buffer(4 * stop), data])
+        out.append(pa.table([ids.values, coded.cast(pa.binary())], names=["doc_id", "ids"]))
+    return pa.concat_tables(out)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", pack: int = PACK, **limits: int) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers) of every text, without special tokens."""
-    blocks = stash(word_blocks(docs, pattern, id_col, text_col, block), "blocks")
-    words = blocks.where("place is not null").select("block", "place", "word")
-    known = encode_words(words.select("word").distinct(), ranks, pattern)
-    found = words.join(known, "word").select("block", "place", "ids")
-    packed = blocks.where("place is null").select(F.col("block").alias("of"), "packed")
-    return packed.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
+    blocks = stash(word_blocks(docs, pattern, id_col, text_col, **limits), "blocks")
+    found = encode_words(blocks.where("word is not null"), ranks, pattern, pack)
+    held = blocks.where("word is null").select(F.col("block").alias("of"), "doc_ids", "sizes", "places")
+    return held.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
 
 
 # ---------------------------------------------------------------- decoding
 
 
-def decode(encoded: DataFrame, tokens: DataFrame, keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def decode(encoded: DataFrame, tokens: DataFrame, keep: list[str] | None = None, size: int = STEP_BYTES) -> DataFrame:
     """The columns of keep (all but ids if none are named) and `decoded`, the bytes that the ids stand for.
 
     tokens is the token-byte table.  Null ids count as none; an id that the table lacks is an error.
@@ -249,7 +296,7 @@ def decode(encoded: DataFrame, tokens: DataFrame, keep: list[str] | None = None,
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = column_bytes(batch.column(len(kept)))
-            for a, b in steps(off, block):
+            for a, b in steps(off, size):
                 ids = np.frombuffer(raw[off[a] : off[b]].tobytes(), "<u4")
                 distinct, places = np.unique(ids, return_inverse=True)
                 places = places.astype("<u4")

@@ -152,10 +152,25 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, off)
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each span of bytes: its blocks of eight bytes are scrambled, each by its place, before they are summed."""
+    size = end - start
+    eight = np.ndarray(len(raw) + 1, "<u8", np.append(raw, np.zeros(16, np.uint8)).tobytes(), strides=(1,))  # the eight bytes from each place on
+    low = lambda left: _U(0xFFFFFFFFFFFFFFFF) >> (_U(8) * (_U(8) - np.clip(left, 1, 8).astype(_U)))
+    h = mix(eight[start] & low(size)) * (size > 0)
+    if len(long := np.flatnonzero(size > 8)):
+        count = (size[long] - 1) // 8  # blocks after the first
+        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+        at = np.repeat(start[long], count) + 8 * k
+        parts = mix((eight[at] & low(np.repeat(end[long], count) - at)) ^ mix(k.astype(_U)))
+        h[long] += np.add.reduceat(parts, np.cumsum(count) - count)
+    return mix(h + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word and the n + 1 word offsets of the rows."""
     start, end, woff = word_spans(raw, off)
-    return range_hash(prefix_sums(raw), start, end), woff
+    return span_hashes(raw, start, end), woff
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

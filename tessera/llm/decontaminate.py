@@ -9,8 +9,8 @@ The benchmark is taken in blocks of bounded size, each sent to the executors onc
 number of items; documents are only scanned, never shuffled.
 
 Defined results: null and empty texts, and items without text, match nothing; an item shorter than min_chars
-matches only passages that begin and end at word boundaries; rows with the same id give a row each; with ties the leftmost
-passage of the smallest distance counts; other columns are ignored.
+matches only passages that begin and end at word boundaries; rows with the same id give a row each, rows and items without
+an id are searched like all others; with ties the leftmost passage of the smallest distance counts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash, with_ids
-
 BUDGET = 0.08
 MIN_CHARS = 20
 #: Items and bytes of text in a block, collected and sent to the executors.
@@ -177,7 +175,7 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, most: int = BLOCK_ITEMS
     parts = max(1, -(-n // most), -(-int(total) // size))
     for k in range(parts):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield sorted((r.id, r.text) for r in part.collect() if r.id is not None)
+        yield sorted(((r.id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -203,7 +201,15 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return reduce(DataFrame.union, [scan(b) for b in blocks(bench, item_col, item_text)])
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs in which no item is found."""
-    hits = contamination(docs, bench, id_col, text_col, **more).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return with_ids(docs, stash(hits, "hits"), id_col, "left_anti")
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, min_chars: int = MIN_CHARS, **_: str) -> DataFrame:
+    """The rows of docs in which no item is found, each judged by its own text; one scan, without a join."""
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    sent = [spark.sparkContext.broadcast(b) for b in blocks(bench, item_col, item_text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = [Matcher(x.value, budget, min_chars) for x in sent]
+        for batch in batches:
+            clean = [not any(m.match(text.as_py()) for m in matchers) for text in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_IDS, column_bytes, lower_ascii, prefix_sums, range_hash, stash, steps, with_ids
+from tessera.llm.common import BROADCAST_IDS, column_bytes, lower_ascii, span_hashes, stash, steps, with_ids
 from tessera.llm.license_texts import MARKS, RESERVED, templates
 
 THRESHOLD = 0.6
@@ -72,7 +72,7 @@ def term_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[inner] = ink[1:-1][inner]
     last[inner - 1] = ink[1:-1][inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, range_hash(prefix_sums(lower_ascii(raw)), start, end) if len(start) else np.zeros(0, np.uint64)
+    return start, span_hashes(lower_ascii(raw), start, end)
 
 
 def _hash_of(words: list[str]) -> np.ndarray:

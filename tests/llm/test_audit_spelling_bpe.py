@@ -197,8 +197,8 @@ def vocabulary():
 HOSTILE = ["a  b", "a  b  　 c ", "x\x1c\x1dy\x85z", "!՘ a՘՘ 1\U00011de0", "don't DON'T we'll  'tis", " \n\n\t x", "\r\n", "a" * 5000, "1234567890" * 30, "***$$$", "́é ñ한국어 日本語", "퟿�", "é\x00à", "  ", "a  ", "\U00020000\U0001f600 \U0001f468‍\U0001f469"]
 
 
-@pytest.mark.parametrize("block", [64, B.BLOCK])
-def test_bpe_as_the_library(spark, docs, rows, vocabulary, block):
+@pytest.mark.parametrize("small", [True, False])
+def test_bpe_as_the_library(spark, docs, rows, vocabulary, small):
     import tiktoken
 
     ranks, pattern = vocabulary
@@ -206,14 +206,19 @@ def test_bpe_as_the_library(spark, docs, rows, vocabulary, block):
     all_rows = [*rows, (None, "no id " * 30), *rows[:2], *[(5000 + k, t) for k, t in enumerate(HOSTILE)]]
     hostile = spark.createDataFrame([(5000 + k, t) for k, t in enumerate(HOSTILE)], "doc_id long, text string")
     df = docs.select("doc_id", "text").unionByName(hostile).withColumns({"ids": F.lit(1), "block": F.lit(2), "word": F.lit("x")})
-    coded = B.encode(df, ranks, pattern, block=block)
+    coded = B.encode(df, ranks, pattern, pack=4, words=3, size=64) if small else B.encode(df, ranks, pattern)
     got = Counter((r.doc_id, bytes(r.ids)) for r in coded.collect())
     want = Counter((i, np.array(plain.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in all_rows)
     assert got == want
-    back = B.decode(coded, B.token_bytes(spark, ranks), block=block).collect()
+    back = B.decode(coded, B.token_bytes(spark, ranks), size=64 if small else B.STEP_BYTES).collect()
     assert Counter((r.doc_id, bytes(r.decoded)) for r in back) == Counter((i, (t or "").encode()) for i, t in all_rows)
 
 
+def test_squeezed_numbers():
+    for x in ([], [0], [0] * 9, [1, 255, 256, 65536, 2**32 - 1], range(1000)):
+        assert B.expand(B.squeeze(np.array(x, np.int64))).tolist() == list(x)
+
+
 def test_bpe_digests_and_edges(spark, vocabulary):
     ranks, pattern = vocabulary
     assert B.round_trip(empty(spark), ranks, pattern).count() == 0
@@ -227,7 +232,7 @@ def test_decoding_by_the_table(spark):
     tokens = spark.createDataFrame([(0, bytearray(b"ab")), (7, bytearray(b"\xff")), (2, bytearray(b""))], "token int, bytes binary")
     ids = lambda *x: bytearray(np.array(x, "<u4").tobytes())
     rows = spark.createDataFrame([("p", ids(0, 7, 0), 1.5), ("q", None, None), (None, ids(2, 2), 2.0), ("r", ids(), 3.0)] * 40, "key string, ids binary, x double").repartition(3)
-    got = Counter((r.key, r.x, bytes(r.decoded)) for r in B.decode(rows, tokens, block=16).collect())
+    got = Counter((r.key, r.x, bytes(r.decoded)) for r in B.decode(rows, tokens, size=16).collect())
     assert got == {("p", 1.5, b"ab\xffab"): 40, ("q", None, b""): 40, (None, 2.0, b""): 40, ("r", 3.0, b""): 40}
     assert Counter(bytes(r.decoded) for r in B.decode(rows, tokens, keep=[]).collect())[b"ab\xffab"] == 40
     with pytest.raises(Exception, match="not in the token-byte table"):
