@@ -1,12 +1,12 @@
 """Byte-level BPE: every distinct word of the corpus is encoded once, texts are put together again by position.
 
-Texts are cut into pre-tokens.  A block of some megabytes of text keeps one row for each distinct pre-token (word and
-place in the block) and the places of all its occurrences in order.  The words of all blocks meet in one shuffle; in
-word order each distinct word is encoded once and its ids are merged back to the blocks that have it.  A second
-shuffle brings the ids of a block's words to its places.  Decoding joins the table of token bytes: the distinct tokens
-of some documents and then the documents go through a broadcast join in order, so nothing is shuffled.
+Texts are cut into pre-tokens.  A block of some megabytes of text keeps its distinct pre-tokens, dealt into buckets by
+hash, and the places of all occurrences in order.  One shuffle brings the words of all blocks together by bucket; there
+each distinct word is encoded once and its ids are joined back to the blocks that have it.  A second shuffle brings the
+ids of a block's words to its places.  Decoding joins the table of token bytes: the distinct tokens of some documents
+and then the documents go through a broadcast join in order, so nothing is shuffled.
 
-A word has at most one row for each block, so no key gathers more rows than there are blocks, and they are streamed.
+A bucket has one row for each block, and rows are streamed; a task holds the distinct words of one bucket.
 
 Defined results: a null text counts as empty and has no ids; a null id is kept; repeated rows are encoded as often as
 they come; bytes that aren't UTF-8 read as U+FFFD; an empty table gives no rows; other columns are ignored.
@@ -23,13 +23,15 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import STEP_BYTES, column_bytes, stash, steps
+from tessera.llm.common import STEP_BYTES, column_bytes, span_hashes, stash_by, steps
 from tessera.llm.packing import Encoder
 
 #: A block ends with the step of text in which it gets so many distinct pre-tokens or bytes.
 BLOCK_WORDS, BLOCK_BYTES = 1 << 18, 32 << 20
-#: Rows of words whose ids are packed by block before the second shuffle.
-PACK = 1 << 19
+#: Parts of the words by hash, and the distinct words of a part that a task remembers; beyond it starts to forget.
+BUCKETS, REMEMBER = 2048, 2_000_000
+#: Words whose ids are packed by block before the second shuffle.
+PACK = 1 << 18
 #: Largest vocabulary, which every executor holds.
 MOST_TOKENS = 1 << 20
 
@@ -146,11 +148,11 @@ def _positions(raw: np.ndarray, off: np.ndarray, splitter: Splitter, places: dic
     return pool[_gather((np.cumsum(size) - size)[codes], size[codes])], np.diff(ends)
 
 
-_BLOCKS = "block long, word binary, place int, doc_ids array<long>, sizes binary, places binary"
+_BLOCKS = "block long, bucket int, numbers binary, letters binary, doc_ids array<long>, sizes binary, places binary"
 
 
 def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = BLOCK_WORDS, size: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents: rows with a distinct pre-token (word) and its place, and rows with documents, their lengths and all places."""
+    """Blocks of documents: rows with the distinct pre-tokens of a bucket (lengths and steps between their places; letters), and rows with documents, their lengths and all places."""
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +160,21 @@ def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
         block, done, known = TaskContext.get().partitionId() << 32, 0, {}
 
         def rows(n: int, **columns) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             columns["block"] = np.full(n, block)
             return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
 
         def vocabulary() -> Iterator[pa.RecordBatch]:
             nonlocal block, done, known
-            found = list(known)
-            for k in range(0, len(found), 1 << 16):
-                part = found[k : k + (1 << 16)]
-                yield rows(len(part), word=part, place=np.arange(k, k + len(part), dtype=np.int32))
+            words, size = list(known), np.fromiter(map(len, known), np.int64, len(known))
+            end = np.cumsum(size)
+            bucket = (span_hashes(np.frombuffer(b"".join(words), np.uint8), end - size, end) % np.uint64(BUCKETS)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+            parts = [order[i:j] for i, j in zip(at, at[1:])]
+            numbers = [squeeze(np.append(size[p], np.diff(p, prepend=0))) for p in parts]
+            letters = [pa.compress(b"".join([words[k] for k in p.tolist()]), "zstd", asbytes=True) for p in parts]
+            yield rows(len(parts), bucket=bucket[[p[0] for p in parts]] if parts else [], numbers=numbers, letters=letters)
             block, done, known = block + 1, 0, {}
 
         for batch in batches:
@@ -203,53 +210,48 @@ def _encoding(ranks: Broadcast, pattern: str):
 _PACKED = "block long, places binary, sizes binary, ids binary"
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str, pack: int = PACK) -> DataFrame:
-    """The ids of the words of every block, packed; each distinct word is encoded once, in the task that has all its rows."""
+def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str, pack: int = PACK, remember: int = REMEMBER) -> DataFrame:
+    """The ids of the words of every block, packed; each distinct word is encoded once, in the task that has its bucket."""
     shared = words.sparkSession.sparkContext.broadcast(ranks)
 
-    def packed(block: np.ndarray, place: np.ndarray, ids: list[list[int]], code: np.ndarray) -> pa.RecordBatch:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((x for i in ids for x in i), np.int64, int(size.sum()))
+    def packed(waiting: list[tuple]) -> pa.RecordBatch:
+        """A row for each block: steps between places, numbers of ids, ids."""
+        block, place, size, pool = (np.concatenate(x) for x in zip(*waiting))
         order = np.lexsort((place, block))
-        block, place, code = block[order], place[order], code[order]
-        at = np.flatnonzero(np.diff(block, prepend=-1))
-        out = []
-        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
-            c = code[i:j]
-            out.append((int(block[i]), squeeze(np.diff(place[i:j], prepend=0)), squeeze(size[c]), squeeze(pool[_gather((np.cumsum(size) - size)[c], size[c])])))
+        start = (np.cumsum(size) - size)[order]
+        block, place, size = block[order], place[order], size[order]
+        at = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+        out = [(int(block[i]), squeeze(np.diff(place[i:j], prepend=0)), squeeze(size[i:j]), squeeze(pool[_gather(start[i:j], size[i:j])])) for i, j in zip(at, at[1:])]
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["block", "places", "sizes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(shared, pattern)._encode_single_piece
-        last, ids = None, []
-        waiting: list[tuple] = []
-        rows = 0
+        bucket, known = None, {}  # word -> ids
+        waiting, rows = [], 0
         for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            distinct = coded.dictionary.to_pylist()
-            before = len(ids)
-            if distinct and distinct[0] == last and ids:  # the run goes on
-                ids += [encode(w) for w in distinct[1:]]
-                code += before - 1
-            else:
-                ids += [ids_of_last] if distinct and distinct[0] == last else [encode(w) for w in distinct[:1]]
-                ids += [encode(w) for w in distinct[1:]]
-                code += before
-            if distinct:
-                last, ids_of_last = distinct[-1], ids[-1]
-            waiting.append((batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), code))
-            rows += len(code)
-            if rows >= pack:
-                block, place, code = map(np.concatenate, zip(*waiting))
-                yield packed(block, place, ids, code)
-                ids, waiting, rows = [], [], 0
+            for b, block, numbers, letters in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != bucket or len(known) > remember:
+                    bucket, known = b, {}
+                both = expand(numbers).astype(np.int64)
+                n = len(both) // 2
+                ends = [0, *np.cumsum(both[:n]).tolist()]
+                text = pa.decompress(letters, ends[-1], "zstd", asbytes=True)
+                found = [text[i:j] for i, j in zip(ends, ends[1:])]
+                ids = list(map(known.get, found))
+                for k, x in enumerate(ids):
+                    if x is None:
+                        ids[k] = known[found[k]] = np.array(encode(found[k]), "<u4").tobytes()
+                size = np.fromiter(map(len, ids), np.int64, n) // 4
+                waiting.append((np.full(n, block), np.cumsum(both[n:]), size, np.frombuffer(b"".join(ids), "<u4")))
+                rows += n
+                if rows >= pack:
+                    yield packed(waiting)
+                    waiting, rows = [], 0
         if rows:
-            block, place, code = map(np.concatenate, zip(*waiting))
-            yield packed(block, place, ids, code)
+            yield packed(waiting)
 
-    dealt = words.select("word", "block", "place").repartition("word").sortWithinPartitions("word")
+    dealt = words.select("bucket", "block", "numbers", "letters").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, _PACKED)
 
 
@@ -272,10 +274,10 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", pack: int = PACK, **limits: int) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers) of every text, without special tokens."""
-    blocks = stash(word_blocks(docs, pattern, id_col, text_col, **limits), "blocks")
-    found = encode_words(blocks.where("word is not null"), ranks, pattern, pack)
-    held = blocks.where("word is null").select(F.col("block").alias("of"), "doc_ids", "sizes", "places")
-    return held.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
+    blocks = stash_by(word_blocks(docs, pattern, id_col, text_col, **limits), "blocks", "block")
+    found = encode_words(blocks.where("bucket is not null"), ranks, pattern, pack).withColumnRenamed("block", "of")
+    held = blocks.where("bucket is null").select("block", "doc_ids", "sizes", "places")
+    return held.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_assemble, "doc_id long, ids binary")
 
 
 # ---------------------------------------------------------------- decoding

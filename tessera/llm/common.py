@@ -60,6 +60,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stash_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As stash, bucketed by key: a join or cogroup by it needs no shuffle of this side.  The table is known to no catalog afterwards."""
+    spark = df.sparkSession
+    path, title = work_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(title)
+    out = spark.table(title)
+    spark.sql(f"DROP TABLE {title}")  # an external one: its files stay
+    return out
+
+
 def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str, count: int | None = None) -> DataFrame:
     """left_semi or left_anti join of df with the table of ids, broadcast only while its counted size allows it."""
     n = ids.count() if count is None else count
