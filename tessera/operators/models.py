@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.formulas import mahalanobis2
 from tessera.operators.aggregates import across, conformal_quantile, regression_metrics
 
 
@@ -20,25 +19,11 @@ class Distance(NamedTuple):
     shrinkage: float
 
 
-def _moments(df: DataFrame, columns: list[str]):
-    """n, means and the covariance (ddof 0), from one pass over centred data."""
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(columns)]).first()
-    mean = [first[f"m{i}"] for i in range(len(columns))]
-    d = [F.col(x) - m for x, m in zip(columns, mean)]
-    pairs = [(i, j) for i in range(len(d)) for j in range(i, len(d))]
-    fourth = F.lit(0.0)
-    for x in d:
-        fourth = fourth + x * x
-    row = df.agg(*[F.avg(d[i] * d[j]).alias(f"c{i}_{j}") for i, j in pairs], F.avg(fourth * fourth).alias("f")).first()
-    cov = np.zeros((len(d), len(d)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    return first["n"], mean, cov, row["f"]
-
-
 def ledoit_wolf(n: int, cov: np.ndarray, fourth: float) -> tuple[np.ndarray, float]:
     """Shrinks a covariance to a multiple of the identity; fourth is the mean of |x|^4 of centred rows."""
     p = len(cov)
+    if not n:
+        return cov, 0.0
     mu = np.trace(cov) / p
     delta = ((cov - mu * np.eye(p)) ** 2).sum() / p
     beta = min((fourth - (cov**2).sum()) / (n * p), delta)
@@ -47,19 +32,24 @@ def ledoit_wolf(n: int, cov: np.ndarray, fourth: float) -> tuple[np.ndarray, flo
 
 
 def fit_mahalanobis(df: DataFrame, columns: list[str], percentile: float = 0.975) -> Distance:
-    """Mean, inverse shrunk covariance and the threshold on the training rows; only sums reach the driver."""
-    df = df.dropna(subset=columns)
-    n, mean, cov, fourth = _moments(df, columns)
-    shrunk, s = ledoit_wolf(n, cov, fourth)
-    inverse = np.linalg.pinv(shrunk).tolist()
-    d = F.sqrt(mahalanobis2([F.col(x) for x in columns], mean, inverse))
-    threshold = df.agg(F.percentile_approx(d, percentile, 10_000)).first()[0]
-    return Distance(columns, mean, inverse, threshold, s)
+    """Mean, inverse shrunk covariance and the threshold, an exact quantile of the training rows' distances; any number of columns."""
+    from tessera.operators.gram import moments, squared_distance
+    from tessera.operators.quantiles import exact_quantiles, linear_spots
+
+    m = moments(df, columns)
+    shrunk, s = ledoit_wolf(m.n, m.cov, m.fourth)
+    inverse = np.linalg.pinv(shrunk)
+    seen = squared_distance(df.dropna(subset=columns), columns, m.mean, inverse, "_d2")
+    found = exact_quantiles(seen, [], F.sqrt("_d2"), linear_spots([percentile])).first()
+    return Distance(columns, m.mean.tolist(), inverse.tolist(), found.quantiles[0] if found else float("nan"), s)
 
 
 def mahalanobis(df: DataFrame, params: Distance) -> DataFrame:
-    d = F.sqrt(mahalanobis2([F.col(x) for x in params.columns], params.mean, params.inverse))
-    return df.withColumn("distance", d).withColumn("ood", F.coalesce(F.col("distance") > params.threshold, F.lit(True)))
+    """distance and ood; a row with a missing value is out of the domain."""
+    from tessera.operators.gram import squared_distance
+
+    out = squared_distance(df, params.columns, np.array(params.mean), np.array(params.inverse), "distance").withColumn("distance", F.sqrt("distance"))
+    return out.withColumn("ood", F.coalesce(F.col("distance") > params.threshold, F.lit(True)))
 
 
 def decorrelated(names: list[str], corr: np.ndarray, limit: float) -> list[str]:
@@ -201,14 +191,11 @@ def select_features(df: DataFrame, features: list[str], target: str, limit: floa
     """Varying columns, then one of each strongly correlated pair (the one closer to the target stays), then the most important ones
     as long as each adds at least `elbow` of the importance."""
     from tessera.operators.gates import prune_columns
+    from tessera.operators.gram import correlations, moments
 
     kept = prune_columns(df, features)
-    row = df.agg(*[F.corr(c, target).alias(f"t{i}") for i, c in enumerate(kept)], *[F.corr(kept[i], kept[j]).alias(f"c{i}_{j}") for i in range(len(kept)) for j in range(i)]).first()
-    strength = [abs(row[f"t{i}"] or 0.0) for i in range(len(kept))]
-    corr = np.eye(len(kept))
-    for i in range(len(kept)):
-        for j in range(i):
-            corr[i, j] = corr[j, i] = row[f"c{i}_{j}"] or 0.0
+    both = correlations(moments(df, [*kept, target]))
+    corr, strength = both[:-1, :-1], np.abs(both[-1, :-1])
     order = sorted(range(len(kept)), key=lambda i: (-strength[i], kept[i]))
     kept = decorrelated([kept[i] for i in order], corr[np.ix_(order, order)], limit)
     model = _gbt().fit(_assembled(df, kept, target))
@@ -273,3 +260,32 @@ def out_of_domain_curve(df: DataFrame, distance: str, truth: str, pred: str, bin
     from tessera.operators.windows import qcut
 
     return regression_metrics(qcut(df, distance, bins, "decile").where(F.col("decile").isNotNull()), ["decile"], truth, pred)
+
+
+def decile_holdout(df: DataFrame, distance: str, features: list[str], target: str, bins: int = 10, tail: tuple[float, ...] = (0.925, 0.95, 0.975)) -> DataFrame:
+    """kind, bin, n_train, n_test, distance_mean, distance_min, distance_max, r2, rmse, mae: each bin of the distance predicted by a model trained without it.
+
+    kind is decile, or tail for the shares of the highest bin, which its own model predicts.  Bins are quantile bins, fewer
+    where edges coincide; a missing distance is in the lowest bin.  Least squares: all models come from one pass of sums.
+    """
+    from tessera.operators.quantiles import exact_quantiles, linear_spots
+    from tessera.operators.windows import digitize, right_closed
+    from tessera.session import stash
+
+    rows = stash(df.dropna(subset=[*features, target]), "rows")
+    cuts = exact_quantiles(rows, [], F.col(distance), linear_spots([k / bins for k in range(bins + 1)] + list(tail))).first().quantiles
+    edges = sorted(set(cuts[: bins + 1]))
+    n = max(len(edges) - 1, 1)
+    binned = rows.withColumn("bin", F.coalesce(right_closed(F.col(distance), edges), F.lit(0)))
+    models = linear_folds(binned, features, target, "bin", n)
+    own = F.get(F.array(*[_predict(features, w) for w in models]), F.col("bin"))
+    kinds = F.array(F.struct(F.lit("decile").alias("kind"), F.col("bin")), F.when(F.col("bin") == n - 1, F.struct(F.lit("tail").alias("kind"), digitize(F.col(distance), cuts[bins + 1 :]).alias("bin"))))
+    seen = binned.withColumn("_p", own).select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("_k"), F.col(distance).alias("_d"), F.col(target).cast("double").alias("_y"), "_p")
+    e = F.col("_p") - F.col("_y")
+    out = seen.groupBy("_k.kind", "_k.bin").agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg("_d").alias("distance_mean"), F.min("_d").alias("distance_min"), F.max("_d").alias("distance_max"),
+        (1 - F.sum(e * e) / (F.var_pop("_y") * F.count("_y"))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
+    )
+    total = rows.count()
+    top = F.lit(binned.where(F.col("bin") == n - 1).count())
+    return out.withColumn("n_train", F.lit(total) - F.when(F.col("kind") == "tail", top).otherwise(F.col("n_test")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, relational, search, studies  # noqa: F401  registers the queries
+from tessera.plans import analytics, io, learning, relational, search, studies  # noqa: F401  registers the queries
 from tessera.plans.registry import QUERIES, SQL
 from tessera.session import ship_package
 

@@ -46,11 +46,16 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)  # work tables go when the application ends
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def stash(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder (a folder for each value of `by`) and reads it: cuts the lineage, survives lost executors."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

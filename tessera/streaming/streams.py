@@ -1,6 +1,7 @@
 """Stateful logic of long runs as Structured Streaming, with batch twins in tessera.operators.
 
-The windowed aggregates at the end are additions that the tables' event times invite.
+Processors with state in the checkpoint (`patience`, `arrivals_within`) need the store in STORE.  The windowed aggregates
+at the end are additions that the tables' event times invite.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.selection import replay_buffer
@@ -84,24 +87,87 @@ def _version(spark, path: str, epoch: int, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(f"{path}/v={epoch}")
 
 
-class Patience:
-    """Best value so far over batches; stale counts the batches since it rose by more than eps."""
-
-    def __init__(self, value: str, eps: float, limit: int):
-        self.value, self.eps, self.limit = value, eps, limit
-        self.best: float | None = None
-        self.stale = 0
-
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        top = batch.agg(F.max(self.value)).first()[0]
-        if top is not None and (self.best is None or top > self.best + self.eps):
-            self.best, self.stale = top, 0
-        else:
-            self.stale += 1
-
-    @property
-    def exhausted(self) -> bool:
-        return self.stale >= self.limit
+def patience(stream: DataFrame, key: str, order: str, value: str, eps: float, limit: int) -> DataFrame:
+    """key, order, best, stale and exhausted for every row: the best value so far and the rows since it rose by more than eps.
+
+    The state is two numbers for each key and lies in the checkpoint, so a restart goes on where the run stopped.
+    """
+    k, o = stream.schema[key], stream.schema[order]
+    out = T.StructType([k, o, T.StructField("best", T.DoubleType()), T.StructField("stale", T.LongType()), T.StructField("exhausted", T.BooleanType())])
+    return stream.groupBy(key).transformWithStateInPandas(_Patience(key, order, value, eps, limit), out, "append", "none")
+
+
+class _Patience(StatefulProcessor):
+    def __init__(self, key: str, order: str, value: str, eps: float, limit: int):
+        self.key, self.order, self.value, self.eps, self.limit = key, order, value, eps, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("best", "best double, stale long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best, stale = self.state.get() if self.state.exists() else (None, 0)
+        frame = pd.concat(list(rows)).sort_values(self.order)
+        bests, stales = [], []
+        for v in frame[self.value]:
+            if pd.notna(v) and (best is None or v > best + self.eps):
+                best, stale = float(v), 0
+            else:
+                stale += 1
+            bests.append(best)
+            stales.append(stale)
+        self.state.update((best, stale))
+        yield pd.DataFrame({self.key: frame[self.key], self.order: frame[self.order], "best": pd.Series(bests, index=frame.index, dtype="float64"), "stale": stales, "exhausted": [x >= self.limit for x in stales]})
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals_within(stream: DataFrame, group: str, member: str, ts: str, idle: str, cap: int) -> DataFrame:
+    """Rows of members that are new to their group, `cap` a group at most; a group that is idle for so long is forgotten.
+
+    A group's members are a map in the state and a timer drops them all, so the state holds the active groups only.
+    """
+    late = stream.withWatermark(ts, idle)
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return late.groupBy(group).transformWithStateInPandas(_Arrivals(group, member, ts, ms, cap), stream.schema, "append", "eventTime")
+
+
+class _Arrivals(StatefulProcessor):
+    def __init__(self, group: str, member: str, ts: str, idle_ms: int, cap: int):
+        self.group, self.member, self.ts, self.idle_ms, self.cap = group, member, ts, idle_ms, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getMapState("members", "member string", "seen boolean")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values([self.ts, self.member])
+        n, keep = (self.count.get()[0] if self.count.exists() else 0), []
+        for m in frame[self.member].astype(str):
+            new = n < self.cap and not self.members.containsKey((m,))
+            keep.append(new)
+            if new:
+                self.members.updateValue((m,), (True,))
+                n += 1
+        self.count.update((n,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        last = int(frame[self.ts].max().timestamp() * 1000)
+        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield frame[keep]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.members.clear()
+        self.count.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that these processors need.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def log_to(stream: DataFrame, path: str, checkpoint: str, partition: list[str] = ()):

@@ -65,6 +65,24 @@ def test_other_sinks(spark, tmp_path):
         TB.find_columns(["a"], {"smiles": ["smiles"]})
 
 
+def test_lines_stop_on_accepted_rows(spark, tmp_path):
+    """What follows the last wanted line is damaged: a reader that went on would fail."""
+    from tessera.sources import lines as L
+
+    L.register(spark)
+    text = "".join(f"{'keep' if k % 3 == 0 else 'drop'} {k}\n" for k in range(200_000)).encode()
+    whole = gzip.compress(text)
+    (tmp_path / "a.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "b.txt").write_text("keep x\r\ndrop\nkeep é")
+    read = lambda **o: spark.read.format("lines").option("path", f"{tmp_path}/*").options(**o).load()
+    got = [tuple(r) for r in read(accept="^keep", stop=5).orderBy("file", "line_no").collect()]
+    assert got == [("a.gz", 3 * k, f"keep {3 * k}") for k in range(5)] + [("b.txt", 0, "keep x"), ("b.txt", 2, "keep é")]
+    with pytest.raises(Exception):
+        read(accept="^keep").count()
+    assert read().where("file = 'b.txt'").count() == 3  # the damaged file isn't opened
+    assert spark.read.format("lines").option("path", f"{tmp_path}/none-*").load().count() == 0
+
+
 def test_measurements(spark):
     text = ["junk", "12 CH4O methanol [67-56-1]", "T/K 293.2 298.2 303.2", "eps 33.6 32.6 31.7 51AB", "13 C2H6O ethanol [64-17-5]", "eps 9 9", "T/K 290.0 310.0", "eps 25.0 23.0", "T/K 200 300.5", "eps x 5"]
     lines = spark.createDataFrame([("f", k, t) for k, t in enumerate(text)], "file string, line int, value string")
@@ -104,9 +122,55 @@ def test_streams_match_batches(spark, tmp_path):
     assert {r.k for r in spark.read.parquet(f"{tmp_path}/top/v=0").collect()} == {r.k for r in T.top_k(df, order, 5).collect()}
     _run(s.writeStream.foreachBatch(ST.keep_replay(f"{tmp_path}/replay", "g", order, 2, 6)), tmp_path, "replay")
     assert {r.k for r in spark.read.parquet(f"{tmp_path}/replay/v=0").collect()} == {r.k for r in T.replay_buffer(df, "g", order, 2, 6).collect()}
-    p = ST.Patience("v", 0.01, 2)
-    _run(s.writeStream.foreachBatch(p), tmp_path, "patience")
-    assert p.best == 28.0 and p.stale == 0 and not p.exhausted
+
+
+@pytest.fixture
+def store(spark):
+    for k, v in ST.STORE.items():
+        spark.conf.set(k, v)
+    yield
+    for k in ST.STORE:
+        spark.conf.unset(k)
+
+
+def _go_on(spark, tmp_path, frames, make, name):
+    """Each frame is a batch of a run that stops after it; the checkpoint carries the state to the next."""
+    schema = frames[0].schema
+    for k, df in enumerate(frames):
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}-in")
+        s = spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}-in")
+        q = make(s).writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        last = q.lastProgress
+    return spark.read.parquet(f"{tmp_path}/{name}-out"), last
+
+
+def test_patience_survives_restarts(spark, tmp_path, store):
+    values = [1.0, 2.0, 2.005, None, 1.5, 3.0, 2.9, 2.9, 3.005, 3.2]
+    rows = [(g, k, v if v is None else v + g) for g in (0, 1) for k, v in enumerate(values)]
+    frames = [spark.createDataFrame([r for r in rows if a <= r[1] < b], "g long, k long, v double") for a, b in ((0, 3), (3, 7), (7, 10))]
+    got, _ = _go_on(spark, tmp_path, frames, lambda s: ST.patience(s, "g", "k", "v", 0.01, 3), "patience")
+    want = set()
+    for g in (0, 1):
+        best, stale = None, 0
+        for _, k, v in sorted(r for r in rows if r[0] == g):
+            best, stale = (v, 0) if v is not None and (best is None or v > best + 0.01) else (best, stale + 1)
+            want.add((g, k, best, stale, stale >= 3))
+    assert {(r.g, r.k, r.best, r.stale, r.exhausted) for r in got.collect()} == want and any(w[4] for w in want)
+
+
+def test_idle_groups_are_forgotten(spark, tmp_path, store):
+    """Three runs an hour apart, each with groups of its own and one that never rests: the state doesn't grow with the runs."""
+    frames, sizes = [], []
+    for hour in range(3):
+        rows = [(f"h{hour}-{k}", m, f"2024-01-01 {hour * 2:02d}:00:{k % 60:02d}") for k in range(20) for m in ("a", "b", "a", "c")] + [("always", f"m{hour}", f"2024-01-01 {hour * 2:02d}:00:30"), ("always", "m0", f"2024-01-01 {hour * 2:02d}:00:40")]
+        frames.append(spark.createDataFrame(rows, "g string, m string, t string").withColumn("ts", F.to_timestamp("t")))
+    for k in range(1, 4):
+        got, last = _go_on(spark, tmp_path / str(k), frames[:k], lambda s: ST.arrivals_within(s, "g", "m", "ts", "30 minutes", 2), "idle")
+        sizes.append(last["stateOperators"][0]["numRowsTotal"])
+    per = {r.g: r.n for r in got.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert per.pop("always") == 2 and set(per.values()) == {2} and len(per) == 60  # m0, then m1; no more than two
+    assert max(sizes) < 2.5 * sizes[0]
 
 
 def test_event_windows(spark, tmp_path):
