@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,16 +92,94 @@ def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int =
     return top_k(df.withColumn("_key", arrival), [F.col("_key"), F.col(key)], n).drop("_key")
 
 
-def tournaments(df: DataFrame, key: str, score: list[Column], rounds: int, k: int, seed: int = 0, buckets: int = 64) -> DataFrame:
-    """The winner of each of `rounds` tournaments of k entrants without replacement within a tournament.
+def fine_draw(text: Column) -> Column:
+    """A uniform number in [0, 1) of 52 bits that depends on the text only."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+#: Parts of the range of draws that are numbered by themselves; their counts are broadcast.
+PARTS = 65_536
+
+
+def row_numbers(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
+    """df with the numbers 0 .. n - 1 in the order of (draw, key): counted parts of the draws' range, numbered inside each."""
+    parts = min(PARTS, 1 + df.count() // 1000)
+    dealt = df.withColumn("_draw", F.coalesce(draw(F.col(key), seed), F.lit(0.0))).withColumn("_part", F.floor(F.col("_draw") * parts).cast("int"))
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # PARTS rows at most
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_draw", key))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside - 1).drop("_part", "_draw", "_before")
+
+
+def tournaments(df: DataFrame, key: str, score: list[Column], rounds: int, k: int, seed: int = 0) -> DataFrame:
+    """The winner of each of `rounds` tournaments of k different entrants (all rows if there are fewer), every set of k equally likely.
+
+    A tournament draws k row numbers: the j-th among those not drawn yet, shifted past the drawn ones in order.  The
+    numbers meet their rows in one equi-join.
+    """
+    rows = row_numbers(df, key, seed, "_number")
+    n = df.count()
+    k = min(k, n)
+
+    def drawn(t: Column) -> Column:
+        """k different numbers below n, in rising order."""
+
+        def add(have: Column, j: Column) -> Column:
+            u = F.floor(fine_draw(F.concat_ws("#", t.cast("string"), j.cast("string"), F.lit(str(seed)))) * (F.lit(n) - j))
+            return F.array_sort(F.concat(have, F.array(F.aggregate(have, u, lambda x, taken: x + F.when(x >= taken, 1).otherwise(0)))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), add) if k else F.array().cast("array<bigint>")
+
+    entrants = df.sparkSession.range(rounds).select(F.col("id").cast("int").alias("tournament"), F.explode(drawn(F.col("id"))).alias("_number"))
+    return keep_best(rows.join(entrants, "_number").drop("_number"), ["tournament"], [*score, F.col(key)])
+
+
+def multinomial(df: DataFrame, key: str, n: int, seed: int = 0, weight: Column | None = None, heavy: int = 4096) -> DataFrame:
+    """df with `copies`: how often each row is drawn in exactly n draws with replacement, by weight; rows never drawn are left out.
 
-    Rows are dealt into buckets by hash; each tournament draws from one bucket, so no tournament sees all rows.
+    Weights become whole units (2^-52 of their sum) on a line.  Rows of a heavy-th of all weight or more lie first, each a
+    slice of its own; the others are dealt into slices by their draws.  A draw looks its slice up in the broadcast slice
+    starts; draws of heavy rows are only counted, the others are merged with the rows of their slice in the line's order.
+    Missing and negative weights count as 0.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)))
-    used = dealt.sparkSession.range(rounds).select(F.col("id").cast("int").alias("tournament"), F.pmod(F.col("id"), F.lit(buckets)).alias("_bucket"))
-    entrants = dealt.join(F.broadcast(used) if rounds <= 100_000 else used, "_bucket")
-    drawn = _ranked(entrants, ["tournament"], [F.xxhash64(F.col(key), F.col("tournament"), F.lit(seed)), F.col(key)]).where(F.col("_rn") <= k).drop("_rn", "_bucket")
-    return keep_best(drawn, ["tournament"], [*score, F.col(key)])
+    w = F.greatest(F.coalesce((weight if weight is not None else F.lit(1.0)).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = df.withColumn("_w", w).where("_w > 0")
+    total, count = rows.agg(F.sum("_w"), F.count(F.lit(1))).first()
+    if not total or n <= 0:
+        return df.limit(0).withColumn("copies", F.lit(0).cast("long"))
+    scale = 2.0 ** math.floor(52 - math.log2(total))
+    parts = min(PARTS, 1 + count // 1000)
+    rows = rows.withColumn("_w", F.greatest(F.floor(F.col("_w") * scale + 0.5), F.lit(1)))
+    units = rows.agg(F.sum("_w")).first()[0]
+    rows = rows.withColumn("_draw", F.coalesce(draw(F.col(key), seed), F.lit(0.0))).withColumn("_heavy", F.col("_w") >= F.lit(units / heavy))
+
+    few = rows.where("_heavy").withColumn("_start", F.sum("_w").over(Window.orderBy("_draw", key)) - F.col("_w"))  # `heavy` rows at most
+    many = rows.where("not _heavy").withColumn("_part", F.floor(F.col("_draw") * parts).cast("int"))
+    sums = many.groupBy("_part").agg(F.sum("_w").alias("_w"))
+    first = units - (sums.agg(F.sum("_w")).first()[0] or 0)
+    starts = sums.withColumn("_start", first + F.sum("_w").over(Window.orderBy("_part")) - F.col("_w"))  # PARTS rows at most
+    slices = sorted([(r._start, -1 - k) for k, r in enumerate(few.select("_start").orderBy("_start").collect())] + [(r._start, r._part) for r in starts.select("_start", "_part").collect()])
+    edges, ids = np.array([x for x, _ in slices]), np.array([x for _, x in slices])
+
+    @F.pandas_udf("int")
+    def slice_of(at: pd.Series) -> pd.Series:
+        return pd.Series(ids[np.searchsorted(edges, at.to_numpy(), "right") - 1])
+
+    at = F.floor(fine_draw(F.concat_ws("#", F.col("id").cast("string"), F.lit(str(seed)))) * units)
+    draws = df.sparkSession.range(n).select(at.alias("_at")).withColumn("_part", slice_of("_at"))
+
+    counted = draws.where("_part < 0").groupBy((-1 - F.col("_part")).alias("_k")).agg(F.count(F.lit(1)).alias("copies"))
+    numbered = few.withColumn("_k", F.row_number().over(Window.orderBy("_start")) - 1)
+    hit = numbered.join(F.broadcast(counted), "_k").select(*df.columns, "copies")
+
+    inside = Window.partitionBy("_part").orderBy("_draw", key)
+    line = many.join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn("_at", F.col("_start") + F.sum("_w").over(inside) - F.col("_w"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    both = line.select("_part", "_at", row, F.lit(0).alias("_kind")).unionByName(draws.where("_part >= 0").select("_part", "_at", F.lit(1).alias("_kind")), allowMissingColumns=True)
+    owner = F.last("_at_row", ignorenulls=True).over(Window.partitionBy("_part").orderBy("_at", "_kind"))
+    found = both.withColumn("_at_row", F.when(F.col("_kind") == 0, F.col("_at"))).withColumn("_owner", owner)
+    each = found.groupBy("_part", "_owner").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sum("_kind").cast("long").alias("copies")).where("copies > 0")
+    return hit.unionByName(each.select("_row.*", "copies"))
 
 
 def oversample(df: DataFrame, label: str, minority, times: int) -> DataFrame:

@@ -139,18 +139,24 @@ def expansion_fits(df: DataFrame, keys: list[str], t: str, rho: str, at: list[fl
     sums = {f"s{k}": power(k) for k in (1, 2, 3, 4)} | {f"t{k}": power(k) * y for k in (0, 1, 2)} | {"yy": y * y}
     s = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(f"_{n}") for n, e in sums.items()]).where(F.col("n") >= least)
     a, b, c = quadratic_fit(F.col("n"), [F.col(f"_s{k}") for k in (1, 2, 3, 4)], [F.col(f"_t{k}") for k in (0, 1, 2)])
-    s = s.withColumns({"_a": a, "_b": b, "_c": c})
-    a, b, c, t0 = F.col("_a"), F.col("_b"), F.col("_c"), F.col("_t0")
-    rest, spread = F.col("_yy") - a * t0 - b * F.col("_t1") - c * F.col("_t2"), F.col("_yy") - t0 * t0 / F.col("n")
+    names = [f"beta_{v:g}" for v in at]
 
-    def beta(v: float) -> Column:
-        z = (v - 50.0) / 50.0
-        level = a + b * z + c * z * z
-        return F.when(level > 0, -(b + 2 * c * z) / 50.0 / level)
+    def fitted(f: Column) -> Column:
+        """All results of one group from its coefficients, which are computed once."""
+        rest = F.col("_yy") - f["a"] * F.col("_t0") - f["b"] * F.col("_t1") - f["c"] * F.col("_t2")
+        spread = F.col("_yy") - F.col("_t0") * F.col("_t0") / F.col("n")
 
-    names = [f"beta_{v:g}" for v in at]
-    out = s.select(*keys, *[beta(v).alias(n) for n, v in zip(names, at)], F.when(spread > 0, 1 - rest / spread).otherwise(0.0).alias("r2"), "n").where(F.col("r2") >= steady)
-    return out.where(F.least(*[F.coalesce(F.col(n), F.lit(1.0)) for n in names]) > 0)
+        def beta(v: float) -> Column:
+            z = (v - 50.0) / 50.0
+            level = f["a"] + f["b"] * z + f["c"] * (z * z)
+            return F.when(level > 0, -(f["b"] + f["c"] * (2 * z)) / 50.0 / level)
+
+        return F.struct(F.array(*map(beta, at)).alias("betas"), F.when(spread > 0, 1 - rest / spread).otherwise(0.0).alias("r2"))
+
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    good = lambda r: F.struct(r["betas"].alias("betas"), r["r2"].alias("r2"), ((r["r2"] >= steady) & ~F.exists(r["betas"], lambda v: v <= 0)).alias("ok"))
+    out = s.select(*keys, "n", once(once(F.struct(a.alias("a"), b.alias("b"), c.alias("c")), fitted), good).alias("_r")).where("_r.ok")
+    return out.select(*keys, *[F.get("_r.betas", F.lit(k)).alias(n) for k, n in enumerate(names)], F.col("_r.r2").alias("r2"), "n")
 
 
 # ---------------------------------------------------------------- counts and rates
@@ -209,20 +215,3 @@ def memoised(df: DataFrame, column: str, compute: Callable[[Column], Column], na
     """A costly function once for each distinct value, joined back to all rows; missing values give the function of null."""
     known = df.select(F.col(column).alias("_value")).distinct().withColumn(name, compute(F.col("_value")))
     return df.join(known, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
-
-
-def with_replacement(df: DataFrame, key: str, n: int, seed: int = 0, weight: Column | None = None) -> DataFrame:
-    """About n draws with replacement, as a copy count for each row: Poisson draws from the row's hash, so nothing is ordered."""
-    from tessera.operators.selection import draw
-
-    w = weight if weight is not None else F.lit(1.0)
-    total = df.agg(F.sum(w).alias("_total"))
-    u = draw(F.col(key), seed)
-    rows = df.join(F.broadcast(total)).withColumn("_mean", n * w / F.col("_total"))
-    # the number of steps of the Poisson distribution below u; 64 terms are exact to double precision for means up to 10
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(64)),
-        F.struct(F.exp(-F.col("_mean")).alias("p"), F.exp(-F.col("_mean")).alias("c"), F.lit(0).alias("k")),
-        lambda a, i: F.struct((a["p"] * F.col("_mean") / i).alias("p"), (a["c"] + a["p"] * F.col("_mean") / i).alias("c"), (a["k"] + (a["c"] <= u).cast("int")).alias("k")),
-    )["k"]
-    return rows.withColumn("copies", steps).where("copies > 0").drop("_mean", "_total")

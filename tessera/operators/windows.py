@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.quantiles import exact_quantiles, linear_spots, with_group_values
+from tessera.operators.quantiles import exact_quantiles, linear_spots, slice_of, with_group_values
 
-#: Slices of a value's range over which a global order is dealt.
+#: Slices of about equal size over which a global order is dealt.
 SLICES = 1024
 
 
@@ -50,11 +51,11 @@ def progress(df: DataFrame, value: str, name: str = "progress") -> DataFrame:
 def running_total(df: DataFrame, order: str, sums: dict[str, str], inclusive: bool = True) -> DataFrame:
     """Running sums over the whole table in the order of a number that is distinct in it.
 
-    Rows are dealt into equal slices of the range; a window over the few slice totals carries the sums across.
+    Rows are dealt into slices of about equal size, whose edges a sketch names; a window over the slice totals carries the
+    sums across.
     """
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    part = F.coalesce(F.floor(F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (SLICES - 1)), F.lit(0)).cast("int")
-    dealt = df.join(F.broadcast(ends)).withColumn("_slice", part).drop("_lo", "_hi")
+    marks = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / SLICES for k in range(1, SLICES)], 10 * SLICES)).first()[0]
+    dealt = df.withColumn("_slice", slice_of(F.col(order).cast("double"), sorted({x for x in marks or [] if math.isfinite(x)})))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_slice").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     totals = totals.select("_slice", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])

@@ -388,11 +388,34 @@ def leader_clusters(spark, d):
 # ---------------------------------------------------------------- models
 
 
-@query()
+_X3 = ("l_quantity", "l_extendedprice", "l_tax")
+_COV = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+_SHRUNK = [[f"s{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+
+
+def _minor(i, j):
+    (a, b), (e, f) = [[_SHRUNK[r][k] for k in range(3) if k != j] for r in range(3) if r != i]
+    return f"({a} * {f} - {b} * {e})"
+
+
+# shrinkage of the covariance to a multiple of the identity, its inverse by minors
+@query(f"""
+WITH m AS (SELECT count(*)::DOUBLE AS n, {", ".join(f"avg({x}) AS m{k}" for k, x in enumerate(_X3))} FROM lineitem),
+z AS (SELECT {", ".join(f"{x} - m{k} AS z{k}" for k, x in enumerate(_X3))} FROM lineitem, m),
+c AS (SELECT {", ".join(f"avg(z{i} * z{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))}, avg(pow(z0 * z0 + z1 * z1 + z2 * z2, 2)) AS fourth FROM z),
+u AS (SELECT *, (c00 + c11 + c22) / 3 AS mu, {" + ".join(f"{_COV[i][j]} * {_COV[i][j]}" for i in range(3) for j in range(3))} AS squares FROM c),
+d AS (SELECT *, (squares - 3 * mu * mu) / 3 AS delta FROM u),
+w AS (SELECT *, greatest(least((fourth - squares) / (n * 3), delta) / delta, 0) AS r FROM d, m),
+s AS (SELECT {", ".join(f"(1 - r) * c{i}{j}" + (" + r * mu" if i == j else "") + f" AS s{i}{j}" for i in range(3) for j in range(i, 3))} FROM w),
+v AS (SELECT *, s00 * {_minor(0, 0)} - s01 * {_minor(0, 1)} + s02 * {_minor(0, 2)} AS det FROM s),
+x AS (SELECT sqrt(({" + ".join(f"z{i} * z{j} * {'' if (i + j) % 2 == 0 else '-'}{_minor(i, j)}" for i in range(3) for j in range(3))}) / det) AS distance FROM z, v),
+t AS (SELECT quantile_cont(distance, 0.975) AS t FROM x)
+SELECT count(*) AS n, count(*) FILTER (distance > t) AS n_ood, round(avg(distance), 6) AS mean_distance, round(any_value(t), 6) AS threshold FROM x, t""")
 def mahalanobis_ood(spark, d):
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
-    params = ML.fit_mahalanobis(li, ["l_quantity", "l_extendedprice", "l_tax"])
-    return ML.mahalanobis(li, params).agg(F.count("*").alias("n"), F.count_if("ood").alias("n_ood"))
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_X3)
+    params = ML.fit_mahalanobis(li, list(_X3))
+    out = ML.mahalanobis(li, params).agg(F.count("*").alias("n"), F.count_if("ood").alias("n_ood"), F.avg("distance").alias("mean_distance"), F.lit(params.threshold).alias("threshold"))
+    return _r(out, ["mean_distance", "threshold"])
 
 
 @query()

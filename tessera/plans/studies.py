@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import formulas as M
 from tessera.functions import text as R
 from tessera.operators import models as ML
+from tessera.operators import pareto as P
+from tessera.operators import selection as T
 from tessera.operators import similarity as S
 from tessera.operators import studies as U
 from tessera.operators import windows as W
@@ -264,6 +266,47 @@ def quantile_intervals(spark, d):
     return ML.interval_coverage(ML.quantile_leaves(p, ["p_size"], "p_retailprice")(p), "p_retailprice", "q10", "q90")
 
 
-@query()
+def _multinomial_sql(rows: str, key: str, weight: str, n: int, seed: int) -> str:
+    """Every draw's place on the line of whole-unit weights, heavy rows first."""
+    return f"""
+WITH x AS (SELECT {key}, ({weight})::DOUBLE AS w, (('0x' || substr(md5({key}::VARCHAR || '#{seed}'), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS d FROM {rows}),
+s AS (SELECT pow(2, floor(52 - log2(sum(w)))) AS scale FROM x WHERE w > 0), y AS (SELECT {key}, d, greatest(CAST(floor(w * scale + 0.5) AS BIGINT), 1) AS w FROM x, s WHERE x.w > 0),
+t AS (SELECT sum(w)::BIGINT AS units FROM y),
+o AS (SELECT {key}, w, sum(w) OVER (ORDER BY (w >= units / 4096.0) DESC, d, {key}) - w AS start FROM y, t),
+u AS (SELECT CAST(floor(('0x' || substr(md5(i::VARCHAR || '#{seed}'), 1, 13))::BIGINT / 4503599627370496.0 * units) AS BIGINT) AS spot FROM range({n}) r(i), t)
+SELECT {key}, count(*) AS copies FROM u JOIN o ON spot >= start AND spot < start + w GROUP BY 1"""
+
+
+@query(_multinomial_sql("(SELECT doc_id FROM labels WHERE quality = 0)", "doc_id", "1.0", 300, 5))
 def drawn_with_replacement(spark, d):
-    return U.with_replacement(read(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id", 300, 5)
+    return T.multinomial(read(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id", 300, 5)
+
+
+@query(_multinomial_sql("orders", "o_orderkey", "CASE WHEN o_orderkey % 1000 = 1 THEN 20000000 ELSE o_totalprice END", 20_000, 6))
+def drawn_by_weight(spark, d):
+    weight = F.when(c("o_orderkey") % 1000 == 1, 20000000.0).otherwise(c("o_totalprice"))
+    return T.multinomial(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 20_000, 6, weight).select("o_orderkey", "copies")
+
+
+_U = "CAST(floor(('0x' || substr(md5(t::VARCHAR || '#{j}#3'), 1, 13))::BIGINT / 4503599627370496.0 * (n - {j})) AS BIGINT)"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY (('0x' || substr(md5(p_partkey::VARCHAR || '#3'), 1, 8))::BIGINT + 0.5), p_partkey) - 1 AS number FROM part),
+u AS (SELECT t, {", ".join(_U.format(j=j) + f" AS u{j}" for j in range(3))} FROM range(1000) r(t), (SELECT count(*) AS n FROM part)),
+v AS (SELECT *, u1 + (u1 >= u0)::INT AS v1 FROM u), w AS (SELECT t, u0, v1, u2 + (u2 >= least(u0, v1))::INT AS v2, greatest(u0, v1) AS top FROM v),
+e AS (SELECT t, unnest([u0, v1, v2 + (v2 >= top)::INT]) AS number FROM w)
+SELECT CAST(t AS INTEGER) AS tournament, p_partkey FROM e JOIN p USING (number) QUALIFY row_number() OVER (PARTITION BY t ORDER BY p_retailprice DESC, p_partkey) = 1""")
+def tournament_winners(spark, d):
+    return T.tournaments(read(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey", [c("p_retailprice").desc()], 1000, 3, 3).select("tournament", "p_partkey")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT DISTINCT p_retailprice AS x, 60.0::DOUBLE - p_size AS y FROM part),
+r AS (SELECT x, y, 0 AS k FROM o UNION SELECT p.x, p.y, k + 1 FROM r JOIN o p ON r.x >= p.x AND r.y >= p.y AND (r.x > p.x OR r.y > p.y)),
+f AS (SELECT x, y, max(k) AS front FROM r GROUP BY ALL)
+SELECT p_partkey, CAST(front AS INTEGER) AS front FROM part JOIN f ON f.x = p_retailprice AND f.y = 60.0::DOUBLE - p_size""")
+def every_front(spark, d):
+    """All fronts at once, by longest chains over the cells of the plane."""
+    o = read(spark, d, "part").select("p_partkey", c("p_retailprice").alias("x"), (60.0 - c("p_size")).alias("y"))
+    return P.all_fronts(o, "x", "y", cell=5000).select("p_partkey", "front")

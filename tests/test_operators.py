@@ -58,10 +58,44 @@ def test_stratified_takes_one_at_least(spark):
     assert got == {"a": 4, "b": 1}
 
 
-def test_tournaments(spark):
-    df = spark.createDataFrame([(i, float(i)) for i in range(200)], "k int, f double")
-    out = T.tournaments(df, "k", [c("f").desc()], 10, 3, buckets=4).collect()
-    assert len(out) == 10 and {r.tournament for r in out} == set(range(10))
+@pytest.mark.parametrize("n", [1, 2, 3, 20, 5000])
+def test_tournaments(spark, monkeypatch, n):
+    """Exactly so many winners, and the best row wins as often as it is drawn."""
+    monkeypatch.setattr(T, "PARTS", 3)
+    df = spark.createDataFrame([(i, float(i * 7919 % 100003)) for i in range(n)], "k int, f double")
+    out = T.tournaments(df, "k", [c("f").desc()], 200, 3).collect()
+    assert sorted(r.tournament for r in out) == list(range(200))
+    if n <= 3:
+        assert {r.f for r in out} == {max(i * 7919 % 100003 for i in range(n))}
+    if n == 20:
+        ranks = [sum(r.f < i * 7919 % 100003 for i in range(n)) for r in out]
+        for best in (0, 1, 2):  # P(winner is the best left) by the hypergeometric distribution
+            p = math.comb(19 - best, 2) / math.comb(20, 3)
+            assert abs(ranks.count(best) - 200 * p) < 4 * math.sqrt(200 * p * (1 - p)), best
+
+
+def test_tournaments_draw_from_all_rows(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)], "k int")
+    assert {r.k for r in T.tournaments(df, "k", [c("k")], 400, 1).collect()} == set(range(50))
+    assert T.tournaments(df.limit(0), "k", [c("k")], 5, 2).count() == 0
+    numbers = sorted(r.n for r in T.row_numbers(df.union(df), "k", 1, "n").collect())
+    assert numbers == list(range(100))
+
+
+@pytest.mark.parametrize("heavy", [2, 4096])
+def test_draws_with_replacement_are_exactly_n(spark, monkeypatch, heavy):
+    """One row has half of the weight; with few heavy rows the others go by slices."""
+    monkeypatch.setattr(T, "PARTS", 4)
+    df = spark.createDataFrame([(i, 1.0 if i else 2500.0, "x") for i in range(2501)] + [(-1, None, "x"), (-2, -3.0, "x"), (None, 5.0, "x")], "k int, w double, copies_ string").repartition(4)
+    rows = T.multinomial(df, "k", 5000, 3, c("w"), heavy).collect()
+    assert sum(r.copies for r in rows) == 5000 and len({r.k for r in rows}) == len(rows)
+    own = {r.k: r.copies for r in rows}
+    assert abs(own[0] - 2500) < 4 * 36 and not {-1, -2} & set(own)
+    spread = [own.get(i, 0) for i in range(1, 2501)]
+    assert abs(sum(x * (x - 1) for x in spread) / len(spread) - 1) < 0.2  # as a Poisson number of mean 1
+    assert T.multinomial(df, "k", 0).count() == 0 and T.multinomial(df.limit(0), "k", 9).count() == 0
+    one = T.multinomial(df.where("k = 5"), "k", 5000).collect()
+    assert [(r.k, r.copies) for r in one] == [(5, 5000)]
 
 
 def test_replay_buffer(spark):
@@ -283,6 +317,62 @@ def test_exact_quantiles_match_numpy(spark, values):
                 assert np.allclose(got[k].quantiles, np.quantile(held, [0, 0.3, 0.5, 1]), rtol=1e-9, atol=1e-6)
 
 
+@pytest.mark.parametrize("cell, values", [(1000, 30), (10, 30), (10, 6), (40, 1000)])
+def test_all_fronts_as_by_peeling(spark, cell, values):
+    """Also where ties fall on the edges of cells, and where few points make many fronts."""
+    r = random.Random(cell + values)
+    rows = [(k, float(r.randint(0, values)), float(r.randint(0, values))) for k in range(160)] + [(999, None, 1.0), (998, float("nan"), 1.0)]
+    if values == 1000:
+        rows = [(k, float(k + r.randint(0, 3)), float(k + r.randint(0, 3))) for k in range(160)]
+    left = {(x, y) for _, x, y in rows if x is not None and x == x}
+    want, n = {}, 0
+    while left:
+        front = {p for p in left if not any(q != p and q[0] >= p[0] and q[1] >= p[1] for q in left)}
+        want |= {p: n for p in front}
+        left -= front
+        n += 1
+    got = P.all_fronts(spark.createDataFrame(rows, "k int, x double, y double"), "x", "y", cell).collect()
+    assert len(got) == sum(x is not None and x == x for _, x, _ in rows)
+    assert all(want[g.x, g.y] == g.front for g in got)
+    if values == 1000:
+        assert n > 60
+
+
+@pytest.mark.parametrize("few", [300, 40])
+def test_quantiles_of_heavy_tails(spark, monkeypatch, few):
+    """Groups over the bound: a far outlier, one value that comes very often, infinities; what is ordered at last is few rows."""
+    monkeypatch.setattr(EQ, "FEW", few)
+    groups = {"tail": [float(k) for k in range(1, 5001)] + [1e300], "often": [7.0] * 900 + [float(k) for k in range(300)], "small": [3.0, 1.0], None: [math.inf, -math.inf] * 60 + [float(k) for k in range(800)]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double").repartition(4)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999]
+    located, seen = EQ._located, []
+    monkeypatch.setattr(EQ, "_located", lambda rows, wanted: seen.append(rows.groupBy("_key").agg(F.countDistinct("_v").alias("d")).agg(F.max("d")).first()[0]) or located(rows, wanted))
+    got = {r.g: r for r in EQ.exact_quantiles(df, ["g"], F.col("v"), EQ.linear_spots(shares)).collect()}
+    assert set(got) == set(groups) and seen[0] <= 300
+    for g, values in groups.items():
+        assert got[g].n == len(values)
+        ordered = sorted(values)
+        for q, s in zip(got[g].quantiles, shares):
+            a = (len(ordered) - 1) * s
+            low, high = ordered[math.floor(a)], ordered[math.ceil(a)]
+            assert q == low or abs(q - (low + (high - low) * (a - math.floor(a)))) <= 1e-9 * max(1, abs(low), abs(high)), (g, s, q)
+
+
+def test_running_total_of_heavy_tails(spark):
+    from tessera.operators import windows as W
+
+    values = [float(k) for k in range(1, 3000)] + [1e300, -1e300]
+    df = spark.createDataFrame([(v, k % 7) for k, v in enumerate(values)], "v double, n int").repartition(4)
+    got = {r.v: r.t for r in W.running_total(df, "v", {"n": "t"}).collect()}
+    total, want = 0, {}
+    for v, n in sorted((v, k % 7) for k, v in enumerate(values)):
+        want[v] = total = total + n
+    assert got == want
+    edges = [1.0, 2.0, 2.5, 9.0]
+    rows = spark.createDataFrame([(x,) for x in (0.0, 1.0, 1.5, 2.0, 2.2, 2.5, 3.0, 9.0, 99.0)], "v double").select(EQ.slice_of(F.col("v"), edges).alias("s")).collect()
+    assert [r.s for r in rows] == [0, 0, 1, 1, 2, 2, 3, 3, 4]
+
+
 def test_stratified_with_hot_stratum(spark):
     df = spark.range(400).withColumn("s", F.when(F.col("id") < 390, "hot").otherwise(F.col("id").cast("string")))
     got = T.stratified(df, ["s"], "id", 0.1, 5)
