@@ -2,8 +2,8 @@
 
 All strings one deletion, replacement or insertion away over the observed alphabet are emitted, each once by its
 construction: of a run of equal characters the last is deleted, a character is inserted behind an equal one only, and
-replacements differ from what they replace.  A hash join with the vocabulary leaves exactly the near words, so no
-distance is measured.  Work grows with the vocabulary times word length times alphabet, never with pairs of words.
+replacements differ from what they replace.  Strings of a length that no other word has are left out.  A hash join with
+the vocabulary leaves exactly the near words, so no distance is measured.  Work grows with the vocabulary times word length times alphabet, never with pairs of words.
 
 Defined results: a null text has no words; a null id reads as the empty string; repeated rows are counted as often as
 they come; an empty table gives no rows; other columns are ignored.
@@ -21,6 +21,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One word in so many (by checksum of id and word) loses a character.
 SLIP = 199
 LEAST_CHARS, LEAST_COUNT, TIMES = 6, 5, 5
+#: Words whose neighbourhoods one task spells out.
+WORDS_A_TASK = 20_000
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least: int = LEAST_COUNT, slip: int = SLIP) -> DataFrame:
@@ -39,25 +41,37 @@ def observed_alphabet(words: DataFrame) -> list[str]:
     return sorted(r[0] for r in words.select(F.explode(F.split("word", "")).alias("c")).distinct().collect() if r[0])
 
 
-def neighbourhood(word: Column, alphabet: list[str]) -> Column:
-    """All distinct strings one deletion, replacement or insertion away."""
-    n = F.char_length(word)
-    letters = F.array(*map(F.lit, alphabet))
-    char = lambda i: F.substring(word, i, F.lit(1))
-    head = lambda i: F.substring(word, F.lit(1), i)  # the first i characters
-    tail = lambda i: F.substring(word, i + 1, n)  # without the first i
-    places = F.sequence(F.lit(1), n)
-    deleted = F.transform(F.filter(places, lambda i: char(i) != char(i + 1)), lambda i: F.concat(head(i - 1), tail(i)))
-    replaced = F.flatten(F.transform(places, lambda i: F.transform(F.array_remove(letters, char(i)), lambda c: F.concat(head(i - 1), c, tail(i)))))
-    inserted = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(F.array_remove(letters, char(i + 1)), lambda c: F.concat(head(i), c, tail(i)))))
-    return F.concat(deleted, replaced, inserted)
+def neighbourhoods(words: DataFrame, alphabet: list[str]) -> DataFrame:
+    """word and _near: all distinct strings one deletion, replacement or insertion away, of a length that another word has.
+
+    Each place of a word is a row before its candidates are spelt out, so a very long word is no very long row.
+    """
+    n = F.char_length("word")
+    lengths = words.groupBy(n.alias("_l")).agg(F.count(F.lit(1)).alias("_k"))
+    what = lambda shift, **on: F.struct((F.col("_l") + shift).alias("_n"), *[F.lit(on.get(k, False)).alias(k) if not isinstance(on.get(k), Column) else on[k].alias(k) for k in ("less", "same", "more")])
+    asked = lengths.select(F.explode(F.array(what(1, less=True), what(0, same=F.col("_k") > 1), what(-1, more=True))).alias("_a")).groupBy("_a._n").agg(*[F.max(f"_a.{k}").alias(k) for k in ("less", "same", "more")])
+    # a thousand candidates and more for each word: tasks by words, not by bytes
+    dealt = words.select("word").repartition(max(1, -(-words.count() // WORDS_A_TASK))).withColumn("_n", n)
+    few = asked.count() <= BROADCAST_IDS
+    place = dealt.join(F.broadcast(asked) if few else asked, "_n").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    part = lambda first: F.substring(F.col("word"), first, F.col("_n"))
+    i = F.col("_i")
+    place = place.select("word", "less", "same", "more", (i < F.col("_n")).alias("inside"), F.substring(F.col("word"), F.lit(1), i).alias("head"), F.substring(F.col("word"), i + 1, F.lit(1)).alias("char"), part(i + 1).alias("rest"), part(i + 2).alias("tail"))
+    none = F.array().cast("array<string>")
+    others = F.array_remove(F.array(*map(F.lit, alphabet)), F.col("char"))
+    last = F.col("char") != F.substring("tail", 1, 1)  # of a run of equal characters
+    near = F.concat(
+        F.when(F.col("less") & F.col("inside") & last, F.array(F.concat("head", "tail"))).otherwise(none),
+        F.when(F.col("same") & F.col("inside"), F.transform(others, lambda c: F.concat("head", c, "tail"))).otherwise(none),
+        F.when(F.col("more"), F.transform(others, lambda c: F.concat("head", c, "rest"))).otherwise(none),
+    )
+    return place.select("word", F.explode(near).alias("_near"))
 
 
 def near_words(words: DataFrame, alphabet: list[str], small: bool) -> DataFrame:
     """word, n_near, form and form_n: how many near words each has, and the most frequent one (ties: the first by code points)."""
-    candidates = words.select("word", F.explode(neighbourhood(F.col("word"), alphabet)).alias("_near"))
     known = words.select(F.col("word").alias("_near"), F.col("n").alias("_n"))
-    found = candidates.join(F.broadcast(known) if small else known.hint("shuffle_hash"), "_near")
+    found = neighbourhoods(words, alphabet).join(F.broadcast(known) if small else known.hint("shuffle_hash"), "_near")
     best = F.min(F.struct((-F.col("_n")).alias("m"), F.col("_near").alias("w")))
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("_b")).select("word", "n_near", F.col("_b.w").alias("form"), (-F.col("_b.m")).alias("form_n"))
 

@@ -176,13 +176,23 @@ def test_spelling_of_nothing(spark):
     assert S.spelling_variants(table(spark, [(1, None), (2, ""), (3, "1 2 3")])).count() == 0
 
 
-def test_neighbourhood_is_whole_and_distinct(spark):
-    words = ["a", "aa", "abba", "éé", "aab"]
+def test_neighbourhoods_are_whole_and_distinct(spark):
+    words = ["a", "aa", "bb", "abba", "éé", "aab", "bab", "abbaa"]
     alphabet = ["a", "b", "é"]
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", S.neighbourhood(F.col("w"), alphabet).alias("near")).collect()
-    for w, near in rows:
+    rows = Counter((r.word, r._near) for r in S.neighbourhoods(spark.createDataFrame([(w,) for w in words], "word string"), alphabet).collect())
+    assert set(rows.values()) == {1}
+    lengths = Counter(map(len, words))
+    for w in words:
         want = {w[:k] + w[k + 1 :] for k in range(len(w))} | {w[:k] + c + w[k:] for k in range(len(w) + 1) for c in alphabet} | {w[:k] + c + w[k + 1 :] for k in range(len(w)) for c in alphabet}
-        assert len(near) == len(set(near)) and set(near) == want - {w}
+        assert {x for v, x in rows if v == w} == {x for x in want - {w} if lengths[len(x)] - (len(x) == len(w)) > 0}
+
+
+def test_very_long_words(spark):
+    """Their neighbourhoods would be gigabytes; no other word has such a length, or one does."""
+    long, other = "ab" * 10_000, "xy" * 600
+    rows = [(k, f"{long} {other} {other[:700]}q{other[701:]} {other[:-1]}") for k in range(6)]
+    got = _variants(S.spelling_variants(table(spark, rows), slip=1 << 40))
+    assert got[long] == (6, 0, None, None, long) and got[other][1] == 2 and len(got) == 4
 
 
 # ---------------------------------------------------------------- 13
