@@ -15,6 +15,7 @@ they come; bytes that aren't UTF-8 read as U+FFFD; an empty table gives no rows;
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,7 +117,7 @@ def squeeze(x: np.ndarray) -> bytes:
     """Unsigned 32-bit integers, compressed: all low bytes, then all bytes above them, as far as there are any."""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     used = int(np.flatnonzero(planes.any(axis=1)).max(initial=-1)) + 1
-    return len(x).to_bytes(8, "little") + bytes([used]) + pa.compress(planes[:used].tobytes(), "zstd", asbytes=True)
+    return len(x).to_bytes(8, "little") + bytes([used]) + pa.Codec("zstd", compression_level=3).compress(planes[:used].tobytes(), asbytes=True)
 
 
 def expand(data: bytes) -> np.ndarray:
@@ -158,15 +159,27 @@ def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern)
         block, done, known = TaskContext.get().partitionId() << 32, 0, {}
+        held: list[tuple] = []  # documents of the open block: ids, numbers of words, places
 
         def rows(n: int, **columns) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             columns["block"] = np.full(n, block)
             return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
 
-        def vocabulary() -> Iterator[pa.RecordBatch]:
-            nonlocal block, done, known
-            words, size = list(known), np.fromiter(map(len, known), np.int64, len(known))
+        def close() -> Iterator[pa.RecordBatch]:
+            """The open block, with places by falling frequency: small numbers compress best."""
+            nonlocal block, done, known, held
+            counts = np.zeros(len(known), np.int64)
+            for _, _, places in held:
+                counts += np.bincount(places, minlength=len(known))
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            for ids, sizes, places in held:
+                yield rows(1, doc_ids=[ids], sizes=[squeeze(sizes)], places=[squeeze(rank[places])])
+            words = list(known)
+            words = [words[k] for k in order.tolist()]
+            size = np.fromiter(map(len, words), np.int64, len(words))
             end = np.cumsum(size)
             bucket = (span_hashes(np.frombuffer(b"".join(words), np.uint8), end - size, end) % np.uint64(BUCKETS)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -175,17 +188,17 @@ def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
             numbers = [squeeze(np.append(size[p], np.diff(p, prepend=0))) for p in parts]
             letters = [pa.compress(b"".join([words[k] for k in p.tolist()]), "zstd", asbytes=True) for p in parts]
             yield rows(len(parts), bucket=bucket[[p[0] for p in parts]] if parts else [], numbers=numbers, letters=letters)
-            block, done, known = block + 1, 0, {}
+            block, done, known, held = block + 1, 0, {}, []
 
         for batch in batches:
             raw, off = column_bytes(batch.column(1))
             for a, b in steps(off):
                 places, sizes = _positions(raw[off[a] : off[b]], off[a : b + 1] - off[a], splitter, known)
-                yield rows(1, doc_ids=[batch.column(0)[a:b].to_pylist()], sizes=[squeeze(sizes)], places=[squeeze(places)])
+                held.append((batch.column(0)[a:b].to_pylist(), sizes, places.astype(np.uint32)))
                 done += int(off[b] - off[a])
                 if len(known) >= words or done >= size:
-                    yield from vocabulary()
-        yield from vocabulary()
+                    yield from close()
+        yield from close()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, _BLOCKS)
 
@@ -196,9 +209,9 @@ def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
 _encodings: dict[tuple, object] = {}
 
 
-def _encoding(ranks: Broadcast, pattern: str):
-    """One for each worker process."""
-    key = (ranks._jid if hasattr(ranks, "_jid") else id(ranks), pattern)
+def _encoding(ranks: Broadcast, pattern: str, mark: str):
+    """One for each worker process; mark is a digest of the vocabulary."""
+    key = (mark, pattern)
     if key not in _encodings:
         import tiktoken
 
@@ -213,6 +226,7 @@ _PACKED = "block long, places binary, sizes binary, ids binary"
 def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str, pack: int = PACK, remember: int = REMEMBER) -> DataFrame:
     """The ids of the words of every block, packed; each distinct word is encoded once, in the task that has its bucket."""
     shared = words.sparkSession.sparkContext.broadcast(ranks)
+    mark = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
 
     def packed(waiting: list[tuple]) -> pa.RecordBatch:
         """A row for each block: steps between places, numbers of ids, ids."""
@@ -226,7 +240,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str, pack:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["block", "places", "sizes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(shared, pattern)._encode_single_piece
+        encode = _encoding(shared, pattern, mark)._encode_single_piece
         bucket, known = None, {}  # word -> ids
         waiting, rows = [], 0
         for batch in batches:

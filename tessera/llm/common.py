@@ -64,7 +64,7 @@ def stash_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """As stash, bucketed by key: a join or cogroup by it needs no shuffle of this side.  The table is known to no catalog afterwards."""
     spark = df.sparkSession
     path, title = work_path(spark, name), f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark allows no more
     df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(title)
     out = spark.table(title)
     spark.sql(f"DROP TABLE {title}")  # an external one: its files stay
