@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import encode
 from tessera.operators.network import _SUMS, FAN_IN, Adam, _merged, _sums
-from tessera.session import stash
+from tessera.session import dealt, stash
 
-#: Strings that one matrix holds.
+#: Strings that one matrix holds, and distinct strings of a file.
 ROWS = 256
+SHARE = 8192
 START, END = 0, 1
 
 
@@ -122,25 +123,26 @@ def known_strings(df: DataFrame, text: str, m: Sequences, *more: str) -> DataFra
 
 
 def _summed(rows: DataFrame, m: Sequences, policy: tuple[np.ndarray, float] | None) -> tuple[int, float, np.ndarray]:
-    """Tokens or strings, loss and gradient over all rows (codes, and score with a policy: the prior's weights and the score's multiple)."""
+    """Tokens or strings, loss and gradient over all rows (codes, how often they occur, and score with a policy: the prior's weights and the score's multiple)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, loss, g = 0, 0.0, np.zeros(len(m.weights))
         for batch in batches:
-            codes = batch.column(0).to_pylist()
+            codes, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for a in range(0, len(codes), ROWS):
                 tokens, size = _padded(codes[a : a + ROWS])
+                c = times[a : a + ROWS]
                 if policy is None:
-                    logp, d = log_probability(m, tokens, size, lambda x: -np.ones(len(x)))
-                    n, loss, g = n + int((size - 1).sum()), loss - float(logp.sum()), g + d
+                    logp, d = log_probability(m, tokens, size, lambda x: -c.astype(float))
+                    n, loss, g = n + int(c @ (size - 1)), loss - float(c @ logp), g + d
                     continue
                 prior, multiple = policy
-                aim = log_probability(Sequences(m.alphabet, m.wide, m.hidden, prior), tokens, size)[0] + multiple * batch.column(1).to_numpy()[a : a + ROWS]
-                logp, d = log_probability(m, tokens, size, lambda x: -2 * (aim - x))
-                n, loss, g = n + len(size), loss + float(((aim - logp) ** 2).sum()), g + d
+                aim = log_probability(Sequences(m.alphabet, m.wide, m.hidden, prior), tokens, size)[0] + multiple * batch.column(2).to_numpy()[a : a + ROWS]
+                logp, d = log_probability(m, tokens, size, lambda x: -2 * c * (aim - x))
+                n, loss, g = n + int(c.sum()), loss + float(c @ (aim - logp) ** 2), g + d
         yield _sums({0: [n, loss, g]})
 
-    columns = ["codes"] if policy is None else ["codes", "score"]
+    columns = ["codes", "times"] if policy is None else ["codes", "times", "score"]
     parts = rows.select(*columns).mapInArrow(run, _SUMS)
     if (tasks := rows.rdd.getNumPartitions()) > FAN_IN:
         parts = parts.repartition(math.ceil(math.sqrt(tasks))).mapInArrow(_merged, _SUMS)
@@ -150,6 +152,14 @@ def _summed(rows: DataFrame, m: Sequences, policy: tuple[np.ndarray, float] | No
     return n, loss, g
 
 
+def _counted(df: DataFrame, text: str, m: Sequences, **more: Column) -> DataFrame:
+    """codes, times and more, written down in even parts: equal strings are one row that counts for all of them."""
+    each = df.groupBy(F.col(text).alias("text"), *[c.alias(n) for n, c in more.items()]).agg(F.count(F.lit(1)).alias("times"))
+    rows = stash(known_strings(each, "text", m, "times", *more), "strings")
+    parts = dealt(rows, SHARE)
+    return rows if parts is rows else stash(parts, "dealt")
+
+
 def _trained(rows: DataFrame, m: Sequences, steps: int, rate: float, policy: tuple[np.ndarray, float] | None) -> tuple[Sequences, list[float]]:
     adam, curve = Adam(len(m.weights), rate), []
     for _ in range(steps):
@@ -161,13 +171,13 @@ def _trained(rows: DataFrame, m: Sequences, steps: int, rate: float, policy: tup
 
 def fit(df: DataFrame, text: str, m: Sequences, steps: int = 50, rate: float = 0.02) -> tuple[Sequences, list[float]]:
     """The model after so many steps over all strings, and the mean loss of a character at every step."""
-    return _trained(stash(known_strings(df, text, m), "strings"), m, steps, rate, None)
+    return _trained(_counted(df, text, m), m, steps, rate, None)
 
 
 def policy_steps(df: DataFrame, text: str, score: str, agent: Sequences, prior: Sequences, multiple: float, steps: int = 1, rate: float = 0.005) -> tuple[Sequences, list[float]]:
     """The agent after steps on (log p_prior + multiple * score - log p_agent)^2 over all strings, and the mean loss of a string."""
-    rows = known_strings(df.where(F.col(score).isNotNull()), text, agent, F.col(score).cast("double").alias("score"))
-    return _trained(stash(rows, "scored"), agent, steps, rate, (prior.weights, multiple))
+    rows = _counted(df.where(F.col(score).isNotNull()), text, agent, score=F.col(score).cast("double"))
+    return _trained(rows, agent, steps, rate, (prior.weights, multiple))
 
 
 def sample(seeds: DataFrame, m: Sequences, longest: int = 100) -> DataFrame:

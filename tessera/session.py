@@ -54,6 +54,15 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def dealt(df: DataFrame, share: int, *by: str) -> DataFrame:
+    """df in parts of about `share` rows (by hash of `by`, if given): a small file may hold very many rows, and by its bytes they would all go to a task or two.
+
+    Counts df, which should be a table or a stash.
+    """
+    parts = -(-df.count() // share)
+    return df.repartition(max(parts, 1), *by) if by or parts > df.rdd.getNumPartitions() else df
+
+
 def stash(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder (a folder for each value of `by`) and reads it: cuts the lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)

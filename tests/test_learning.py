@@ -317,3 +317,33 @@ def test_strings_are_learnt_and_steered(spark):
     assert losses[-1] < 0.7 * losses[0]
     short = lambda m: np.mean([r.text == "ab" for r in Q.sample(seeds, m, 12).collect()])
     assert short(agent) > short(prior)
+
+
+def test_equal_strings_are_one_row_that_counts_for_all(spark, monkeypatch):
+    texts, m = ["ab"] * 5000 + ["b"] * 3000 + ["", "zz", None], Q.new(["a", "b"], 2, 3, 4)
+    df = spark.createDataFrame([(t, 0.5 * (k % 2)) for k, t in enumerate(texts)], "t string, s double")
+    seen, inner = [], Q._summed
+    monkeypatch.setattr(Q, "_summed", lambda rows, *more: seen.append((rows.count(), inner(rows, *more))) or seen[-1][1])
+    Q.fit(df, "t", m, 1)
+    tokens, size = Q._padded([[2, 3], [3], []])
+    times = np.array([5000, 3000, 1])
+    logp, g = Q.log_probability(m, tokens, size, lambda x: -times.astype(float))
+    rows, (n, loss, found) = seen[0]
+    assert rows == 3 and n == 5000 * 3 + 3000 * 2 + 1
+    assert abs(loss + times @ logp) < 1e-6 and np.abs(found - g).max() < 1e-6
+    prior = Q.new(["a", "b"], 2, 3, 5)
+    Q.policy_steps(df, "t", "s", m, prior, 3.0, 1)
+    rows, (n, loss, _) = seen[1]
+    assert rows == 5 and n == 8001
+    gap = Q.log_probability(prior, tokens, size)[0] - logp
+    assert abs(loss - sum((gap[k] + 3.0 * s) ** 2 * c for k, s, c in ((0, 0, 2500), (0, 0.5, 2500), (1, 0, 1500), (1, 0.5, 1500), (2, 0, 1)))) < 1e-5
+
+
+def test_costly_rows_are_dealt_out(spark):
+    from tessera.session import dealt, stash
+
+    few = stash(spark.range(5000).coalesce(1), "few")
+    assert dealt(few, 10_000).rdd.getNumPartitions() == 1
+    parts = dealt(few, 1000).rdd.glom().map(len).collect()
+    assert len(parts) == 5 and sum(parts) == 5000 and max(parts) < 1100
+    assert dealt(few, 1000, "id").rdd.getNumPartitions() == 5
