@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,9 +13,11 @@ from pyspark.sql.window import Window
 
 from tessera.session import stash
 
-#: Rows in a tile, at least and at most: a task holds two tiles and compares a step of rows at a time.
+#: Rows in a tile, at least and at most: a task holds two tiles and compares a block of them at a time.
 TILE = (1024, 16384)
 STEP = 512
+#: Rows of the other tile in a block of words: what is held besides the tiles is a few megabytes, however long they are.
+BLOCK = 1024
 #: Rows of a group that one round of leader clustering takes in order.
 HEAD = 2048
 
@@ -48,9 +51,17 @@ def _bits(words: np.ndarray) -> np.ndarray:
 
 
 def _similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    both = (a @ b.T).astype(np.float64)
+    both = a @ b.T  # whole numbers up to 64
     either = a.sum(1)[:, None] + b.sum(1)[None, :] - both
-    return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+    return np.divide(both, np.maximum(either, 1), dtype=np.float64)
+
+
+def _blocks(mine: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """The similarities of all words of two tiles, block by block."""
+    for k in range(0, len(mine), STEP):
+        a = _bits(mine[k : k + STEP].copy())
+        for j in range(0, len(theirs), BLOCK):
+            yield slice(k, k + STEP), slice(j, j + BLOCK), _similarities(a, _bits(theirs[j : j + BLOCK].copy()))
 
 
 def mean_tanimoto(df: DataFrame, key: str, word: str) -> DataFrame:
@@ -67,9 +78,11 @@ def mean_tanimoto(df: DataFrame, key: str, word: str) -> DataFrame:
 
     def sums(t: pa.Table) -> pa.Table:
         w, c, side = (t[x].to_numpy() for x in ("w", "c", "side"))
-        mine, b, weight = w[side == 0], _bits(w[side == 1].copy()), c[side == 1].astype(np.float64)
-        out = [_similarities(_bits(mine[k : k + STEP].copy()), b) @ weight for k in range(0, len(mine), STEP)]
-        return pa.table({"w": mine, "s": np.concatenate(out) if out else np.zeros(0)})
+        mine, weight = w[side == 0], c[side == 1].astype(np.float64)
+        out = np.zeros(len(mine))
+        for rows, others, sim in _blocks(mine, w[side == 1]):
+            out[rows] += sim @ weight[others]
+        return pa.table({"w": mine, "s": out})
 
     each = left.union(right).groupBy("i", "j").applyInArrow(sums, "w long, s double").groupBy("w").agg(F.sum("s").alias("s"))
     own = F.when(F.col("w") != 0, 1.0).otherwise(0.0)
@@ -93,8 +106,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         most = min(k + 1, len(b))
         squares = (b * b).sum(1) if len(b) else None
-        for at in range(0, len(a) if len(b) else 0, STEP):
-            x, who = a[at : at + STEP], ka[at : at + STEP]
+        step = max(STEP * BLOCK // max(len(b), 1), 32)
+        for at in range(0, len(a) if len(b) else 0, step):
+            x, who = a[at : at + step], ka[at : at + step]
             rough = squares[None, :] - 2 * (x @ b.T) + (x * x).sum(1)[:, None]
             # candidates by the product form, with room for its rounding; then exact distances
             limit = np.partition(rough, most - 1, axis=1)[:, most - 1 : most]
@@ -130,14 +144,11 @@ def against(queries: DataFrame, df: DataFrame, key: str, word: str, name: str =
     def best(t: pa.Table) -> pa.Table:
         w, c, side = (t[x].to_numpy() for x in ("w", "c", "side"))
         mine, theirs, twice = w[side == 0], w[side == 1], c[side == 1] > 1
-        out = [np.zeros(0)]
-        b = _bits(theirs.copy())
-        for k in range(0, len(mine) if len(b) else 0, STEP):
-            sim = _similarities(_bits(mine[k : k + STEP].copy()), b)
-            sim[(mine[k : k + STEP][:, None] == theirs[None, :]) & ~twice[None, :]] = -1
-            out.append(sim.max(1))
-        found = np.concatenate(out)
-        return pa.table({"w": mine[: len(found)], "s": found})
+        out = np.full(len(mine), -1.0)
+        for rows, others, sim in _blocks(mine, theirs):
+            sim[(mine[rows][:, None] == theirs[others][None, :]) & ~twice[others][None, :]] = -1
+            out[rows] = np.maximum(out[rows], sim.max(1))
+        return pa.table({"w": mine, "s": out})
 
     each = both.groupBy("i", "j").applyInArrow(best, "w long, s double").groupBy("w").agg(F.max("s").alias("s"))
     return asked.join(each.where("s >= 0"), "w", "left").select(key, F.col("s").alias(name))

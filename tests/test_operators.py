@@ -413,3 +413,16 @@ def test_model_selection(spark):
     assert ML.permutation_importance(model, df, ["a", "b"], "y", "k")[0][0] == "a"
     assert ML.embed(df.withColumn("v", F.array("a", "b")), "v").first().embedding_low is not None
     assert ML.out_of_domain_curve(df.withColumn("p", c("y") + c("a")), "a", "y", "p").count() == 10
+
+
+def test_words_meet_in_small_blocks():
+    r = np.random.default_rng(3)
+    a, b = (np.concatenate([[0, -1], r.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)]) for n in (1500, 5000))
+    out, cells = np.full((len(a), len(b)), -1.0), 0
+    for rows, others, sim in S._blocks(a, b):
+        out[rows, others] = sim
+        cells = max(cells, sim.size)
+    assert cells <= S.STEP * S.BLOCK < 1 << 20  # a tile of any length costs no more
+    both, either = (np.bitwise_count(f(a[:, None], b[None, :]).view(np.uint64)).astype(float) for f in (np.bitwise_and, np.bitwise_or))
+    assert (out == np.divide(both, either, out=np.zeros_like(both), where=either > 0)).all()
+    assert not list(S._blocks(a, b[:0])) and not list(S._blocks(a[:0], b))
