@@ -14,16 +14,20 @@ from tessera.operators import studies as U
 from tessera.operators import windows as W
 from tessera.plans.analytics import _SIM, _WORD, _r, _words
 from tessera.plans.registry import query, read
+from tessera.session import dealt
 
 c = F.col
 
 # four invented models of two properties, three folds each: value * (1 + arch / 100) + fold
+#: Parts in a task where predictions are grouped: all groups of a part are made and used in the task that has it.
+_SHARE = 50_000
 _CELLS = [(p, f"a{a}", f) for p in ("size", "price") for a in range(4) for f in range(3)]
 
 
-def _cube(spark, d):
+def _cube(spark, d, share=None):
     value = {"size": c("p_size").cast("double"), "price": c("p_retailprice")}
-    return U.cube(read(spark, d, "part"), "p_partkey", {(p, a, f): value[p] * (1 + int(a[1:]) / 100.0) + float(f) for p, a, f in _CELLS})
+    parts = read(spark, d, "part")
+    return U.cube(dealt(parts, share, "p_partkey") if share else parts, "p_partkey", {(p, a, f): value[p] * (1 + int(a[1:]) / 100.0) + float(f) for p, a, f in _CELLS})
 
 
 _CUBE = " UNION ALL ".join(f"SELECT p_partkey, '{p}' AS prop, '{a}' AS arch, {f} AS fold, {'p_size::DOUBLE' if p == 'size' else 'p_retailprice'} * (1 + {a[1:]} / 100.0::DOUBLE) + {f} AS pred FROM part" for p, a, f in _CELLS)
@@ -38,7 +42,7 @@ def prediction_cube(spark, d):
 @query("SELECT p_partkey, " + ", ".join(f"round(avg(arch_mean) FILTER (prop = '{p}' AND arch = 'a{a}'), 6) AS {p}_a{a}" for p in ("size", "price") for a in range(4)) + f" FROM ({_ARCH}) GROUP BY 1")
 def two_level_pivot(spark, d):
     names = [(p, f"a{a}") for p in ("size", "price") for a in range(4)]
-    return _r(U.wide(U.arch_values(_cube(spark, d), "p_partkey"), ["p_partkey"], ["prop", "arch"], names, F.avg("arch_mean")), ["_".join(n) for n in names])
+    return _r(U.wide(U.arch_values(_cube(spark, d, _SHARE), "p_partkey"), ["p_partkey"], ["prop", "arch"], names, F.avg("arch_mean")), ["_".join(n) for n in names])
 
 
 @query(f"""
@@ -47,7 +51,7 @@ WITH w AS (SELECT p_partkey, avg(arch_mean) FILTER (prop = 'size') AS size_mean,
 SELECT p_partkey, round(size_mean, 6) AS size_mean, round(size_sd, 6) AS size_sd, size_n_arch_pass, round(price_mean, 6) AS price_mean, round(price_sd, 6) AS price_sd, price_n_arch_pass, size_mean <= 25 AS size_pass, abs(size_mean - 25) <= size_sd AS size_marginal,
  price_mean >= 1300 AS price_pass, abs(price_mean - 1300) <= price_sd AS price_marginal, size_mean <= 25 AND price_mean >= 1300 AS all_pass, abs(size_mean - 25) <= size_sd OR abs(price_mean - 1300) <= price_sd AS any_marginal FROM w""")
 def consensus_gates(spark, d):
-    out = U.consensus_gates(U.arch_values(_cube(spark, d), "p_partkey"), "p_partkey", [("size", "max", 25.0), ("price", "min", 1300.0)])
+    out = U.consensus_gates(U.arch_values(_cube(spark, d, _SHARE), "p_partkey"), "p_partkey", [("size", "max", 25.0), ("price", "min", 1300.0)])
     return _r(out, ["size_mean", "size_sd", "price_mean", "price_sd"])
 
 

@@ -1,6 +1,7 @@
 """Edge cases on hand-made frames: missing values, ties, empty tables, degenerate groups."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -426,3 +427,16 @@ def test_words_meet_in_small_blocks():
     both, either = (np.bitwise_count(f(a[:, None], b[None, :]).view(np.uint64)).astype(float) for f in (np.bitwise_and, np.bitwise_or))
     assert (out == np.divide(both, either, out=np.zeros_like(both), where=either > 0)).all()
     assert not list(S._blocks(a, b[:0])) and not list(S._blocks(a[:0], b))
+
+
+def test_predictions_are_grouped_in_bounded_tasks(spark, monkeypatch):
+    from tessera.plans import studies
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(studies, "_SHARE", 20)
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    for q in (studies.consensus_gates, studies.two_level_pivot):
+        parts = q(spark, sf).rdd.glom().map(len).collect()
+        assert sum(parts) == n and len(parts) == -(-n // 20) and max(parts) <= 60
