@@ -117,7 +117,7 @@ def latex_lines(spark, d):
 @query("SELECT l_orderkey || chr(9) || l_linenumber AS line FROM lineitem")
 def gzip_lines(spark, d):
     path = _path(spark, "gz")
-    read(spark, d, "lineitem").select(F.concat_ws("\t", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))).coalesce(1).write.option("compression", "gzip").text(path)
+    read(spark, d, "lineitem").select(F.concat_ws("\t", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))).write.option("compression", "gzip").text(path)
     return TB.read_gzip_lines(spark, path, 4).select(F.array_join("fields", "\t").alias("line"))
 
 

@@ -71,10 +71,11 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_gzip_lines(spark: SparkSession, path: str, partitions: int, sep: str = "\t", limit: int | None = None) -> DataFrame:
-    """A gzip file can't be split: one task reads it, then the lines are dealt out."""
+    """A gzip file can't be split: one task reads it; the lines are dealt out where there are fewer files than wanted parts."""
     lines = spark.read.text(path)
     lines = lines.limit(limit) if limit else lines
-    return lines.repartition(partitions).select(F.split("value", sep).alias("fields"))
+    lines = lines.repartition(partitions) if limit or lines.rdd.getNumPartitions() < partitions else lines
+    return lines.select(F.split("value", sep).alias("fields"))
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str, find: dict[str, list[str]]) -> DataFrame:

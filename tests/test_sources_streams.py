@@ -180,3 +180,16 @@ def test_event_windows(spark, tmp_path):
     assert spark.sql("select sum(n) from win").first()[0] == 50
     _run(ST.sessions(s, "ts", "u", "5 minutes").writeStream.format("memory").queryName("ses").outputMode("complete"), tmp_path, "ses")
     assert spark.sql("select count(*) from ses").first()[0] == 3
+
+
+def test_gzip_lines_are_read_by_file(spark, monkeypatch, tmp_path):
+    from tessera.plans import io
+
+    rows = spark.range(0, 4000, 1, 8).select(F.col("id").alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"))
+    monkeypatch.setattr(io, "read", lambda *_: rows)
+    monkeypatch.setattr(io, "_path", lambda _, name: f"{tmp_path}/{name}")
+    assert sorted(r.line for r in io.gzip_lines(spark, "").collect()) == sorted(f"{k}\t{k % 7}" for k in range(4000))
+    files = [p.stat().st_size for p in (tmp_path / "gz").glob("*.gz")]
+    assert len(files) == 8 and max(files) < 2 * min(files)  # none has all lines
+    many = TB.read_gzip_lines(spark, f"{tmp_path}/gz", 1)
+    assert many.count() == 4000 and "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
