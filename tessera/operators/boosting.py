@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.quantiles import exact_quantiles, linear_spots
-from tessera.session import stash
+from tessera.session import stash, stash_evenly
 
 #: Steps into which the range of gradients is divided; sums of 2^42 rows fit into 64 bits.
 STEPS = 1 << 20
@@ -30,6 +30,8 @@ STEPS = 1 << 20
 FEW = 1_000_000
 #: Trees that are evaluated on the fly before the predictions are written down.
 REFRESH = 8
+#: Rows of a file of binned rows: a few bytes each, but every level walks the trees for them.
+SHARE = 50_000
 MOST_DEPTH = 10
 
 
@@ -185,7 +187,7 @@ def fit_boosted(
     edges = edges or bin_edges(df, features, bins)
     known = df.where(F.col(target).isNotNull())
     mask = F.array(*[F.coalesce(where.get(m, F.lit(True)), F.lit(False)) for m in names])
-    rows = stash(known.select(*([F.col(key).alias("_key")] if key else []), F.col(target).cast("double").alias("y"), _bins(features, edges).alias("bins"), mask.alias("use")), "binned")
+    rows = stash_evenly(known.select(*([F.col(key).alias("_key")] if key else []), F.col(target).cast("double").alias("y"), _bins(features, edges).alias("bins"), mask.alias("use")), "binned", SHARE)
 
     # the constants to start from, and the range of the squared loss's gradients
     starts = _leaf_values(rows.select(F.posexplode("use").alias("model", "on"), "y").where("on").select("model", F.lit(0).alias("leaf"), F.col("y").alias("rest")), [losses[m] for m in names], rows.count())

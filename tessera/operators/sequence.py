@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import encode
 from tessera.operators.network import _SUMS, FAN_IN, Adam, _merged, _sums
-from tessera.session import dealt, stash
+from tessera.session import stash_evenly
 
 #: Strings that one matrix holds, and distinct strings of a file.
 ROWS = 256
@@ -155,9 +155,7 @@ def _summed(rows: DataFrame, m: Sequences, policy: tuple[np.ndarray, float] | No
 def _counted(df: DataFrame, text: str, m: Sequences, **more: Column) -> DataFrame:
     """codes, times and more, written down in even parts: equal strings are one row that counts for all of them."""
     each = df.groupBy(F.col(text).alias("text"), *[c.alias(n) for n, c in more.items()]).agg(F.count(F.lit(1)).alias("times"))
-    rows = stash(known_strings(each, "text", m, "times", *more), "strings")
-    parts = dealt(rows, SHARE)
-    return rows if parts is rows else stash(parts, "dealt")
+    return stash_evenly(known_strings(each, "text", m, "times", *more), "strings", SHARE)
 
 
 def _trained(rows: DataFrame, m: Sequences, steps: int, rate: float, policy: tuple[np.ndarray, float] | None) -> tuple[Sequences, list[float]]:

@@ -13,6 +13,7 @@ from tessera.operators import search as S
 from tessera.operators import sequence as Q
 from tessera.plans.analytics import _r
 from tessera.plans.registry import query, read
+from tessera.session import dealt
 
 c = F.col
 
@@ -65,7 +66,7 @@ def boosting_sql(shares: dict[str, float]) -> str:
 def boosted_quantiles(spark, d):
     parts = _parts(spark, d)
     models = _fitted(parts, _LOSSES)
-    return _r(parts.select("p_partkey", *[m.predict().alias(n) for n, m in models.items()]), list(_SHARES))
+    return _r(dealt(parts, B.SHARE).select("p_partkey", *[m.predict().alias(n) for n, m in models.items()]), list(_SHARES))
 
 
 _LOSS = "avg(CASE WHEN y > pred THEN (y - pred) * a ELSE (y - pred) * (a - 1) END)"
@@ -81,7 +82,7 @@ def quantile_stages(spark, d):
     parts = _parts(spark, d)
     models = _fitted(parts, _LOSSES)
     stages = [F.struct(F.lit(m).alias("model"), F.lit(t).alias("trees"), F.lit(_SHARES[m]).alias("a"), model.upto(t).predict().alias("pred")) for m, model in models.items() for t in range(_TREES + 1)]
-    rows = parts.select("y", "train", F.explode(F.array(*stages)).alias("r")).select("y", "train", "r.*")
+    rows = dealt(parts, B.SHARE).select("y", "train", F.explode(F.array(*stages)).alias("r")).select("y", "train", "r.*")
     loss = F.when(c("y") > c("pred"), (c("y") - c("pred")) * c("a")).otherwise((c("y") - c("pred")) * (c("a") - 1))
     out = rows.groupBy("model", "trees", "train").agg(F.avg(loss).alias("loss"), F.avg((c("y") <= c("pred")).cast("int")).alias("below"), F.count(F.lit(1)).alias("n"))
     return _r(out.withColumn("loss", c("loss") + 3e-10), {"loss": 6, "below": 8})  # means of these prices end in exact halves
@@ -97,7 +98,7 @@ def boosted_coverage(spark, d):
 
     parts = _parts(spark, d)
     models = _fitted(parts, _LOSSES)
-    held = parts.where(~c("train")).select("y", *[m.predict().alias(n) for n, m in models.items()])
+    held = dealt(parts, B.SHARE).where(~c("train")).select("y", *[m.predict().alias(n) for n, m in models.items()])
     return _r(interval_coverage(held, "y", "q10", "q90"), ["coverage", "width"])
 
 
@@ -127,7 +128,7 @@ def tree_shap(spark, d):
     """The median model's prediction of every part, by feature."""
     parts = _parts(spark, d)
     model = _fitted(parts, {"q50": B.pinball(0.5)})["q50"]
-    out = B.explain(parts, model, ["p_partkey"])
+    out = B.explain(dealt(parts, B.SHARE), model, ["p_partkey"])
     return _r(out, ["base", *[f"shap_{f}" for f in _FEATURES], "prediction"])
 
 

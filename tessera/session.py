@@ -68,3 +68,10 @@ def stash(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stash_evenly(df: DataFrame, name: str, share: int) -> DataFrame:
+    """A stash in files of about `share` rows, for costly steps over small rows."""
+    rows = stash(df, name)
+    parts = dealt(rows, share)
+    return rows if parts is rows else stash(parts, name)

@@ -347,3 +347,14 @@ def test_costly_rows_are_dealt_out(spark):
     parts = dealt(few, 1000).rdd.glom().map(len).collect()
     assert len(parts) == 5 and sum(parts) == 5000 and max(parts) < 1100
     assert dealt(few, 1000, "id").rdd.getNumPartitions() == 5
+
+
+def test_binned_rows_are_dealt_out(spark, monkeypatch):
+    df = spark.range(0, 3000, 1, 1).select((F.col("id") % 40).cast("double").alias("x"), (F.col("id") * 37 % 101).cast("double").alias("y"))
+    settings = {"trees": 2, "depth": 2, "edges": [[10.0, 20.0, 30.0]]}
+    whole = B.fit_boosted(df, ["x"], "y", {"q": B.pinball(0.3)}, **settings)
+    files, inner = [], B.stash_evenly
+    monkeypatch.setattr(B, "stash_evenly", lambda *a: files.append(inner(*a)) or files[-1])
+    monkeypatch.setattr(B, "SHARE", 300)
+    assert B.fit_boosted(df, ["x"], "y", {"q": B.pinball(0.3)}, **settings) == whole
+    assert len(files[0].inputFiles()) == 10 and files[0].rdd.getNumPartitions() > 1
