@@ -35,8 +35,8 @@ PIECE = 512
 BUFFER = 3000
 #: Pieces kept by each worker's encoder, about 200 bytes each.
 CACHE = 500_000
-#: Bytes of text encoded at a time in a worker, and bytes of new pieces handed to the tokenizer as one text.
-STEP = 8 << 20
+#: Bytes of text encoded at a time in a worker (the arrays beside it take some twenty times as much), and bytes of new pieces handed to the tokenizer as one text.
+STEP = 1 << 20
 CHUNK = 4096
 #: The first two bytes of the UTF-8 blocks that hold white space (U+1680, U+2000 to U+203F, U+205F, U+3000).
 _WIDE = [0xE19A, 0xE280, 0xE281, 0xE380]

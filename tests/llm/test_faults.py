@@ -1,13 +1,21 @@
-"""Cases that once gave wrong results: words that hash alike, rows and items without an id, very long texts."""
+"""Cases that once gave wrong results or took too much: words that hash alike, rows and items without an id, very long texts, arrays beside a batch."""
+
+import hashlib
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from fixtures import table
 
 from tessera.llm import decontaminate as D
 from tessera.llm import language_model as LM
 from tessera.llm import minhash as MH
+from tessera.llm import packing, suffix_dedup
 from tessera.llm.common import column_bytes, span_hashes, word_hashes
+from tessera.llm.queries import tokenizer_path
 
 
 def thue_morse(n):
@@ -71,3 +79,41 @@ def test_texts_over_a_megabyte(spark):
     assert [x.doc_id for x in D.contamination(table(spark, [(5, text), (6, "no")]), bench).collect()] == [5]
     raw, off = column_bytes(__import__("pyarrow").array([text]))
     assert len(word_hashes(raw, off)[0]) == 250_000
+
+
+def peak_mb(run) -> float:
+    """MB that run has allocated at once in Python, NumPy's arrays included."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_workers_beside_their_texts(monkeypatch):
+    """The arrays of packing and suffix dedup are those of a step, whatever the size of a batch or bucket."""
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(packing, "TaskContext", task)
+    monkeypatch.setattr(suffix_dedup, "TaskContext", task)
+    texts = [b"".join(b"%x " % (x * 2654435761 % 65536) for x in range(k, k + 500)) for k in range(3000)]  # 7 MB, 65,536 words at most
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    runs = []
+    frame = SimpleNamespace(select=lambda *_: frame, mapInArrow=lambda f, _: runs.append(f), cast=lambda _: frame, alias=lambda _: frame)
+    packing.pack_documents(type("Docs", (), {"__getitem__": lambda *_: frame, "select": frame.select})(), tokenizer_path())
+    packed = []
+    assert peak_mb(lambda: packed.extend(runs[0](iter([batch])))) < 60
+    assert sum(pc.sum(x["length"]).as_py() for x in packed) == sum(pc.sum(pc.if_else(pc.equal(x["start"], 0), x["doc_tokens"], 0)).as_py() for x in packed)
+
+    strings = [hashlib.sha512(b"%d" % (k // 2)).hexdigest()[:79].encode() + b"xy"[k % 2 :][:1] for k in range(80_000)]  # two of each key, 79 bytes in common
+    n = len(strings)
+    bucket = pa.table({
+        "bucket": pa.array(np.zeros(n, np.int32)), "key": pa.array(np.arange(n) // 2), "doc_id": pa.array(np.arange(n)),
+        "places": pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(np.zeros(n, np.int64))),
+        "text": pa.array(strings, pa.binary()), "b": pa.nulls(n, pa.int64()),
+    })
+    got = []
+    assert peak_mb(lambda: got.append(suffix_dedup._ranges(50, 20)(bucket))) < 200
+    lost = got[0].to_pydict()
+    assert set(lost["a"]) == {0} and set(lost["b"]) == {79} and {x % 2 for x in lost["doc_id"]} == {1}
+    assert len(set(lost["doc_id"])) == len(lost["doc_id"]) > 0.9 * n / 2  # in the others the gram of the smallest hash holds the byte that differs
